@@ -102,7 +102,7 @@ def rows_in_windows(
 
 
 def last_match(
-    logs: DataFrame, requests: DataFrame, on: Sequence[str], *, request: str, back_hours: int, bucket: str = "1h"
+    logs: DataFrame, requests: DataFrame, on: Sequence[str], *, request: str, back_hours: int, bucket: str = "1d"
 ) -> DataFrame:
     """Per request the time of the newest row in [end_ts - back_hours, end_ts), as ``last_ts``.
 

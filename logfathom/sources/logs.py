@@ -32,8 +32,9 @@ def write_logs(logs: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def event_message(event_type: Column, event_id: Column, user_id: Column) -> Column:
+    told = F.when(event_type == "signup", " started").when(event_type == "purchase", " slow").when(event_type == "error", " timeout")
     return F.concat(
-        event_type, F.lit(" for item "), (event_id + 100000).cast("string"),
+        event_type, told.otherwise(""), F.lit(" for item "), (event_id + 100000).cast("string"),
         F.lit(" on node "), F.pmod(user_id, F.lit(7)).cast("string"),
         F.lit(" from 10.0."), F.pmod(user_id, F.lit(200)).cast("string"),
         F.lit("."), F.pmod(event_id, F.lit(250)).cast("string"), F.lit(":5432 after 30000ms"),
