@@ -223,7 +223,7 @@ def trend(keys: str, minutes: int, source: str = "d") -> str:
     per = r(f"avg / {minutes}") if minutes else "CAST(0 AS DOUBLE)"
     return f"""
 a AS (
-  SELECT {keys}, count(v) AS valid, coalesce(sum(v), 0) AS s,
+  SELECT {keys}, count(v) AS valid, coalesce(CAST(sum(CAST(v AS DECIMAL(28, 10))) AS DOUBLE), 0) AS s,
     arg_max(v, idx) FILTER (v IS NOT NULL) AS latest, max(v) FILTER (v > 0) AS peak, arg_max(ts, v * 1e6 - idx) FILTER (v > 0) AS peak_time,
     count(*) FILTER (v > 0) AS positive,
     coalesce(sum(v) FILTER (idx < n // 3), 0) AS first, coalesce(sum(v) FILTER (idx >= n - n // 3), 0) AS last

@@ -23,7 +23,7 @@ from logfathom.operators.trend import trend_summary
 from logfathom.plans import recipes, reports
 from logfathom.session import prepare
 from logfathom.sources import payloads
-from logfathom.sources.logs import document_lines, events_logs, orders_logs
+from logfathom.sources.logs import document_lines, events_logs, orders_logs, spread
 from logfathom.streaming.counts import streaming_count_over_time
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,20 +124,20 @@ def sample_logs(spark, sf_dir):
 @query
 def extract_message(spark, sf_dir):
     """The message inside JSON, logfmt and plain lines."""
-    return with_pattern(events_logs(spark, sf_dir)).select("id", "message")
+    return with_pattern(spread(events_logs(spark, sf_dir))).select("id", "message")
 
 
 @query
 def message_signature(spark, sf_dir):
     """Volatile parts masked."""
-    return with_pattern(orders_logs(spark, sf_dir)).select("id", "pattern")
+    return with_pattern(spread(orders_logs(spark, sf_dir))).select("id", "pattern")
 
 
 @query
 def document_signatures(spark, sf_dir):
     """P3 P6 on multilingual lines with accents beside digits."""
     lines = document_lines(spark, sf_dir)
-    return with_pattern(lines).select("doc_id", "line_no", "pattern")
+    return with_pattern(spread(lines)).select("doc_id", "line_no", "pattern")
 
 
 @query
@@ -167,20 +167,20 @@ def nano_times(spark, sf_dir):
 @query
 def top_error_patterns(spark, sf_dir):
     """A2 A3 A4 K4: the flagship report, ten commonest patterns among errors."""
-    return top_patterns(_errors(spark, sf_dir))
+    return top_patterns(spread(_errors(spark, sf_dir)))
 
 
 @query
 def top_patterns_by_scope(spark, sf_dir):
     """A2 A3 A4 K4 for every order status at once, first message in forward order."""
-    logs = orders_logs(spark, sf_dir).withColumn("status", sel.label("status"))
+    logs = spread(orders_logs(spark, sf_dir)).withColumn("status", sel.label("status"))
     return top_patterns(logs, ["status"], k=5, direction="forward")
 
 
 @query
 def pattern_counts(spark, sf_dir):
     """A2 without the cap."""
-    return count_patterns(events_logs(spark, sf_dir)).select("pattern", "count")
+    return count_patterns(spread(events_logs(spark, sf_dir))).select("pattern", "count")
 
 
 # --- labels ----------------------------------------------------------------
@@ -354,7 +354,7 @@ def _expressions(spark, sf_dir) -> DataFrame:
     expr = F.lit(None).cast("string")
     for i, form in reversed(list(enumerate(forms))):
         expr = F.when(kind == i, form).otherwise(expr)
-    return e.select("event_id", F.col("ts").alias("as_of"), expr.alias("expr"))
+    return spread(e.select("event_id", F.col("ts").alias("as_of"), expr.alias("expr")))
 
 
 @query
@@ -434,21 +434,21 @@ def rows_in_windows(spark, sf_dir):
 def redact_documents(spark, sf_dir):
     """R1-R10 over whole documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return redact_columns(docs, "text", "hits")
+    return redact_columns(spread(docs), "text", "hits")
 
 
 @query
 def redact_pages(spark, sf_dir):
     """R1-R10 over raw pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
-    return redact_columns(pages, "text", "hits")
+    return redact_columns(spread(pages), "text", "hits")
 
 
 @query
 def redact_conversations(spark, sf_dir):
     """R1-R10 over conversation turns."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    return redact_columns(turns, "text", "hits")
+    return redact_columns(spread(turns), "text", "hits")
 
 
 @query
@@ -465,7 +465,7 @@ def redact_orders(spark, sf_dir):
         F.lit(" card "), card, F.lit(" or "), amex, F.lit(" at "), ip,
         F.lit(" Bearer tok"), key.cast("string"), F.lit(" eyJh"), key.cast("string"), F.lit(".eyJp"), cust.cast("string"), F.lit(".sig"),
     )
-    return redact_columns(o.select("o_orderkey", text.alias("text")), "text", "hits")
+    return redact_columns(spread(o.select("o_orderkey", text.alias("text"))), "text", "hits")
 
 
 @query
@@ -546,7 +546,7 @@ def payload_emptiness(spark, sf_dir):
 @query
 def logs_report(spark, sf_dir):
     """A redacted report per event type; the fields shown are read back from its JSON."""
-    out = reports.logs_report(_by_type(events_logs(spark, sf_dir)), ["event_type"], limit=100)
+    out = reports.logs_report(_by_type(spread(events_logs(spark, sf_dir))), ["event_type"], limit=100)
     read = lambda path: F.get_json_object("report", path)
     return out.select(
         "event_type", "matched", "total_patterns", "form",
@@ -647,7 +647,7 @@ def blast_radius(spark, sf_dir):
 @query
 def recurrence(spark, sf_dir):
     """Bursts of every pattern and the time between them."""
-    return recipes.recurrence(events_logs(spark, sf_dir), gap="8h")
+    return recipes.recurrence(spread(events_logs(spark, sf_dir)), gap="8h")
 
 
 @query
@@ -668,7 +668,7 @@ def timeline(spark, sf_dir):
 @query
 def slow_patterns(spark, sf_dir):
     """C11: patterns among rows that mention slowness."""
-    return recipes.slow_patterns(events_logs(spark, sf_dir))
+    return recipes.slow_patterns(spread(events_logs(spark, sf_dir)))
 
 
 @query

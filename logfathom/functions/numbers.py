@@ -25,3 +25,16 @@ def strict_double(text: Column) -> Column:
     """Parse a whole string as a finite number; blanks, suffixes, NaN and overflow give NULL."""
     shaped = text.rlike(rf"\A(?:{_DECIMAL}|{_HEX})\z")
     return finite(F.when(shaped, text.try_cast("double")))
+
+
+def exact_sum(value: Column, kind: str) -> Column:
+    """A sum that does not depend on the order rows arrive in.
+
+    Whole numbers add exactly; doubles add as decimals with ten places and fall
+    back to floating point when a value or the sum is too large for that.
+    """
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.sum(value.cast("bigint")).cast("double")
+    too_large = F.max(F.abs(value)) >= F.lit(1e17)
+    fixed = F.try_sum(value.try_cast("decimal(28,10)")).cast("double")
+    return F.when(too_large, F.sum(value)).otherwise(F.coalesce(fixed, F.sum(value)))

@@ -37,25 +37,57 @@ BEARER_MARK = "Bearer [REDACTED]"
 _EMAIL_LINEAR = rf"(?:\G|(?<!{_EMAIL_CHARS})){_EMAIL_CHARS}++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}"
 
 
+# Fixed value: each digit doubled, its own digits summed (Luhn).
+_DIGITS, _DOUBLED = "0123456789", "0246813579"
+_LUHN_MIN, _LUHN_MAX = 13, 19
+
+# A code point reserved for internal use; fences off matches while they are judged.
+_FENCE = "\uFDD0"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _luhn_sum(plain: Column, doubled: Column) -> Column:
+    """Digit sum of a number padded to full width: every second digit from the right counts doubled."""
+    places = range(1, _LUHN_MAX + 1)
+    codes = [F.ascii(F.substring(plain if (_LUHN_MAX - p) % 2 == 0 else doubled, p, 1)) for p in places]
+    return sum(codes[1:], codes[0]) - F.lit(_LUHN_MAX * ord("0"))
+
+
 def luhn_valid(text: Column) -> Column:
     """True when the 13 to 19 digits in ``text`` pass the Luhn check."""
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    size = F.length(digits)
-    values = F.transform(F.split(F.reverse(digits), "", 19), lambda d: F.coalesce(d.try_cast("int"), F.lit(0)))
-    weighed = F.transform(
-        values, lambda d, i: F.when(i % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
-    )
-    total = F.aggregate(weighed, F.lit(0), lambda acc, d: acc + d)
-    return size.between(13, 19) & (total % 10 == 0)
+
+    def total(digits: Column) -> Column:
+        padded = F.lpad(digits, _LUHN_MAX, "0")
+        return let(padded, lambda p: let(F.translate(p, _DIGITS, _DOUBLED), lambda d: _luhn_sum(p, d)))
+
+    def check(digits: Column) -> Column:
+        return F.length(digits).between(_LUHN_MIN, _LUHN_MAX) & (total(digits) % 10 == 0)
+
+    return let(F.regexp_replace(text, "[^0-9]", ""), check)
 
 
 def replace_unless(text: Column, pattern: str, mark: str, keep: Callable[[Column], Column]) -> Column:
-    """Replace matches of ``pattern``, except those ``keep`` accepts; kept matches are still consumed."""
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    masked = F.transform(found, lambda m: F.when(keep(m), m).otherwise(F.lit(mark)))
-    pieces = F.zip_with(gaps, masked, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+    """Replace matches of ``pattern``, except those ``keep`` accepts; kept matches are still consumed.
+
+    Matches are fenced by one replacement, so every second piece between fences is
+    a match. A text that holds the fence itself is split on the pattern instead.
+    """
+
+    def judged(match: Column) -> Column:
+        return F.when(keep(match), match).otherwise(F.lit(mark))
+
+    pieces = F.split(F.regexp_replace(text, pattern, f"{_FENCE}$0{_FENCE}"), _FENCE, -1)
+    fenced = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(judged(p))), "")
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), judged)
+    zipped = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    has_fence = F.contains(text, F.lit(_FENCE))
+    return (
+        F.when(~text.rlike(pattern), text).when(has_fence, F.array_join(zipped, "")).when(text.isNotNull(), fenced)
+    )
 
 
 def _plain(text: Column, hint: str, pattern: str, mark: str) -> Column:
@@ -80,7 +112,7 @@ STAGES: tuple[tuple[str, Callable[[Column], Column]], ...] = (
 def redact(text: Column) -> Column:
     """All stages on one value, for places a projection cannot reach (map and array elements)."""
     for _, apply in STAGES:
-        text = F.get(F.transform(F.array(text), apply), F.lit(0))
+        text = let(text, apply)
     return text
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.functions.numbers import finite, round_scaled, strict_double
+from logfathom.functions.numbers import exact_sum, finite, round_scaled, strict_double
 from logfathom.functions.timeexpr import step_minutes
 from logfathom.operators.series import point_index
 
@@ -59,7 +59,7 @@ def trend_summary(
     zero = F.lit(0.0)
     raw = staged.groupBy(*keys).agg(
         F.count(v).alias("__valid"),
-        F.coalesce(F.sum(v), zero).alias("__total"),
+        F.coalesce(exact_sum(v, kind), zero).alias("__total"),
         F.max(F.when(v.isNotNull(), F.struct(F.col("idx"), v.alias("v"))))["v"].alias("__latest"),
         F.max(F.when(v > 0, F.struct(v.alias("v"), (-F.col("idx")).alias("i"), F.col("ts").alias("ts")))).alias("__top"),
         F.count(F.when(v > 0, 1)).alias("__positive"),
