@@ -50,22 +50,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _luhn_sum(plain: Column, doubled: Column) -> Column:
-    """Digit sum of a number padded to full width: every second digit from the right counts doubled."""
-    places = range(1, _LUHN_MAX + 1)
-    codes = [F.ascii(F.substring(plain if (_LUHN_MAX - p) % 2 == 0 else doubled, p, 1)) for p in places]
-    return sum(codes[1:], codes[0]) - F.lit(_LUHN_MAX * ord("0"))
-
-
 def luhn_valid(text: Column) -> Column:
-    """True when the 13 to 19 digits in ``text`` pass the Luhn check."""
+    """True when the 13 to 19 digits in ``text`` pass the Luhn check.
 
-    def total(digits: Column) -> Column:
-        padded = F.lpad(digits, _LUHN_MAX, "0")
-        return let(padded, lambda p: let(F.translate(p, _DIGITS, _DOUBLED), lambda d: _luhn_sum(p, d)))
+    Zeros put in front to a fixed odd width add nothing, so the digits that count
+    doubled are those at odd places.
+    """
 
     def check(digits: Column) -> Column:
-        return F.length(digits).between(_LUHN_MIN, _LUHN_MAX) & (total(digits) % 10 == 0)
+        codes = F.transform(
+            F.split(F.lpad(digits, _LUHN_MAX, "0"), ""),
+            lambda d, i: F.ascii(F.when(i % 2 == 1, F.translate(d, _DIGITS, _DOUBLED)).otherwise(d)),
+        )
+        total = F.aggregate(codes, F.lit(-_LUHN_MAX * ord("0")), lambda acc, code: acc + code)
+        return F.length(digits).between(_LUHN_MIN, _LUHN_MAX) & (total % 10 == 0)
 
     return let(F.regexp_replace(text, "[^0-9]", ""), check)
 
@@ -122,19 +120,17 @@ def redact_columns(df: DataFrame, columns: str | list[str], hits: str | None = N
     With several columns ``hits`` counts (column, stage) pairs.
     """
     names = [columns] if isinstance(columns, str) else list(columns)
-    order = df.columns
-    stages = [f"__stage{i}" for i in range(len(STAGES) + 1)]
-    counted: list[Column] = []
-    for name in names:
-        staged = df.withColumnRenamed(name, stages[0])
-        for i, (_, apply) in enumerate(STAGES):
-            staged = staged.withColumn(stages[i + 1], apply(F.col(stages[i])))
-        if hits is not None:
-            changed = [(F.col(b) != F.col(a)).cast("int") for a, b in zip(stages, stages[1:])]
-            count = F.coalesce(sum(changed[1:], changed[0]), F.lit(0))
-            staged = staged.withColumn(f"__hits_{name}", count)
-            counted.append(F.col(f"__hits_{name}"))
-        df = staged.withColumnRenamed(stages[-1], name).drop(*stages[:-1])
-    if hits is None:
-        return df.select(*order)
-    return df.select(*order, sum(counted[1:], counted[0]).alias(hits))
+
+    def at(stage: int, name: str) -> str:
+        return name if stage == 0 else f"__{name}_{stage}"
+
+    staged = df
+    for i, (_, apply) in enumerate(STAGES):
+        staged = staged.withColumns({at(i + 1, n): apply(F.col(at(i, n))) for n in names})
+    last = len(STAGES)
+    out = [F.col(at(last, c)).alias(c) if c in names else F.col(c) for c in df.columns]
+    if hits is not None:
+        changed = [F.col(at(i, n)) != F.col(at(i + 1, n)) for n in names for i in range(last)]
+        counts = [F.coalesce(c, F.lit(False)).cast("int") for c in changed]
+        out.append(sum(counts[1:], counts[0]).alias(hits))
+    return staged.select(*out)

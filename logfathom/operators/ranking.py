@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfathom.operators.series import downsample
@@ -81,25 +81,31 @@ def reported_series(ranked: DataFrame) -> DataFrame:
     return ranked.where("kept")
 
 
-def omitted_series(ranked: DataFrame, scope: Sequence[str], key: str, *, listed: int = MAX_LISTED) -> DataFrame:
-    """Per scope: how many series (and anomalous ones) are left out, and the first keys of each in volume order."""
+def omitted_columns(key: str, *, listed: int = MAX_LISTED) -> list[Column]:
+    """Aggregates over ranked candidates: series left out, anomalous ones left out, and the first keys of each."""
     left = ~F.col("kept")
-    odd = left & F.col("anomaly").isNotNull()
     entry = F.struct(F.col("volume_rank").alias("rank"), F.col(key).alias("key"))
 
-    def keys_of(condition):
+    def first_keys(condition: Column) -> Column:
         gathered = F.array_sort(F.collect_list(F.when(condition, entry)))
         return F.transform(F.slice(gathered, 1, listed), lambda e: e["key"])
 
-    return ranked.groupBy(*scope).agg(
-        F.max("total_series").alias("total_series"),
-        (F.max("total_series") - F.count(F.when(F.col("kept"), 1))).alias("omitted_series"),
-        keys_of(left).alias("omitted_keys"),
-        (F.max("anomalous_series") - F.count(F.when(F.col("kept") & F.col("anomaly").isNotNull(), 1))).alias(
-            "omitted_anomalous"
-        ),
-        keys_of(odd).alias("omitted_anomalous_keys"),
-    )
+    def left_out(whole: str, shown: Column) -> Column:
+        return F.coalesce(F.max(whole), F.lit(0)) - F.count(F.when(shown, 1))
+
+    odd = F.col("anomaly").isNotNull()
+    return [
+        F.coalesce(F.max("total_series"), F.lit(0)).alias("total_series"),
+        left_out("total_series", F.col("kept")).alias("omitted_series"),
+        first_keys(left).alias("omitted_keys"),
+        left_out("anomalous_series", F.col("kept") & odd).alias("omitted_anomalous"),
+        first_keys(left & odd).alias("omitted_anomalous_keys"),
+    ]
+
+
+def omitted_series(ranked: DataFrame, scope: Sequence[str], key: str, *, listed: int = MAX_LISTED) -> DataFrame:
+    """Per scope: how many series (and anomalous ones) are left out, and the first keys of each in volume order."""
+    return ranked.groupBy(*scope).agg(*omitted_columns(key, listed=listed))
 
 
 def evidence_points(

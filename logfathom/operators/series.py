@@ -22,6 +22,8 @@ Moment = str | datetime
 # Fixed value: raw points kept per series.
 MAX_POINTS = 24
 
+_HOUR_US = 3600 * MICROS
+
 
 def label_columns(logs: DataFrame, names: Sequence[str]) -> list[Column]:
     """Key columns: a flat column when the table has one of that name, else the label."""
@@ -123,39 +125,39 @@ def _zeros(first: Column, last: Column, step_us: int, zero: Column) -> Column:
 def point_index(points: DataFrame, keys: Sequence[str], *, tie: str | None = None) -> DataFrame:
     """Add ``idx`` (0-based place by time) and ``n_points`` to series of any length.
 
-    Places are counted per day and shifted by the running total of earlier days,
-    so a long series is ranked in daily pieces and never sorted in one task.
+    Places are counted per hour and shifted by the running total of earlier hours,
+    so a long series is ranked in hourly pieces and never sorted in one task. The
+    counts are joined on the same key the pieces are ranked by: one shuffle serves both.
     """
     order = [F.col("ts")] + ([F.col(tie)] if tie else [])
-    by_day = points.withColumn("__day", F.to_date("ts"))
-    per_day = by_day.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    running = F.sum("__n").over(own.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = per_day.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__day").alias("__shift_day"),
-        F.coalesce(running, F.lit(0)).alias("__shift"),
-        F.sum("__n").over(own).alias("n_points"),
+    series = F.struct(*keys) if keys else F.lit(0)
+    pieces = points.withColumns({"__series": series, "__hour": floor_div(to_micros(F.col("ts")), _HOUR_US)})
+    counts = pieces.groupBy("__series", "__hour").agg(F.count("*").alias("__n"))
+    own = Window.partitionBy("__series")
+    earlier = F.sum("__n").over(own.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select(
+        "__series", "__hour", F.coalesce(earlier, F.lit(0)).alias("__shift"), F.sum("__n").over(own).alias("n_points")
     )
-    same = by_day["__day"].eqNullSafe(shifts["__shift_day"])
-    for i, k in enumerate(keys):
-        same = same & by_day[k].eqNullSafe(shifts[f"__k{i}"])
-    inside = F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(*order)) - 1
-    placed = by_day.join(shifts, same).withColumn("idx", inside + F.col("__shift"))
+    inside = F.row_number().over(Window.partitionBy("__series", "__hour").orderBy(*order)) - 1
+    placed = pieces.join(shifts, ["__series", "__hour"]).withColumn("idx", inside + F.col("__shift"))
     return placed.select(*points.columns, "idx", "n_points")
 
 
-def downsample(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
-    """Keep the first, the last and evenly spread points of longer series. Needs ``idx`` and ``n_points``.
-
-    A row decides from its own place whether it is kept: no join, no window.
-    """
-    n, idx = F.col("n_points"), F.col("idx")
+def is_kept_point(idx: Column, n: Column, max_points: int = MAX_POINTS) -> Column:
+    """Whether a point survives down-sampling: the first, the last, and evenly spread ones between."""
     stride = (n - 1) / F.lit(float(max_points - 1))
     guess = F.round(idx / stride)
     near = F.array(guess - 1, guess, guess + 1)
     chosen = F.exists(near, lambda i: i.between(0, max_points - 1) & (F.round(i * stride) == idx))
-    return points.where((n <= max_points) | chosen)
+    return (n <= max_points) | chosen
+
+
+def downsample(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
+    """Cut longer series to ``max_points``. Needs ``idx`` and ``n_points``.
+
+    A row decides from its own place whether it is kept: no join, no window.
+    """
+    return points.where(is_kept_point(F.col("idx"), F.col("n_points"), max_points))
 
 
 def topk_series(points: DataFrame, k: int, scope: Sequence[str] = (), *, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logfathom.functions.numbers import exact_sum, finite, round_scaled, strict_double
 from logfathom.functions.timeexpr import step_minutes
-from logfathom.operators.series import point_index
+from logfathom.operators.series import is_kept_point, point_index
 
 # How much the last third must differ from the first.
 RISE = 1.3
@@ -44,11 +44,13 @@ def trend_summary(
     step: str | Column | None = None,
     series: DataFrame | None = None,
     tie: str | None = None,
+    evidence: int | None = None,
 ) -> DataFrame:
     """One row per series. Text, NaN and infinite values do not count, but keep their place in the thirds.
 
     Points that carry ``idx`` and ``n_points`` (a dense grid) need no further ranking.
-    ``series`` lists keys to report even without points.
+    ``series`` lists keys to report even without points. ``evidence`` adds that
+    many down-sampled raw points as the array ``points``, saving a second pass.
     """
     if "idx" not in points.columns or "n_points" not in points.columns:
         points = point_index(points, keys, tie=tie)
@@ -57,6 +59,9 @@ def trend_summary(
     staged = points.withColumn("__v", number)
     v, third = F.col("__v"), F.floor(F.col("n_points") / 3)
     zero = F.lit(0.0)
+    kept = is_kept_point(F.col("idx"), F.col("n_points"), evidence) if evidence else F.lit(False)
+    point = F.struct(F.col("ts"), F.col(value).alias("value"))
+    gathered = [F.array_sort(F.collect_list(F.when(kept, point))).alias("points")] if evidence else []
     raw = staged.groupBy(*keys).agg(
         F.count(v).alias("__valid"),
         F.coalesce(exact_sum(v, kind), zero).alias("__total"),
@@ -65,6 +70,7 @@ def trend_summary(
         F.count(F.when(v > 0, 1)).alias("__positive"),
         F.coalesce(F.sum(F.when(F.col("idx") < third, v)), zero).alias("__first"),
         F.coalesce(F.sum(F.when(F.col("idx") >= F.col("n_points") - third, v)), zero).alias("__last"),
+        *gathered,
     )
     if series is not None:
         raw = series.select(*keys).join(raw, list(keys), "left")
@@ -75,6 +81,7 @@ def trend_summary(
 
     summary = raw.select(
         *keys,
+        *(["points"] if evidence else []),
         rounded(F.col("__total")).alias("total"),
         rounded(F.when(valid > 0, F.col("__total") / valid)).alias("avg"),
         rounded(F.col("__latest")).alias("latest"),

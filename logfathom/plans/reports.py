@@ -13,8 +13,9 @@ from logfathom.functions.redaction import redact_columns
 from logfathom.functions.text import column_key
 from logfathom.operators.labels import check_values_limit, label_distribution, ranked_values
 from logfathom.operators.patterns import MIN_ROWS, top_patterns
-from logfathom.operators.ranking import evidence_points, omitted_series, rank_series
+from logfathom.operators.ranking import MAX_WITH_POINTS, omitted_columns, rank_series
 from logfathom.operators.select import check_limit, newest_first, sample_logs
+from logfathom.operators.series import MAX_POINTS
 from logfathom.operators.trend import trend_summary
 
 # Size budget of a report and label values left after a cut.
@@ -163,60 +164,51 @@ def stats_report(
     ``points`` is a dense grid (``idx`` and ``n_points``); ``keys`` tell series apart inside a scope.
     """
     all_keys = [*scope, *keys]
-    summaries = trend_summary(points, all_keys, step=step).withColumn("series", column_key(list(keys)))
+    summaries = trend_summary(points, all_keys, step=step, evidence=MAX_POINTS).withColumn("series", column_key(list(keys)))
     if redact:
         summaries = redact_columns(summaries, "series")
     ranked = rank_series(summaries, scope, keys)
-    left = omitted_series(ranked, scope, "series")
-    raw = evidence_points(points, ranked, all_keys)
-    kept = ranked.where("kept")
+
     fields = ["total", "avg", "avg_per_minute", "latest", "peak", "peak_time", "trend", "non_zero_pct", "anomaly"]
-    moment = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    summary = F.struct(*[F.date_format(f, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(f) if f == "peak_time" else F.col(f) for f in fields])
-    labels = F.create_map(*[x for k in keys for x in (F.lit(k), F.col(k).cast("string"))]) if keys else F.lit(None).cast("map<string,string>")
-    parts = [
-        _kind(kept, scope, "summary", F.col("report_rank"), s=F.struct(F.col("series").alias("key"), summary.alias("value")), l=labels),
-        _kind(raw, scope, "point", F.col("report_rank"), moment, d=F.struct(F.col("report_rank").alias("rank"), moment.alias("timestamp"), F.col("value").cast("string").alias("value"))),
-        _kind(
-            left, scope, "left", F.lit(0), total=F.col("total_series"), n_left=F.col("omitted_series"), left_keys=F.col("omitted_keys"),
-            n_odd=F.col("omitted_anomalous"), odd_keys=F.col("omitted_anomalous_keys"),
-        ),
-    ]
-    one = _stack(parts).groupBy(*scope).agg(
-        F.coalesce(F.max("total"), F.lit(0)).alias("total_series"),
-        F.coalesce(F.max("n_left"), F.lit(0)).alias("omitted_series"),
-        F.max("left_keys").alias("__left_keys"),
-        F.coalesce(F.max("n_odd"), F.lit(0)).alias("omitted_anomalous"),
-        F.max("odd_keys").alias("__odd_keys"),
-        _gather("summary", F.col("s")).alias("__summaries"),
-        _gather("summary", F.col("l")).alias("__labels"),
-        _gather("point", F.col("d")).alias("__points"),
+    form = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    summary = F.struct(*[F.date_format(f, form).alias(f) if f == "peak_time" else F.col(f) for f in fields])
+    pairs = [x for k in keys for x in (F.lit(k), F.col(k).cast("string"))]
+    labels = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
+    if redact and pairs:
+        labels = F.transform_values(labels, lambda _, v: redact_text(v))
+    shown = F.transform(
+        "points", lambda p: F.struct(F.date_format(p["ts"], form).alias("timestamp"), p["value"].cast("string").alias("value"))
     )
-    all_points = F.col("__points")
-
-    def with_points(l: Column, i: Column) -> Column:
-        own = F.filter(all_points, lambda p: p["rank"] == i + 1)
-        values = F.transform(own, lambda p: F.struct(p["timestamp"].alias("timestamp"), p["value"].alias("value")))
-        return F.struct(l.alias("labels"), values.alias("values"))
+    values = F.when(F.col("report_rank") <= MAX_WITH_POINTS, shown)
+    entry = F.struct(
+        F.col("report_rank").alias("place"),
+        F.struct(F.col("series").alias("key"), summary.alias("value")).alias("summary"),
+        F.struct(labels.alias("labels"), values.alias("values")).alias("series"),
+    )
+    kept = F.array_sort(F.collect_list(F.when(F.col("kept"), entry)), _by_place)
+    one = ranked.groupBy(*scope).agg(*omitted_columns("series"), kept.alias("__kept"))
 
-    some_left = F.col("omitted_series") > 0
-    some_odd = F.col("omitted_anomalous") > 0
+    some_left, some_odd = F.col("omitted_series") > 0, F.col("omitted_anomalous") > 0
     head = [
         F.col("total_series"),
         F.when(some_left, F.col("omitted_series")).alias("omitted_series"),
-        F.when(some_left, F.col("__left_keys")).alias("omitted_series_keys"),
+        F.when(some_left, F.col("omitted_keys")).alias("omitted_series_keys"),
         F.when(some_odd, F.col("omitted_anomalous")).alias("omitted_anomaly_series"),
-        F.when(some_odd, F.col("__odd_keys")).alias("omitted_anomaly_series_keys"),
+        F.when(some_odd, F.col("omitted_anomalous_keys")).alias("omitted_anomaly_series_keys"),
         F.lit(step).alias("step"),
         F.lit(query).alias("query_executed"),
         F.lit(time_range).alias("time_range"),
     ]
-    codes = [F.when(F.col("total_series") == 0, "no_rows"), F.when(some_left, "series_capped"), F.when(some_odd, "anomalous_series_omitted")]
-    noted = F.array_compact(F.array(*codes))
-    cut_codes = F.array_compact(F.array(*codes, F.lit("size_budget_points_dropped")))
-    summaries_map = F.map_from_entries(_last_by_key(F.col("__summaries"))).alias("summaries")
-    full = F.struct(*head, noted.alias("warnings"), summaries_map, F.transform("__labels", with_points).alias("series"))
-    cut = F.struct(*head, cut_codes.alias("warnings"), summaries_map)
+    codes = [
+        F.when(F.col("total_series") == 0, "no_rows"),
+        F.when(some_left, "series_capped"),
+        F.when(some_odd, "anomalous_series_omitted"),
+    ]
+    noted = F.array_compact(F.array(*codes)).alias("warnings")
+    cut_noted = F.array_compact(F.array(*codes, F.lit("size_budget_points_dropped"))).alias("warnings")
+    by_key = F.map_from_entries(_last_by_key(F.transform("__kept", lambda e: e["summary"]))).alias("summaries")
+    series = F.transform("__kept", lambda e: e["series"]).alias("series")
+    full, cut = F.struct(*head, noted, by_key, series), F.struct(*head, cut_noted, by_key)
     out = bounded_json(one, full, cut, name="stats_report", budget=budget)
     return out.select(*scope, "total_series", "omitted_series", "omitted_anomalous", "size_bytes", "form", "report")
 
