@@ -3,6 +3,8 @@
 The seven stages run in a fixed order on the running text, each as its own
 projection so a stage's input is computed once. Every stage first asks a cheap
 question (a substring or one regex probe) and leaves other texts untouched.
+Stages are SQL text over the name of their input: they nest inside lambdas, so
+one definition serves columns, map values and array elements.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ BEARER_MARK = "Bearer [REDACTED]"
 # Same matches as EMAIL, but a long run without '@' is read once instead of once per start.
 _EMAIL_LINEAR = rf"(?:\G|(?<!{_EMAIL_CHARS})){_EMAIL_CHARS}++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}"
 
-
 # Fixed value: each digit doubled, its own digits summed (Luhn).
 _DIGITS, _DOUBLED = "0123456789", "0246813579"
 _LUHN_MIN, _LUHN_MAX = 13, 19
@@ -45,92 +46,89 @@ _LUHN_MIN, _LUHN_MAX = 13, 19
 _FENCE = "\uFDD0"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def luhn_valid(text: Column) -> Column:
+def luhn_sql(text: str) -> str:
     """True when the 13 to 19 digits in ``text`` pass the Luhn check.
 
     Zeros put in front to a fixed odd width add nothing, so the digits that count
     doubled are those at odd places.
     """
+    codes = f"transform(split(lpad(d, {_LUHN_MAX}, '0'), ''), (c, i) -> ascii(if(i % 2 = 1, translate(c, '{_DIGITS}', '{_DOUBLED}'), c)))"
+    total = f"aggregate({codes}, {-_LUHN_MAX * ord('0')}, (acc, c) -> acc + c)"
+    check = f"length(d) BETWEEN {_LUHN_MIN} AND {_LUHN_MAX} AND {total} % 10 = 0"
+    return f"transform(array(regexp_replace({text}, '[^0-9]', '')), d -> {check})[0]"
 
-    def check(digits: Column) -> Column:
-        codes = F.transform(
-            F.split(F.lpad(digits, _LUHN_MAX, "0"), ""),
-            lambda d, i: F.ascii(F.when(i % 2 == 1, F.translate(d, _DIGITS, _DOUBLED)).otherwise(d)),
-        )
-        total = F.aggregate(codes, F.lit(-_LUHN_MAX * ord("0")), lambda acc, code: acc + code)
-        return F.length(digits).between(_LUHN_MIN, _LUHN_MAX) & (total % 10 == 0)
-
-    return let(F.regexp_replace(text, "[^0-9]", ""), check)
 
-
-def replace_unless(text: Column, pattern: str, mark: str, keep: Callable[[Column], Column]) -> Column:
+def replace_unless_sql(text: str, pattern: str, mark: str, keep: Callable[[str], str]) -> str:
     """Replace matches of ``pattern``, except those ``keep`` accepts; kept matches are still consumed.
 
     Matches are fenced by one replacement, so every second piece between fences is
     a match. A text that holds the fence itself is split on the pattern instead.
     """
-
-    def judged(match: Column) -> Column:
-        return F.when(keep(match), match).otherwise(F.lit(mark))
-
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_FENCE}$0{_FENCE}"), _FENCE, -1)
-    fenced = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(judged(p))), "")
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), judged)
-    zipped = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    has_fence = F.contains(text, F.lit(_FENCE))
+    pieces = f"split(regexp_replace({text}, r'{pattern}', '{_FENCE}$0{_FENCE}'), '{_FENCE}', -1)"
+    fenced = f"array_join(transform({pieces}, (p, i) -> if(i % 2 = 0 OR {keep('p')}, p, '{mark}')), '')"
+    found = f"transform(regexp_extract_all({text}, r'{pattern}', 0), m -> if({keep('m')}, m, '{mark}'))"
+    zipped = f"array_join(zip_with(split({text}, r'{pattern}', -1), {found}, (g, m) -> concat(g, coalesce(m, ''))), '')"
     return (
-        F.when(~text.rlike(pattern), text).when(has_fence, F.array_join(zipped, "")).when(text.isNotNull(), fenced)
+        f"CASE WHEN NOT rlike({text}, r'{pattern}') THEN {text} WHEN contains({text}, '{_FENCE}') THEN {zipped}"
+        f" WHEN {text} IS NOT NULL THEN {fenced} END"
     )
 
 
-def _plain(text: Column, hint: str, pattern: str, mark: str) -> Column:
-    return F.when(F.contains(text, F.lit(hint)), F.regexp_replace(text, pattern, mark)).otherwise(text)
+def _plain(text: str, hint: str, pattern: str, mark: str) -> str:
+    return f"if(contains({text}, '{hint}'), regexp_replace({text}, r'{pattern}', '{mark}'), {text})"
+
 
+def _not_card(match: str) -> str:
+    return f"NOT {luhn_sql(match)}"
 
-def _not_card(match: Column) -> Column:
-    return ~luhn_valid(match)
 
+def _private(match: str) -> str:
+    return f"rlike({match}, r'{PRIVATE_IPV4}')"
 
-STAGES: tuple[tuple[str, Callable[[Column], Column]], ...] = (
+
+STAGES: tuple[tuple[str, Callable[[str], str]], ...] = (
     ("email", lambda t: _plain(t, "@", _EMAIL_LINEAR, EMAIL_MARK)),
     ("ssn", lambda t: _plain(t, "-", SSN, SSN_MARK)),
-    ("card_16", lambda t: replace_unless(t, CARD_16, CARD_MARK, _not_card)),
-    ("card_15", lambda t: replace_unless(t, CARD_15, CARD_MARK, _not_card)),
-    ("ipv4", lambda t: replace_unless(t, IPV4, IP_MARK, lambda m: m.rlike(PRIVATE_IPV4))),
+    ("card_16", lambda t: replace_unless_sql(t, CARD_16, CARD_MARK, _not_card)),
+    ("card_15", lambda t: replace_unless_sql(t, CARD_15, CARD_MARK, _not_card)),
+    ("ipv4", lambda t: replace_unless_sql(t, IPV4, IP_MARK, _private)),
     ("jwt", lambda t: _plain(t, "eyJ", JWT, JWT_MARK)),
     ("bearer", lambda t: _plain(t, "Bearer", BEARER, BEARER_MARK)),
 )
 
 
-def redact(text: Column) -> Column:
-    """All stages on one value, for places a projection cannot reach (map and array elements)."""
-    for _, apply in STAGES:
-        text = let(text, apply)
+def luhn_valid(column: str) -> Column:
+    return F.expr(luhn_sql(column))
+
+
+def redact_sql(text: str) -> str:
+    """All stages on one value, each computed once, for places a projection cannot reach."""
+    for _, stage in STAGES:
+        text = f"transform(array({text}), t -> {stage('t')})[0]"
     return text
 
 
+def redact_values(column: str) -> Column:
+    """A string map with every value redacted."""
+    return F.expr(f"transform_values({column}, (k, v) -> {redact_sql('v')})")
+
+
 def redact_columns(df: DataFrame, columns: str | list[str], hits: str | None = None) -> DataFrame:
     """Redact string columns in place; ``hits`` adds the number of stages that changed each row's text.
 
     With several columns ``hits`` counts (column, stage) pairs.
     """
     names = [columns] if isinstance(columns, str) else list(columns)
+    last = len(STAGES)
 
     def at(stage: int, name: str) -> str:
-        return name if stage == 0 else f"__{name}_{stage}"
+        return f"`{name}`" if stage == 0 else f"__stage{stage}_{names.index(name)}"
 
     staged = df
-    for i, (_, apply) in enumerate(STAGES):
-        staged = staged.withColumns({at(i + 1, n): apply(F.col(at(i, n))) for n in names})
-    last = len(STAGES)
-    out = [F.col(at(last, c)).alias(c) if c in names else F.col(c) for c in df.columns]
+    for i, (_, stage) in enumerate(STAGES):
+        staged = staged.withColumns({at(i + 1, n): F.expr(stage(at(i, n))) for n in names})
+    out = [f"{at(last, c)} AS `{c}`" if c in names else f"`{c}`" for c in df.columns]
     if hits is not None:
-        changed = [F.col(at(i, n)) != F.col(at(i + 1, n)) for n in names for i in range(last)]
-        counts = [F.coalesce(c, F.lit(False)).cast("int") for c in changed]
-        out.append(sum(counts[1:], counts[0]).alias(hits))
-    return staged.select(*out)
+        changed = [f"int(coalesce({at(i, n)} <> {at(i + 1, n)}, false))" for n in names for i in range(last)]
+        out.append(f"{' + '.join(changed)} AS `{hits}`")
+    return staged.selectExpr(*out)

@@ -113,7 +113,7 @@ def with_message(df: DataFrame, line: str = "line", out: str = "message") -> Dat
 def series_key(labels: Column) -> Column:
     """``k=v`` pairs sorted and joined by a comma. For display: group by the labels, not by this text."""
     present = F.filter(F.map_entries(labels), lambda e: e["value"].isNotNull())
-    pairs = F.array_sort(F.transform(present, lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    pairs = F.sort_array(F.transform(present, lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return F.coalesce(_filled(F.array_join(pairs, ",")), F.lit(NO_LABELS_KEY))
 
 
@@ -122,5 +122,5 @@ def column_key(names: list[str]) -> Column:
     if not names:
         return F.lit(NO_LABELS_KEY)
     parts = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}="), F.col(n).cast("string"))) for n in names]
-    pairs = F.array_sort(F.array_compact(F.array(*parts)))
+    pairs = F.sort_array(F.array_compact(F.array(*parts)))
     return F.coalesce(_filled(F.array_join(pairs, ",")), F.lit(NO_LABELS_KEY))

@@ -23,7 +23,7 @@ def label_names(logs: DataFrame, scope: Sequence[str] = (), *, internal: bool =
     Names starting with two underscores are internal and left out unless asked for.
     """
     present = F.map_keys(F.map_filter("labels", lambda k, v: v.isNotNull()))
-    sets = logs.select(*scope, F.array_sort(present).alias("names")).distinct()
+    sets = logs.select(*scope, F.sort_array(present).alias("names")).distinct()
     names = sets.select(*scope, F.explode("names").alias("label")).distinct()
     if not internal:
         names = names.where(~F.col("label").startswith(INTERNAL_PREFIX))

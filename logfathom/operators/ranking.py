@@ -42,29 +42,34 @@ def rank_series(
     odd = F.col("anomaly").isNotNull()
     piece = Window.partitionBy(*scope, "__salt")
     piece_odd = Window.partitionBy(*scope, "__salt", "__odd")
-    local = (
-        summaries.withColumn("__odd", odd)
-        .withColumn("__salt", salted(keys, salts))
-        .withColumn("__place", F.row_number().over(piece.orderBy(*order)))
-        .withColumn("__odd_place", F.row_number().over(piece_odd.orderBy(*order)))
-        .withColumn("total_series", F.count("*").over(piece))
-        .withColumn("anomalous_series", F.count(F.when(F.col("__odd"), 1)).over(piece))
+    local = summaries.withColumns({"__odd": odd, "__salt": salted(keys, salts)}).withColumns(
+        {
+            "__place": F.row_number().over(piece.orderBy(*order)),
+            "__odd_place": F.row_number().over(piece_odd.orderBy(*order)),
+            "__all": F.count("*").over(piece),
+            "__all_odd": F.count(F.when(F.col("__odd"), 1)).over(piece),
+        }
     )
     short = local.where((F.col("__place") <= depth) | (F.col("__odd") & (F.col("__odd_place") <= depth)))
 
     one = list(scope) or [F.lit(0)]
     whole, by_odd, by_kept = Window.partitionBy(*one), Window.partitionBy(*one, "__odd"), Window.partitionBy(*one, "kept")
     lead = F.col("__place") == 1
-    ranked = (
-        short.withColumn("volume_rank", F.row_number().over(whole.orderBy(*order)))
-        .withColumn("__odd_rank", F.row_number().over(by_odd.orderBy(*order)))
-        .withColumn("total_series", F.sum(F.when(lead, F.col("total_series"))).over(whole))
-        .withColumn("anomalous_series", F.sum(F.when(lead, F.col("anomalous_series"))).over(whole))
+    ranked = short.withColumns(
+        {
+            "volume_rank": F.row_number().over(whole.orderBy(*order)),
+            "__odd_rank": F.row_number().over(by_odd.orderBy(*order)),
+            "total_series": F.sum(F.when(lead, F.col("__all"))).over(whole),
+            "anomalous_series": F.sum(F.when(lead, F.col("__all_odd"))).over(whole),
+        }
     )
     inside = F.col("volume_rank") <= cap
-    stable_inside = F.count(F.when(inside & ~F.col("__odd"), 1)).over(whole)
-    odd_inside = F.count(F.when(inside & F.col("__odd"), 1)).over(whole)
-    swapped = ranked.withColumn("__stable_in", stable_inside).withColumn("__odd_in", odd_inside)
+    swapped = ranked.withColumns(
+        {
+            "__stable_in": F.count(F.when(inside & ~F.col("__odd"), 1)).over(whole),
+            "__odd_in": F.count(F.when(inside & F.col("__odd"), 1)).over(whole),
+        }
+    )
     n = F.least(F.lit(rescue), F.col("anomalous_series") - F.col("__odd_in"), F.col("__stable_in"))
     kept = F.when(F.col("__odd"), F.col("__odd_rank") <= F.col("__odd_in") + n).otherwise(
         inside & (F.col("__odd_rank") <= F.col("__stable_in") - n)
@@ -87,7 +92,7 @@ def omitted_columns(key: str, *, listed: int = MAX_LISTED) -> list[Column]:
     entry = F.struct(F.col("volume_rank").alias("rank"), F.col(key).alias("key"))
 
     def first_keys(condition: Column) -> Column:
-        gathered = F.array_sort(F.collect_list(F.when(condition, entry)))
+        gathered = F.sort_array(F.collect_list(F.when(condition, entry)))
         return F.transform(F.slice(gathered, 1, listed), lambda e: e["key"])
 
     def left_out(whole: str, shown: Column) -> Column:

@@ -35,13 +35,14 @@ def top_k(
     """
     piece = Window.partitionBy(*scope, "__salt")
     whole = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
-    local = df.withColumn("__salt", salted(items, salts)).withColumn("__local", F.row_number().over(piece.orderBy(*order)))
-    for name, value in totals.items():
-        local = local.withColumn(name, F.sum(value).over(piece))
+    local = df.withColumn("__salt", salted(items, salts)).withColumns(
+        {"__local": F.row_number().over(piece.orderBy(*order)), **{n: F.sum(v).over(piece) for n, v in totals.items()}}
+    )
     short = local.where(F.col("__local") <= k)
-    ranked = short.withColumn(rank, F.row_number().over(whole.orderBy(*order)))
-    for name in totals:
-        ranked = ranked.withColumn(name, F.sum(F.when(F.col("__local") == 1, F.col(name))).over(whole))
+    lead = F.col("__local") == 1
+    ranked = short.withColumns(
+        {rank: F.row_number().over(whole.orderBy(*order)), **{n: F.sum(F.when(lead, F.col(n))).over(whole) for n in totals}}
+    )
     return ranked.where(F.col(rank) <= k).drop("__salt", "__local")
 
 

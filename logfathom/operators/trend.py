@@ -61,7 +61,7 @@ def trend_summary(
     zero = F.lit(0.0)
     kept = is_kept_point(F.col("idx"), F.col("n_points"), evidence) if evidence else F.lit(False)
     point = F.struct(F.col("ts"), F.col(value).alias("value"))
-    gathered = [F.array_sort(F.collect_list(F.when(kept, point))).alias("points")] if evidence else []
+    gathered = [F.sort_array(F.collect_list(F.when(kept, point))).alias("points")] if evidence else []
     raw = staged.groupBy(*keys).agg(
         F.count(v).alias("__valid"),
         F.coalesce(exact_sum(v, kind), zero).alias("__total"),

@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.functions.redaction import redact as redact_text
-from logfathom.functions.redaction import redact_columns
+from logfathom.functions.redaction import redact_columns, redact_values
 from logfathom.functions.text import column_key
 from logfathom.operators.labels import check_values_limit, label_distribution, ranked_values
 from logfathom.operators.patterns import MIN_ROWS, top_patterns
@@ -89,8 +88,7 @@ def logs_report(
     if redact:
         patterns = redact_columns(patterns, ["pattern", "sample"])
         values = _merge_equal(redact_columns(values, "value"), scope)
-        shown = F.transform_values("labels", lambda _, v: redact_text(v))
-        rows = redact_columns(rows.withColumn("labels", shown), "line")
+        rows = redact_columns(rows.withColumn("labels", redact_values("labels")), "line")
     pattern = F.struct("pattern", "count", "pct", "sample")
     moment = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     stacked = _stack(
@@ -174,8 +172,9 @@ def stats_report(
     summary = F.struct(*[F.date_format(f, form).alias(f) if f == "peak_time" else F.col(f) for f in fields])
     pairs = [x for k in keys for x in (F.lit(k), F.col(k).cast("string"))]
     labels = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
-    if redact and pairs:
-        labels = F.transform_values(labels, lambda _, v: redact_text(v))
+    ranked = ranked.withColumn("__labels", labels)
+    if redact:
+        ranked = ranked.withColumn("__labels", F.when(F.col("kept"), redact_values("__labels")))
     shown = F.transform(
         "points", lambda p: F.struct(F.date_format(p["ts"], form).alias("timestamp"), p["value"].cast("string").alias("value"))
     )
@@ -183,7 +182,7 @@ def stats_report(
     entry = F.struct(
         F.col("report_rank").alias("place"),
         F.struct(F.col("series").alias("key"), summary.alias("value")).alias("summary"),
-        F.struct(labels.alias("labels"), values.alias("values")).alias("series"),
+        F.struct(F.col("__labels").alias("labels"), values.alias("values")).alias("series"),
     )
     kept = F.array_sort(F.collect_list(F.when(F.col("kept"), entry)), _by_place)
     one = ranked.groupBy(*scope).agg(*omitted_columns("series"), kept.alias("__kept"))
@@ -234,7 +233,7 @@ def label_values_report(
     values = ranked_values(logs, name, scope, contains, n)
     if redact:
         values = redact_columns(values, "value")
-    found = F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("rank", "value"))))
+    found = F.sort_array(F.collect_list(F.when(F.col("hit"), F.struct("rank", "value"))))
     one = values.groupBy(*scope).agg(
         F.coalesce(F.max("total_values"), F.lit(0)).alias("total_values"),
         F.coalesce(F.max("total_label_values"), F.lit(0)).alias("total_label_values"),
