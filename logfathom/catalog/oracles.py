@@ -481,6 +481,13 @@ SELECT event_type, count(*) FILTER (contains(value, '1')) AS total_values, count
   '["' || array_to_string(list(value ORDER BY value) FILTER (contains(value, '1'))[1:5], '","') || '"]' AS values
 FROM v GROUP BY 1"""
 
+ORACLES["shrunk_reports"] = f"""
+WITH {EV} SELECT uid AS user_id, count(*) AS matched, 'shrunk' AS form, true AS within_budget,
+  CAST(least(count(DISTINCT pattern), 10) AS INTEGER) AS patterns FROM ev GROUP BY 1"""
+
+ORACLES["oversized_notices"] = """
+SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS matched, 'notice' AS form, 'true' AS truncated, true AS larger FROM events GROUP BY 1"""
+
 # --- recipes ---------------------------------------------------------------
 
 ERROR_ONLY = ONE_SCOPE.replace(dense(USER, "24 HOUR", 86400), dense(USER, "24 HOUR", 86400, "event_type = 'error'"))

@@ -583,10 +583,22 @@ def label_values_report(spark, sf_dir):
 
 @query
 def shrunk_reports(spark, sf_dir):
-    """Reports per user over a tight budget lose rows first and become a notice last."""
-    logs = events_logs(spark, sf_dir).select("*", sel.label("user_id").alias("user_id"))
-    out = reports.logs_report(logs, ["user_id"], limit=100, budget=2600)
-    return out.select("user_id", "matched", "size_bytes", "form", F.octet_length("report").alias("bytes"))
+    """Reports per user over a tight budget lose raw rows and label values, never their patterns."""
+    logs = spread(events_logs(spark, sf_dir)).select("*", sel.label("user_id").alias("user_id"))
+    out = reports.logs_report(logs, ["user_id"], limit=100, budget=1_500)
+    patterns = F.json_array_length(F.get_json_object("report", "$.top_patterns"))
+    fits = F.octet_length("report") <= 1_500
+    return out.select("user_id", "matched", "form", fits.alias("within_budget"), patterns.alias("patterns"))
+
+
+@query
+def oversized_notices(spark, sf_dir):
+    """A budget that not even the patterns fit leaves a small notice with the size."""
+    logs = spread(events_logs(spark, sf_dir)).select("*", sel.label("user_id").alias("user_id"))
+    out = reports.logs_report(logs, ["user_id"], limit=100, budget=150)
+    read = lambda path: F.get_json_object("report", path)
+    larger = read("$.original_bytes").cast("bigint") > 150
+    return out.select("user_id", "matched", "form", read("$.truncated").alias("truncated"), larger.alias("larger"))
 
 
 # --- recipes ---------------------------------------------------------------
