@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfathom.functions.clock import floor_div, from_micros, span_micros, to_micros
@@ -106,18 +106,23 @@ def last_match(
 ) -> DataFrame:
     """Per request the time of the newest row in [end_ts - back_hours, end_ts), as ``last_ts``.
 
-    Rows are reduced to one maximum per (keys, bucket) before they meet the
-    requests; only the bucket an end falls into is looked at row by row.
+    Rows are reduced to one maximum per (keys, bucket) and carried forward over empty
+    buckets, so a request looks up one row for everything before the bucket its end
+    falls into; only that bucket is looked at row by row.
     """
     width = span_micros(bucket)
     end_us, lo_us = to_micros(F.col("end_ts")), to_micros(_shift(F.col("end_ts"), -back_hours))
     asked = requests.select(request, *on, "end_ts", lo_us.alias("__lo"), floor_div(end_us, width).alias("__end_bucket"))
     rows = logs.select(*on, F.col("ts"), floor_div(to_micros(F.col("ts")), width).alias("__bucket"))
 
+    reach = back_hours * _HOUR_US // width + 1
+    own = Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))
     newest = rows.groupBy(*on, "__bucket").agg(F.max("ts").alias("ts"))
-    earlier = F.sequence(floor_div(F.col("__lo"), width), F.col("__end_bucket") - 1)
-    whole = asked.withColumn("__bucket", F.explode(earlier))
-    from_whole = newest.join(whole, ["__bucket", *on]).select(request, "ts", "__lo")
+    until = F.coalesce(F.lead("__bucket").over(own.orderBy("__bucket")) - 1, F.col("__bucket") + reach)
+    spans = newest.withColumn("__until", F.least(until, F.col("__bucket") + reach))
+    carried = spans.withColumn("__bucket", F.explode(F.sequence("__bucket", "__until"))).drop("__until")
+    before = asked.withColumn("__bucket", F.col("__end_bucket") - 1)
+    from_whole = carried.join(before, ["__bucket", *on]).select(request, "ts", "__lo")
     edge = asked.withColumn("__bucket", F.col("__end_bucket"))
     from_edge = rows.join(edge, ["__bucket", *on]).where(F.col("ts") < F.col("end_ts")).select(request, "ts", "__lo")
     seen = from_whole.unionByName(from_edge).where(to_micros(F.col("ts")) >= F.col("__lo"))
