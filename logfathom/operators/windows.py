@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logfathom.functions.clock import floor_div, from_micros, span_micros, to_micros
+from logfathom.functions.clock import MICROS, floor_div, from_micros, span_micros, to_micros
 from logfathom.functions.timeexpr import auto_step, time_or_default
 
 # Default look-back of queries and of label lookups, widest window, widening rungs in hours.
@@ -102,31 +103,41 @@ def rows_in_windows(
 
 
 def last_match(
-    logs: DataFrame, requests: DataFrame, on: Sequence[str], *, request: str, back_hours: int, bucket: str = "1d"
+    logs: DataFrame, requests: DataFrame, on: Sequence[str], *, back_hours: int, bucket: str = "1d"
 ) -> DataFrame:
-    """Per request the time of the newest row in [end_ts - back_hours, end_ts), as ``last_ts``.
+    """Per (keys, end_ts) of the requests the newest row in [end_ts - back_hours, end_ts), as ``last_ts``.
 
-    Rows are reduced to one maximum per (keys, bucket) and carried forward over empty
-    buckets, so a request looks up one row for everything before the bucket its end
-    falls into; only that bucket is looked at row by row.
+    Rows are reduced to one maximum per (keys, second), and those to one per (keys,
+    bucket) carried forward over empty buckets. Each distinct end then looks up one
+    carried row for all earlier buckets, the seconds before it in its own bucket, and
+    row by row only its own second, so pairs do not grow with the volume of a key.
     """
     width = span_micros(bucket)
-    end_us, lo_us = to_micros(F.col("end_ts")), to_micros(_shift(F.col("end_ts"), -back_hours))
-    asked = requests.select(request, *on, "end_ts", lo_us.alias("__lo"), floor_div(end_us, width).alias("__end_bucket"))
-    rows = logs.select(*on, F.col("ts"), floor_div(to_micros(F.col("ts")), width).alias("__bucket"))
+    ends = requests.select(*on, "end_ts").distinct().withColumns(
+        {
+            "__lo": to_micros(_shift(F.col("end_ts"), -back_hours)),
+            "__end_bucket": floor_div(to_micros(F.col("end_ts")), width),
+            "__end_second": floor_div(to_micros(F.col("end_ts")), MICROS),
+        }
+    )
+    rows = logs.select(*on, F.col("ts"), floor_div(to_micros(F.col("ts")), MICROS).alias("__second"))
+    seconds = rows.groupBy(*on, "__second").agg(F.max("ts").alias("ts"))
+    slots = seconds.withColumn("__bucket", floor_div(to_micros(F.col("ts")), width))
 
     reach = back_hours * _HOUR_US // width + 1
     own = Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))
-    newest = rows.groupBy(*on, "__bucket").agg(F.max("ts").alias("ts"))
+    newest = slots.groupBy(*on, "__bucket").agg(F.max("ts").alias("ts"))
     until = F.coalesce(F.lead("__bucket").over(own.orderBy("__bucket")) - 1, F.col("__bucket") + reach)
     spans = newest.withColumn("__until", F.least(until, F.col("__bucket") + reach))
-    carried = spans.withColumn("__bucket", F.explode(F.sequence("__bucket", "__until"))).drop("__until")
-    before = asked.withColumn("__bucket", F.col("__end_bucket") - 1)
-    from_whole = carried.join(before, ["__bucket", *on]).select(request, "ts", "__lo")
-    edge = asked.withColumn("__bucket", F.col("__end_bucket"))
-    from_edge = rows.join(edge, ["__bucket", *on]).where(F.col("ts") < F.col("end_ts")).select(request, "ts", "__lo")
-    seen = from_whole.unionByName(from_edge).where(to_micros(F.col("ts")) >= F.col("__lo"))
-    return seen.groupBy(request).agg(F.max("ts").alias("last_ts"))
+    carried = spans.withColumn("__bucket", F.explode(F.sequence("__bucket", "__until")))
+
+    earlier = carried.join(ends.withColumn("__bucket", F.col("__end_bucket") - 1), ["__bucket", *on])
+    same_bucket = slots.join(ends.withColumn("__bucket", F.col("__end_bucket")), ["__bucket", *on])
+    same_second = rows.join(ends.withColumn("__second", F.col("__end_second")), ["__second", *on])
+    parts = [earlier, same_bucket.where(F.col("__second") < F.col("__end_second")), same_second.where(F.col("ts") < F.col("end_ts"))]
+    seen = reduce(DataFrame.unionByName, [p.select(*on, "end_ts", "ts", "__lo") for p in parts])
+    inside = seen.where(to_micros(F.col("ts")) >= F.col("__lo"))
+    return inside.groupBy(*on, "end_ts").agg(F.max("ts").alias("last_ts"))
 
 
 def auto_widen(
@@ -134,7 +145,6 @@ def auto_widen(
     windows: DataFrame,
     on: Sequence[str] = (),
     *,
-    request: str = "request_id",
     rungs: Sequence[int] = WIDEN_HOURS,
     max_hours: int | None = MAX_RANGE_HOURS,
 ) -> DataFrame:
@@ -147,8 +157,7 @@ def auto_widen(
     """
     allowed = sorted(h for h in rungs if max_hours is None or h <= max_hours)
     span = max([MAX_RANGE_HOURS, *allowed])
-    found = last_match(logs, windows, on, request=request, back_hours=span)
-    base = windows.join(found, request, "left")
+    base = windows.join(last_match(logs, windows, on, back_hours=span), [*on, "end_ts"], "left")
     start, end, last = F.col("start_ts"), F.col("end_ts"), F.col("last_ts")
     hit = F.coalesce(last >= start, F.lit(False))
     eligible = ~hit & ~F.col("start_given")

@@ -124,3 +124,23 @@ def test_rows_in_windows(spark, bucket):
     win_df = spark.createDataFrame(spans, "w int, start_ts timestamp_ntz, end_ts timestamp_ntz")
     got = {(r["id"], r["w"]) for r in win.rows_in_windows(log_df, win_df, bucket=bucket).collect()}
     assert got == {(i, w) for i, t in logs for w, s, e in spans if s <= t < e}
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_last_match_equals_brute_force(spark, keyed):
+    import random
+
+    rnd = random.Random(11)
+    stamp = lambda spread: NOW - timedelta(microseconds=rnd.choice([rnd.randint(0, spread), rnd.randint(0, 3_000_000)]))
+    rows = [(rnd.choice("aab"), stamp(40 * 86_400_000_000)) for _ in range(150)] + [("a", NOW), ("b", NOW - timedelta(hours=720))]
+    asked = [(i, rnd.choice("abc"), stamp(20 * 86_400_000_000)) for i in range(200)] + [(900, "a", NOW), (901, "b", NOW)]
+    logs = spark.createDataFrame(rows, "key string, ts timestamp_ntz")
+    requests = spark.createDataFrame(asked, "request_id int, key string, end_ts timestamp_ntz")
+    on = ["key"] if keyed else []
+    found = requests.join(win.last_match(logs, requests, on, back_hours=720), [*on, "end_ts"])
+    want = {}
+    for i, key, end in asked:
+        inside = [t for k, t in rows if (k == key or not keyed) and end - timedelta(hours=720) <= t < end]
+        if inside:
+            want[i] = max(inside)
+    assert {r["request_id"]: r["last_ts"] for r in found.collect()} == want
