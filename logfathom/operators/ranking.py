@@ -77,6 +77,7 @@ def rank_series(
     marked = swapped.withColumn("kept", kept)
     place = F.row_number().over(by_kept.orderBy(*order))
     placed = marked.withColumn("report_rank", F.when(F.col("kept"), place))
+    placed = placed.where((F.col("volume_rank") <= depth) | (F.col("__odd") & (F.col("__odd_rank") <= depth)))
     extra = ["volume_rank", "kept", "report_rank", "total_series", "anomalous_series"]
     return placed.select(*[c for c in summaries.columns if c not in extra], *extra)
 

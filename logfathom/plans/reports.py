@@ -163,9 +163,9 @@ def stats_report(
     """
     all_keys = [*scope, *keys]
     summaries = trend_summary(points, all_keys, step=step, evidence=MAX_POINTS).withColumn("series", column_key(list(keys)))
-    if redact:
-        summaries = redact_columns(summaries, "series")
     ranked = rank_series(summaries, scope, keys)
+    if redact:
+        ranked = redact_columns(ranked, "series")
 
     fields = ["total", "avg", "avg_per_minute", "latest", "peak", "peak_time", "trend", "non_zero_pct", "anomaly"]
     form = "yyyy-MM-dd'T'HH:mm:ss'Z'"
