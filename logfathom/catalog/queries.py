@@ -18,7 +18,7 @@ from logfathom.operators import select as sel
 from logfathom.operators import series as ser
 from logfathom.operators import windows as win
 from logfathom.operators.patterns import count_patterns, top_patterns, with_pattern
-from logfathom.operators.ranking import evidence_points, omitted_series, rank_series
+from logfathom.operators.ranking import evidence_points, omitted_series, rank_series, reported_series
 from logfathom.operators.trend import trend_summary
 from logfathom.plans import recipes, reports
 from logfathom.session import prepare
@@ -308,7 +308,7 @@ def series_rank_rescue(spark, sf_dir):
     """K6 K7: reported series per event type, anomalous ones rescued."""
     keys = ["event_type", "user_id"]
     summaries = trend_summary(_daily_users(spark, sf_dir, keys), keys, step="24h")
-    kept = rank_series(summaries, ["event_type"], ["user_id"]).where("kept")
+    kept = reported_series(rank_series(summaries, ["event_type"], ["user_id"]))
     return kept.select("event_type", "user_id", "total", "anomaly", "report_rank", "volume_rank", "total_series", "anomalous_series")
 
 
@@ -608,7 +608,7 @@ def oversized_notices(spark, sf_dir):
 def error_rate(spark, sf_dir):
     """Daily errors per user, the reported series."""
     ranked = recipes.error_rate(events_logs(spark, sf_dir), [("event_type", "=", "error")], ["user_id"], step="24h", start=START, end=END)
-    return ranked.where("kept").select("user_id", "total", "trend", "anomaly", "report_rank")
+    return reported_series(ranked).select("user_id", "total", "trend", "anomaly", "report_rank")
 
 
 @query

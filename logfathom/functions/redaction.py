@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from logfathom.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD
 
 # What is looked for and what replaces it, in order.
-_EMAIL_CHARS = r"[a-zA-Z0-9._%+\-]"
-EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+LOCAL_CHARS = r"[a-zA-Z0-9._%+\-]"
+DOMAIN = r"[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 SSN = rf"{NOT_AFTER_WORD}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{NOT_BEFORE_WORD}"
 CARD_16 = rf"{NOT_AFTER_WORD}[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}{NOT_BEFORE_WORD}"
 CARD_15 = rf"{NOT_AFTER_WORD}[0-9]{{4}}[- ]?[0-9]{{6}}[- ]?[0-9]{{5}}{NOT_BEFORE_WORD}"
@@ -34,9 +34,9 @@ IP_MARK = "[REDACTED_IP]"
 JWT_MARK = "[REDACTED_JWT]"
 BEARER_MARK = "Bearer [REDACTED]"
 
-# A match starts where the last one ended or where a run of address characters starts.
-# Same matches as EMAIL, but a long run without '@' is read once instead of once per start.
-_EMAIL_LINEAR = rf"(?:\G|(?<!{_EMAIL_CHARS})){_EMAIL_CHARS}++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}"
+# An address starts where the last one ended or where a run of its characters starts:
+# what LOCAL_CHARS+@DOMAIN finds, but a long run without '@' is read once, not once per start.
+EMAIL = rf"(?:\G|(?<!{LOCAL_CHARS})){LOCAL_CHARS}++@{DOMAIN}"
 
 # Fixed value: each digit doubled, its own digits summed (Luhn).
 _DIGITS, _DOUBLED = "0123456789", "0246813579"
@@ -87,7 +87,7 @@ def _private(match: str) -> str:
 
 
 STAGES: tuple[tuple[str, Callable[[str], str]], ...] = (
-    ("email", lambda t: _plain(t, "@", _EMAIL_LINEAR, EMAIL_MARK)),
+    ("email", lambda t: _plain(t, "@", EMAIL, EMAIL_MARK)),
     ("ssn", lambda t: _plain(t, "-", SSN, SSN_MARK)),
     ("card_16", lambda t: replace_unless_sql(t, CARD_16, CARD_MARK, _not_card)),
     ("card_15", lambda t: replace_unless_sql(t, CARD_15, CARD_MARK, _not_card)),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from logfathom.functions.clock import MICROS, floor_div, from_micros, ntz, span_micros, to_micros
 from logfathom.functions.numbers import round_scaled
-from logfathom.functions.text import column_key
 from logfathom.operators.patterns import top_patterns, with_pattern
 from logfathom.operators.ranking import rank_series
 from logfathom.operators.select import line_filter, select_logs, time_order
@@ -193,8 +192,3 @@ def severity(health: DataFrame, trends: DataFrame, key: str) -> DataFrame:
         .otherwise("warning")
     )
     return joined.withColumn("error_share", round_scaled(share, 4)).withColumn("verdict", verdict)
-
-
-def named_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the display key of each series."""
-    return df.withColumn("series", column_key(list(keys)))
