@@ -86,7 +86,7 @@ def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER, train_on:
                 starts, ends = np.array(got.offsets, np.int32).reshape(-1, 2).T
                 mask = loss_tokens(starts, ends, [s for s, (role, _) in zip(spans, pairs, strict=True) if role == train_on])
                 out.append((conv_id, formatted, got.ids, starts, ends, mask))
-            yield pd.DataFrame(out, columns=["conv_id", "formatted", "input_ids", "token_start", "token_end", "loss_mask"])
+            yield pd.DataFrame(out, columns=["conv_id", "formatted", "input_ids", "token_start", "token_end", "loss_mask"], dtype=object)
 
     return grouped.mapInPandas(run, FORMATTED)
 
@@ -119,7 +119,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (seen, loss)]
                 out.append((row.conv_id, len(turns), sha[0], len(loss), sha[1], len(row.formatted), len(row.input_ids), int(np.sum(row.loss_mask))))
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     kept = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     return formatted.mapInPandas(run, f"{kept}, n_tokens bigint, loss_tokens bigint")

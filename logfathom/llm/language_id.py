@@ -70,7 +70,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     total += np.bincount(b[w], minlength=1 << BUCKET_BITS)
     for lang, total in sums.items():
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
+        yield pd.DataFrame({"lang": pd.Series([lang] * len(at), dtype=object), "bucket": at, "n": total[at]})
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS):
