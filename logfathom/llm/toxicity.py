@@ -7,7 +7,7 @@ trigram model of the whole corpus, and the restored words are scored.
 
 ``language_model`` counts character trigrams over all words of all documents on the cluster (the model holds at most
 ``ALPHABET`` letters cubed). ``train`` counts restored words in toxic and other labelled texts and keeps those whose
-excess among toxic ones is significant. ``score`` combines the words found by noisy-or. A token is decoded when it is
+excess among toxic ones is significant; a logistic regression weighs them. A token is decoded when it is
 ambiguous and one of its readings could be a kept word; no other token can change a score.
 
 Defined results: null and empty texts, and texts without a kept word, score the base rate of such texts. Without labels,
@@ -31,7 +31,7 @@ from logfathom.llm.common import bounded
 
 TRAIN_ROWS = 40_000
 ALPHABET = 64
-EXCESS = 24.0  # twice the log-likelihood ratio that a kept word needs
+EXCESS = 16.0  # twice the log-likelihood ratio that a kept word needs
 MOST_WORDS = 5_000  # of the word table, strongest first
 CUT = 0.7
 
@@ -211,26 +211,68 @@ def train(labelled: DataFrame, model: LanguageModel, text: str = "text", label:
     excess = 2 * (F.col("y") * F.log(rate / base) + F.when(miss > 0, miss * F.log((1 - rate) / (1 - base))).otherwise(0.0))
     strong = counted.where((F.col("y") > 0) & (rate >= max(0.5, 1.5 * base))).withColumn("excess", excess).where(F.col("excess") >= EXCESS)
     kept = strong.orderBy(F.desc("excess"), "word").limit(MOST_WORDS).toPandas()
-    chance = {w: (y + 4 * base) / (n + 4) for w, n, y in zip(kept["word"], kept["n"], kept["y"], strict=True)}
-    fitted = {"model": model, "chance": chance, "base": 0.0}
-    rest = score(sample.withColumnRenamed("t", "text"), fitted).where("score = 0").agg(F.count("*"), F.sum("y")).first()
-    fitted["base"] = (rest[1] or 0) / max(1, rest[0])
-    return fitted
+    words = sorted(kept["word"])
+    spotted = _spot(sample, {"model": model, "weight": dict.fromkeys(words, 0.0)}).where(F.size("found") > 0)
+    got = spotted.select("y", "found").toPandas()  # rows of the bounded sample that hold kept words
+    weight, bias = _weigh(words, got["found"].tolist(), got["y"].to_numpy(dtype=float))
+    rest, toxic = totals[0] - len(got), totals[1] - got["y"].sum()
+    return {"model": model, "weight": weight, "bias": bias, "base": float(toxic / max(1, rest))}
+
+
+def _weigh(words: list[str], found: list, y: np.ndarray, steps: int = 400) -> tuple[dict[str, float], float]:
+    """Logistic regression on which kept words a text holds: words that come together share their evidence."""
+    index = {w: i for i, w in enumerate(words)}
+    rows = np.array([i for i, ws in enumerate(found) for _ in ws], dtype=int)
+    cols = np.array([index[w] for ws in found for w in ws], dtype=int)
+    w, bias = np.zeros(len(words) + 1), 0.0
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        raw = w[-1] + np.bincount(rows, weights=w[cols], minlength=len(y))
+        miss = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y
+        grad = np.append(np.bincount(cols, weights=miss[rows], minlength=len(words)) + 0.1 * w[:-1], miss.sum())
+        m += 0.1 * (grad - m)
+        v += 0.001 * (grad * grad - v)
+        w -= 0.1 * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    bias = float(w[-1])
+    return dict(zip(words, w[:-1].tolist(), strict=True)), bias
+
+
+def _spot(docs: DataFrame, fitted: dict, text: str = "t") -> DataFrame:
+    """Adds ``found``: the kept words that a text holds, restored, in order."""
+    shared = docs.sparkSession.sparkContext.broadcast((fitted["model"], set(fitted["weight"])))
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(*shared.value)
+        for batch in batches:
+            yield pd.Series([sorted(reader.found(t)) for t in batch], dtype=object)
 
+    return docs.withColumn("found", run(F.col(text)))
 
-def score(docs: DataFrame, fitted: dict | None, text: str = "text", cut: float = CUT) -> DataFrame:
-    """The given rows with ``score`` in 0 to 1 and ``predicted`` (1 from ``cut`` on)."""
+
+def _scorer(docs: DataFrame, fitted: dict):
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        reader = Reader(own["model"], set(own["chance"])) if own else None
+        reader, weight = Reader(own["model"], set(own["weight"])), own["weight"]
         for batch in batches:
-            if reader is None:
-                yield pd.Series(np.zeros(len(batch)))
-            else:
-                yield pd.Series([1 - (1 - own["base"]) * math.prod(1 - own["chance"][w] for w in sorted(reader.found(t))) for t in batch], dtype=float)
+            out = []
+            for text in batch:
+                words = sorted(reader.found(text))
+                raw = own["bias"] + math.fsum(weight[w] for w in words)
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, raw)))) if words else own["base"])
+            yield pd.Series(out, dtype=float)
 
-    scored = docs.drop("score", "predicted").withColumn("score", run(F.col(text)))
+    return run
+
+
+def score(docs: DataFrame, fitted: dict | None, text: str = "text", cut: float = CUT) -> DataFrame:
+    """The given rows with ``score`` in 0 to 1 and ``predicted`` (1 from ``cut`` on)."""
+    docs = docs.drop("score", "predicted")
+    if fitted is None:
+        scored = docs.withColumn("score", F.lit(0.0))
+    else:
+        scored = docs.withColumn("score", _scorer(docs, fitted)(F.col(text)))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
