@@ -1,6 +1,7 @@
 """Corpus queries and the SQL some of them are checked against."""
 
-from logfathom.llm.oracles import ORACLES
-from logfathom.llm.queries import QUERIES
+import corpus_pipeline
+from logfathom.llm import oracles, queries
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = queries.QUERIES | {"pipeline": corpus_pipeline.run}
+ORACLES = oracles.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

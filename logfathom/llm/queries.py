@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm import chat_format, html_text, language_id, mixing, near_dedup, pivot_index, quality, substring, toxicity
+from logfathom.llm import chat_format, decontaminate, html_text, language_id, mixing, near_dedup, pivot_index, quality, substring, toxicity
 from logfathom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows)).drop("n_tokens", "loss_tokens")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_pivot_search": op4_pivot_search,
     "op5_chat_format": op5_chat_format,
+    "op6_decontaminate": op6_decontaminate,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_mix_sources": op8_mix_sources,
     "op9_html_text": op9_html_text,
