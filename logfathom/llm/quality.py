@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from logfathom.llm.common import LINE, bounded
 
 TRAIN_ROWS = 20_000
-HIDDEN = 16
+HIDDEN = 8
+DECAY = 0.03  # of weights; keeps a few hundred positives from being learnt by heart
 FEATURES = 22
 
 
@@ -75,7 +76,7 @@ def _forward(net: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hidden, hidden @ net[2] + net[3][0]
 
 
-def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = 1500, batch: int = 1024) -> list[np.ndarray]:
+def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = 600, batch: int = 1024) -> list[np.ndarray]:
     """Adam on the non-negative risk, or with no prior on plain positive-against-unlabelled log loss."""
     rng = np.random.default_rng(11)
     net = [rng.normal(0, 0.3, (pos.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
@@ -95,7 +96,7 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = 150
             else:  # step back until the estimated negative risk is no longer negative
                 slope = np.where(is_pos, prior * bend, -bend)
         back = np.outer(slope, net[2]) * (1 - hidden**2)
-        grads = [x.T @ back + 1e-4 * net[0], back.sum(0), hidden.T @ slope + 1e-4 * net[2], np.array([slope.sum()])]
+        grads = [x.T @ back + DECAY * net[0], back.sum(0), hidden.T @ slope + DECAY * net[2], np.array([slope.sum()])]
         rate = 0.02 * (1 - 0.9 * step / steps)
         for w, g, m, v in zip(net, grads, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -126,7 +127,7 @@ def train(docs: DataFrame, positives: DataFrame, text: str = "text", key: str =
     mean, scale = unl.mean(0), unl.std(0) + 1e-6
     norm = lambda x: np.clip((x - mean) / scale, -6, 6)
     pos, unl = norm(pos), norm(unl)
-    first = _fit(pos, unl, None, steps=600)
+    first = _fit(pos, unl, None)
     prior = class_prior(_forward(first, pos)[1], _forward(first, unl)[1])
     return {"mean": mean, "scale": scale, "net": _fit(pos, unl, prior), "prior": prior}
 
