@@ -101,7 +101,7 @@ WITH lines AS (
 ), masked AS (
   SELECT doc_id, line_no, replace(regexp_replace(line, '{_VOLATILE}', '<*>', 'g'), '<*>:<*>', '<*>') AS p FROM lines
 )
-SELECT doc_id, line_no, CASE WHEN strlen(p) > 200 THEN {cut("p", 200)} || '...' ELSE p END AS pattern FROM masked"""
+SELECT doc_id, line_no, p AS pattern FROM masked"""
 
 ORACLES["cap_long_lines"] = f"""
 SELECT doc_id, CASE WHEN strlen(text) > 1500 THEN {cut("text", 1500)} || '…[truncated]' ELSE text END AS capped,

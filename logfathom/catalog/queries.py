@@ -23,7 +23,7 @@ from logfathom.operators.trend import trend_summary
 from logfathom.plans import recipes, reports
 from logfathom.session import prepare
 from logfathom.sources import payloads
-from logfathom.sources.logs import document_lines, events_logs, orders_logs, spread
+from logfathom.sources.logs import document_lines, events_logs, orders_logs
 from logfathom.streaming.counts import streaming_count_over_time
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,20 +124,20 @@ def sample_logs(spark, sf_dir):
 @query
 def extract_message(spark, sf_dir):
     """The message inside JSON, logfmt and plain lines."""
-    return with_pattern(spread(events_logs(spark, sf_dir))).select("id", "message")
+    return with_pattern(events_logs(spark, sf_dir)).select("id", "message")
 
 
 @query
 def message_signature(spark, sf_dir):
     """Volatile parts masked."""
-    return with_pattern(spread(orders_logs(spark, sf_dir))).select("id", "pattern")
+    return with_pattern(orders_logs(spark, sf_dir)).select("id", "pattern")
 
 
 @query
 def document_signatures(spark, sf_dir):
     """P3 P6 on multilingual lines with accents beside digits."""
     lines = document_lines(spark, sf_dir)
-    return with_pattern(spread(lines)).select("doc_id", "line_no", "pattern")
+    return with_pattern(lines).select("doc_id", "line_no", "pattern")
 
 
 @query
@@ -167,20 +167,20 @@ def nano_times(spark, sf_dir):
 @query
 def top_error_patterns(spark, sf_dir):
     """A2 A3 A4 K4: the flagship report, ten commonest patterns among errors."""
-    return top_patterns(spread(_errors(spark, sf_dir)))
+    return top_patterns(_errors(spark, sf_dir))
 
 
 @query
 def top_patterns_by_scope(spark, sf_dir):
     """A2 A3 A4 K4 for every order status at once, first message in forward order."""
-    logs = spread(orders_logs(spark, sf_dir)).withColumn("status", sel.label("status"))
+    logs = orders_logs(spark, sf_dir).withColumn("status", sel.label("status"))
     return top_patterns(logs, ["status"], k=5, direction="forward")
 
 
 @query
 def pattern_counts(spark, sf_dir):
     """A2 without the cap."""
-    return count_patterns(spread(events_logs(spark, sf_dir))).select("pattern", "count")
+    return count_patterns(events_logs(spark, sf_dir)).select("pattern", "count")
 
 
 # --- labels ----------------------------------------------------------------
@@ -354,7 +354,7 @@ def _expressions(spark, sf_dir) -> DataFrame:
     expr = F.lit(None).cast("string")
     for i, form in reversed(list(enumerate(forms))):
         expr = F.when(kind == i, form).otherwise(expr)
-    return spread(e.select("event_id", F.col("ts").alias("as_of"), expr.alias("expr")))
+    return e.select("event_id", F.col("ts").alias("as_of"), expr.alias("expr"))
 
 
 @query
@@ -382,7 +382,7 @@ def range_repair(spark, sf_dir):
     end_h = F.pmod("event_id", F.lit(11)) - 5
     shift = lambda h: F.col("ts") + F.make_dt_interval(hours=h.cast("int"))
     raw = e.select("event_id", F.col("ts").alias("as_of"), shift(start_h).alias("start_ts"), shift(end_h).alias("end_ts"))
-    fixed = win.with_step(win.repair_window(raw).withColumn("step", F.lit("")))
+    fixed = win.with_step(win.repair_window(raw, max_hours=win.MAX_RANGE_HOURS).withColumn("step", F.lit("")))
     codes = F.array_join("warnings", ",")
     return fixed.select("event_id", "start_ts", "end_ts", codes.alias("warnings"), "step", step_minutes(F.col("step")).alias("step_minutes"))
 
@@ -391,7 +391,7 @@ def range_repair(spark, sf_dir):
 def resolved_windows(spark, sf_dir):
     """Free-text bounds with defaults, resolved and repaired."""
     asked = _expressions(spark, sf_dir).select("event_id", "as_of", F.col("expr").alias("start_expr"), F.lit("").alias("end_expr"))
-    fixed = win.repair_window(win.resolve_window(asked, hours_back=win.LABEL_HOURS))
+    fixed = win.repair_window(win.resolve_window(asked, hours_back=win.LABEL_HOURS), max_hours=win.MAX_RANGE_HOURS)
     return fixed.select("event_id", "start_ts", "end_ts", "start_given", F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -410,7 +410,7 @@ def _requests(spark, sf_dir) -> DataFrame:
 def auto_widen(spark, sf_dir):
     """Empty default windows widened to the first rung with rows, the step picked again."""
     logs = events_logs(spark, sf_dir).select("ts", sel.label("user_id").alias("user_id"))
-    widened = win.result_warning(win.auto_widen(logs, _requests(spark, sf_dir), ["user_id"]))
+    widened = win.result_warning(win.auto_widen(logs, _requests(spark, sf_dir), ["user_id"], max_hours=win.MAX_RANGE_HOURS))
     stepped = win.with_step(widened.withColumn("start_ts", F.col("used_start")).withColumn("step", F.lit("")))
     return stepped.select("request_id", "used_start", "widened", "has_rows", "last_ts", "warning", "step")
 
@@ -434,21 +434,21 @@ def rows_in_windows(spark, sf_dir):
 def redact_documents(spark, sf_dir):
     """R1-R10 over whole documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return redact_columns(spread(docs), "text", "hits")
+    return redact_columns(docs, "text", "hits")
 
 
 @query
 def redact_pages(spark, sf_dir):
     """R1-R10 over raw pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
-    return redact_columns(spread(pages), "text", "hits")
+    return redact_columns(pages, "text", "hits")
 
 
 @query
 def redact_conversations(spark, sf_dir):
     """R1-R10 over conversation turns."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    return redact_columns(spread(turns), "text", "hits")
+    return redact_columns(turns, "text", "hits")
 
 
 @query
@@ -465,7 +465,7 @@ def redact_orders(spark, sf_dir):
         F.lit(" card "), card, F.lit(" or "), amex, F.lit(" at "), ip,
         F.lit(" Bearer tok"), key.cast("string"), F.lit(" eyJh"), key.cast("string"), F.lit(".eyJp"), cust.cast("string"), F.lit(".sig"),
     )
-    return redact_columns(spread(o.select("o_orderkey", text.alias("text"))), "text", "hits")
+    return redact_columns(o.select("o_orderkey", text.alias("text")), "text", "hits")
 
 
 @query
@@ -546,7 +546,7 @@ def payload_emptiness(spark, sf_dir):
 @query
 def logs_report(spark, sf_dir):
     """A redacted report per event type; the fields shown are read back from its JSON."""
-    out = reports.logs_report(_by_type(spread(events_logs(spark, sf_dir))), ["event_type"], limit=100)
+    out = reports.logs_report(_by_type(events_logs(spark, sf_dir)), ["event_type"], limit=100)
     read = lambda path: F.get_json_object("report", path)
     return out.select(
         "event_type", "matched", "total_patterns", "form",
@@ -584,7 +584,7 @@ def label_values_report(spark, sf_dir):
 @query
 def shrunk_reports(spark, sf_dir):
     """Reports per user over a tight budget lose raw rows and label values, never their patterns."""
-    logs = spread(events_logs(spark, sf_dir)).select("*", sel.label("user_id").alias("user_id"))
+    logs = events_logs(spark, sf_dir).select("*", sel.label("user_id").alias("user_id"))
     out = reports.logs_report(logs, ["user_id"], limit=100, budget=1_500)
     patterns = F.json_array_length(F.get_json_object("report", "$.top_patterns"))
     fits = F.octet_length("report") <= 1_500
@@ -594,7 +594,7 @@ def shrunk_reports(spark, sf_dir):
 @query
 def oversized_notices(spark, sf_dir):
     """A budget that not even the patterns fit leaves a small notice with the size."""
-    logs = spread(events_logs(spark, sf_dir)).select("*", sel.label("user_id").alias("user_id"))
+    logs = events_logs(spark, sf_dir).select("*", sel.label("user_id").alias("user_id"))
     out = reports.logs_report(logs, ["user_id"], limit=100, budget=150)
     read = lambda path: F.get_json_object("report", path)
     larger = read("$.original_bytes").cast("bigint") > 150
@@ -659,7 +659,7 @@ def blast_radius(spark, sf_dir):
 @query
 def recurrence(spark, sf_dir):
     """Bursts of every pattern and the time between them."""
-    return recipes.recurrence(spread(events_logs(spark, sf_dir)), gap="8h")
+    return recipes.recurrence(events_logs(spark, sf_dir), gap="8h")
 
 
 @query
@@ -680,7 +680,7 @@ def timeline(spark, sf_dir):
 @query
 def slow_patterns(spark, sf_dir):
     """C11: patterns among rows that mention slowness."""
-    return recipes.slow_patterns(spread(events_logs(spark, sf_dir)))
+    return recipes.slow_patterns(events_logs(spark, sf_dir))
 
 
 @query
@@ -704,8 +704,12 @@ def streaming_counts(spark, sf_dir):
     """A8 as a stream over the events file: every hour the watermark has closed."""
     schema = _events(spark, sf_dir).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    counted = streaming_count_over_time(source, ["event_type"], "1h")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    counted = streaming_count_over_time(source, ["event_type"], "1h", late="10 minutes")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a stream needs spark.checkpoint.dir, a folder that all executors share")
+        shared = tempfile.gettempdir()
     base = f"{shared.rstrip('/')}/streaming_counts_{uuid.uuid4().hex}"
     running = (
         counted.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")

@@ -30,11 +30,15 @@ def strict_double(text: Column) -> Column:
 def exact_sum(value: Column, kind: str) -> Column:
     """A sum that does not depend on the order rows arrive in.
 
-    Whole numbers add exactly; doubles add as decimals with ten places and fall
-    back to floating point when a value or the sum is too large for that.
+    Whole numbers add exactly; doubles add as decimals with ten places, or with
+    25 when all are below a thousandth, and fall back to floating point when a
+    value or the sum is too large or too small for that.
     """
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return F.sum(value.cast("bigint")).cast("double")
-    too_large = F.max(F.abs(value)) >= F.lit(1e17)
+    largest = F.max(F.abs(value))
     fixed = F.try_sum(value.try_cast("decimal(28,10)")).cast("double")
-    return F.when(too_large, F.sum(value)).otherwise(F.coalesce(fixed, F.sum(value)))
+    fine = F.try_sum((value * 1e15).try_cast("decimal(28,10)")).cast("double") / 1e15
+    exact = F.when(largest < 1e-3, fine).otherwise(fixed)
+    lost = (exact == 0) & (largest > 0)
+    return F.when((largest >= 1e17) | lost, F.sum(value)).otherwise(F.coalesce(exact, F.sum(value)))

@@ -66,10 +66,10 @@ def cap_short(text: Column) -> Column:
 
 
 def signature(message: Column) -> Column:
-    """The message with ids, addresses, times and long numbers replaced, capped in bytes."""
+    """The whole message with ids, addresses, times and long numbers replaced. ``cap_short`` cuts it for display."""
     masked = F.regexp_replace(message, VOLATILE, PLACEHOLDER)
     pair = f"{PLACEHOLDER}:{PLACEHOLDER}"
-    return cap_short(F.replace(masked, F.lit(pair), F.lit(PLACEHOLDER)))
+    return F.replace(masked, F.lit(pair), F.lit(PLACEHOLDER))
 
 
 def logfmt_value(line: Column, key: str) -> Column:

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.operators.select import label
+from logfathom.operators.select import check_limit, label
 from logfathom.operators.topk import top_k
 
 # Caps on listed values.
 DEFAULT_VALUES = 50
-MAX_VALUES = 200
 TOP_VALUES = 15
 INTERNAL_PREFIX = "__"
 
@@ -30,11 +29,7 @@ def label_names(logs: DataFrame, scope: Sequence[str] = (), *, internal: bool =
     return names.orderBy(*scope, "label")
 
 
-def check_values_limit(limit: int | None) -> int:
-    return DEFAULT_VALUES if not limit or limit <= 0 else min(limit, MAX_VALUES)
-
-
-def ranked_values(logs: DataFrame, name: str, scope: Sequence[str], contains: str | None, limit: int) -> DataFrame:
+def ranked_values(logs: DataFrame, name: str, scope: Sequence[str], contains: str | None, limit: int | None) -> DataFrame:
     """Values in text order, matching ones first, with totals before and after the filter."""
     values = logs.select(*scope, label(name).alias("value")).where(F.col("value").isNotNull()).distinct()
     hit = F.contains(F.lower("value"), F.lower(F.lit(contains))) if contains else F.lit(True)
@@ -44,14 +39,14 @@ def ranked_values(logs: DataFrame, name: str, scope: Sequence[str], contains: st
 
 
 def label_values(
-    logs: DataFrame, name: str, scope: Sequence[str] = (), *, contains: str | None = None, limit: int | None = None
+    logs: DataFrame, name: str, scope: Sequence[str] = (), *, contains: str | None = None, limit: int | None = DEFAULT_VALUES
 ) -> DataFrame:
     """Values of one label, filtered by a case-insensitive substring and capped, with exact totals."""
     if not name:
         raise ValueError("a label name is required")
-    n = check_values_limit(limit)
+    n = check_limit(limit)
     shown = ranked_values(logs, name, scope, contains, n).where("hit")
-    truncated = F.col("total_values") > n
+    truncated = F.lit(False) if n is None else F.col("total_values") > n
     return shown.select(*scope, "rank", "value", "total_values", "total_label_values", truncated.alias("truncated"))
 
 

@@ -15,7 +15,6 @@ from logfathom.operators.topk import first_k
 
 # Request limits and the size of the evidence sample.
 DEFAULT_LIMIT = 100
-MAX_LIMIT = 500
 SAMPLE_ROWS = 5
 DEFAULT_LABEL = "service_name"
 
@@ -75,7 +74,12 @@ def line_filter(
 
 
 def between(logs: DataFrame, start: str | datetime | None, end: str | datetime | None, ts: str = "ts") -> DataFrame:
-    """Rows with start <= ts < end."""
+    """Rows with start <= ts < end. A ``day`` date column, as ``write_logs`` makes it, is bounded too, so only those days are read."""
+    daily = dict(logs.dtypes).get("day") == "date"
+    if daily and start is not None:
+        logs = logs.where(F.col("day") >= ntz(start).cast("date"))
+    if daily and end is not None:
+        logs = logs.where(F.col("day") <= ntz(end).cast("date"))
     if start is not None:
         logs = logs.where(F.col(ts) >= ntz(start))
     if end is not None:
@@ -108,9 +112,11 @@ def select_logs(
     return selected
 
 
-def check_limit(limit: int | None, maximum: int = MAX_LIMIT) -> int:
-    """0 or None means the default; anything else is brought into [1, maximum]."""
-    return min(DEFAULT_LIMIT, maximum) if not limit else max(1, min(limit, maximum))
+def check_limit(limit: int | None) -> int | None:
+    """The limit as given; None means no cut."""
+    if limit is not None and limit < 1:
+        raise ValueError(f"a limit is a positive number or None, not {limit!r}")
+    return limit
 
 
 def newest_first(direction: str | None) -> bool:
@@ -126,12 +132,13 @@ def time_order(direction: str | None, ts: str = "ts", tie: str = "id") -> list[C
 
 
 def take_logs(
-    logs: DataFrame, *, limit: int | None = None, direction: str | None = None, scope: Sequence[str] = (), maximum: int = MAX_LIMIT
+    logs: DataFrame, *, limit: int | None = DEFAULT_LIMIT, direction: str | None = None, scope: Sequence[str] = ()
 ) -> DataFrame:
-    """The first rows in time order: one bounded sort overall, or ``rank`` <= limit inside each scope."""
-    n = check_limit(limit, maximum)
+    """The first rows in time order: one sort overall, or ``rank`` <= limit inside each scope. No limit keeps all rows."""
+    n = check_limit(limit)
     if not scope:
-        return logs.orderBy(*time_order(direction)).limit(n)
+        ordered = logs.orderBy(*time_order(direction))
+        return ordered if n is None else ordered.limit(n)
     return first_k(logs, scope, time_order(direction), n)
 
 
@@ -140,9 +147,14 @@ def sample_logs(logs: DataFrame, scope: Sequence[str] = (), *, direction: str |
     return first_k(logs, scope, time_order(direction), n).withColumn("line", cap_line(F.col("line")))
 
 
-def count_selected(logs: DataFrame, scope: Sequence[str] = (), *, limit: int | None = None) -> DataFrame:
+def count_selected(logs: DataFrame, scope: Sequence[str] = (), *, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Rows matched, rows a request would return, and whether its limit was reached."""
     n = check_limit(limit)
     counted = logs.groupBy(*scope).agg(F.count("*").alias("matched"))
-    returned = F.least(F.col("matched"), F.lit(n))
-    return counted.select(*scope, "matched", returned.alias("total_logs"), (F.col("matched") >= n).alias("truncated"))
+    returned, truncated = limited(F.col("matched"), n)
+    return counted.select(*scope, "matched", returned.alias("total_logs"), truncated.alias("truncated"))
+
+
+def limited(matched: Column, limit: int | None) -> tuple[Column, Column]:
+    """Rows returned of those matched, and whether the limit was reached."""
+    return (matched, F.lit(False)) if limit is None else (F.least(matched, F.lit(limit)), matched >= limit)

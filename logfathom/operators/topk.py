@@ -20,7 +20,7 @@ def top_k(
     scope: Sequence[str],
     items: Sequence[str],
     order: Sequence[Column],
-    k: int,
+    k: int | None,
     totals: dict[str, Column],
     *,
     rank: str = "rank",
@@ -38,15 +38,16 @@ def top_k(
     local = df.withColumn("__salt", salted(items, salts)).withColumns(
         {"__local": F.row_number().over(piece.orderBy(*order)), **{n: F.sum(v).over(piece) for n, v in totals.items()}}
     )
-    short = local.where(F.col("__local") <= k)
+    short = local if k is None else local.where(F.col("__local") <= k)
     lead = F.col("__local") == 1
     ranked = short.withColumns(
         {rank: F.row_number().over(whole.orderBy(*order)), **{n: F.sum(F.when(lead, F.col(n))).over(whole) for n in totals}}
     )
-    return ranked.where(F.col(rank) <= k).drop("__salt", "__local")
+    return (ranked if k is None else ranked.where(F.col(rank) <= k)).drop("__salt", "__local")
 
 
-def first_k(df: DataFrame, scope: Sequence[str], order: Sequence[Column], k: int, *, rank: str = "rank") -> DataFrame:
-    """Rows ranked 1..k per scope. Each task keeps its own first k before the shuffle (window group limit)."""
+def first_k(df: DataFrame, scope: Sequence[str], order: Sequence[Column], k: int | None, *, rank: str = "rank") -> DataFrame:
+    """Rows ranked 1..k per scope, or all of them ranked. Each task keeps its own first k before the shuffle (window group limit)."""
     whole = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
-    return df.withColumn(rank, F.row_number().over(whole.orderBy(*order))).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(whole.orderBy(*order)))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)

@@ -68,8 +68,8 @@ def trend_summary(
         F.max(F.when(v.isNotNull(), F.struct(F.col("idx"), v.alias("v"))))["v"].alias("__latest"),
         F.max(F.when(v > 0, F.struct(v.alias("v"), (-F.col("idx")).alias("i"), F.col("ts").alias("ts")))).alias("__top"),
         F.count(F.when(v > 0, 1)).alias("__positive"),
-        F.coalesce(F.sum(F.when(F.col("idx") < third, v)), zero).alias("__first"),
-        F.coalesce(F.sum(F.when(F.col("idx") >= F.col("n_points") - third, v)), zero).alias("__last"),
+        F.coalesce(exact_sum(F.when(F.col("idx") < third, v), kind), zero).alias("__first"),
+        F.coalesce(exact_sum(F.when(F.col("idx") >= F.col("n_points") - third, v), kind), zero).alias("__last"),
         *gathered,
     )
     if series is not None:

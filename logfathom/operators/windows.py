@@ -50,8 +50,8 @@ def resolve_window(
     return ended.withColumn("start_ts", started).withColumn("start_given", given)
 
 
-def repair_window(windows: DataFrame, *, as_of: str = "as_of", max_hours: int = MAX_RANGE_HOURS) -> DataFrame:
-    """Swap reversed bounds, cap a future end, give an empty range one hour, cap the length; adds ``warnings``."""
+def repair_window(windows: DataFrame, *, as_of: str = "as_of", max_hours: int | None = None) -> DataFrame:
+    """Swap reversed bounds, cap a future end, give an empty range one hour, cap the length if asked to; adds ``warnings``."""
     s, e, now = F.col("start_ts"), F.col("end_ts"), F.col(as_of)
     reversed_ = e < s
     step1 = windows.withColumn("__swapped", F.coalesce(reversed_, F.lit(False)))
@@ -60,7 +60,7 @@ def repair_window(windows: DataFrame, *, as_of: str = "as_of", max_hours: int =
     empty = F.col("__e") <= F.col("__s")
     step3 = step2.withColumn("__empty", F.coalesce(empty, F.lit(False)))
     step3 = step3.withColumn("__s", F.when(F.col("__empty"), _shift(F.col("__e"), -1)).otherwise(F.col("__s")))
-    oldest = _shift(F.col("__e"), -max_hours)
+    oldest = F.lit(None).cast("timestamp_ntz") if max_hours is None else _shift(F.col("__e"), -max_hours)
     step4 = step3.withColumn("__long", F.coalesce(F.col("__s") < oldest, F.lit(False)))
     codes = F.array_compact(
         F.array(
@@ -102,20 +102,20 @@ def rows_in_windows(
     return joined.where((F.col(ts) >= F.col("start_ts")) & (F.col(ts) < F.col("end_ts"))).drop("__bucket")
 
 
-def last_match(
-    logs: DataFrame, requests: DataFrame, on: Sequence[str], *, back_hours: int, bucket: str = "1d"
-) -> DataFrame:
-    """Per (keys, end_ts) of the requests the newest row in [end_ts - back_hours, end_ts), as ``last_ts``.
+def last_match(logs: DataFrame, requests: DataFrame, on: Sequence[str], *, back_hours: int, bucket: str = "1d") -> DataFrame:
+    """Per (keys, end_ts) of the requests the newest row before the end, as ``last_ts``.
+
+    It is looked for from the earliest start of the requests with that end, or ``back_hours`` before it, whichever is earlier.
 
-    Rows are reduced to one maximum per (keys, second), and those to one per (keys,
-    bucket) carried forward over empty buckets. Each distinct end then looks up one
-    carried row for all earlier buckets, the seconds before it in its own bucket, and
-    row by row only its own second, so pairs do not grow with the volume of a key.
+    Rows are reduced to one maximum per (keys, second), and those to one per (keys, bucket). Ends stand between the
+    buckets and take the running maximum of all earlier ones; then they look up the seconds before them in their own
+    bucket, and row by row only their own second, so pairs do not grow with the volume of a key.
     """
     width = span_micros(bucket)
-    ends = requests.select(*on, "end_ts").distinct().withColumns(
+    start = "start_ts" if "start_ts" in requests.columns else "end_ts"
+    ends = requests.groupBy(*on, "end_ts").agg(F.min(start).alias("__start")).withColumns(
         {
-            "__lo": to_micros(_shift(F.col("end_ts"), -back_hours)),
+            "__lo": F.least(to_micros(F.col("__start")), to_micros(_shift(F.col("end_ts"), -back_hours))),
             "__end_bucket": floor_div(to_micros(F.col("end_ts")), width),
             "__end_second": floor_div(to_micros(F.col("end_ts")), MICROS),
         }
@@ -124,14 +124,12 @@ def last_match(
     seconds = rows.groupBy(*on, "__second").agg(F.max("ts").alias("ts"))
     slots = seconds.withColumn("__bucket", floor_div(to_micros(F.col("ts")), width))
 
-    reach = back_hours * _HOUR_US // width + 1
-    own = Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))
+    own = (Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))).orderBy("__bucket")
     newest = slots.groupBy(*on, "__bucket").agg(F.max("ts").alias("ts"))
-    until = F.coalesce(F.lead("__bucket").over(own.orderBy("__bucket")) - 1, F.col("__bucket") + reach)
-    spans = newest.withColumn("__until", F.least(until, F.col("__bucket") + reach))
-    carried = spans.withColumn("__bucket", F.explode(F.sequence("__bucket", "__until")))
+    places = ends.select(*on, (F.col("__end_bucket") - 1).alias("__bucket"), "end_ts", "__lo")
+    marks = newest.unionByName(places, allowMissingColumns=True)
+    earlier = marks.withColumn("ts", F.max("ts").over(own)).where(F.col("end_ts").isNotNull() & F.col("ts").isNotNull())
 
-    earlier = carried.join(ends.withColumn("__bucket", F.col("__end_bucket") - 1), ["__bucket", *on])
     same_bucket = slots.join(ends.withColumn("__bucket", F.col("__end_bucket")), ["__bucket", *on])
     same_second = rows.join(ends.withColumn("__second", F.col("__end_second")), ["__second", *on])
     parts = [earlier, same_bucket.where(F.col("__second") < F.col("__end_second")), same_second.where(F.col("ts") < F.col("end_ts"))]
@@ -146,7 +144,7 @@ def auto_widen(
     on: Sequence[str] = (),
     *,
     rungs: Sequence[int] = WIDEN_HOURS,
-    max_hours: int | None = MAX_RANGE_HOURS,
+    max_hours: int | None = None,
 ) -> DataFrame:
     """Widen windows that hold no row and had no start given, to the first rung that holds one.
 
@@ -156,8 +154,7 @@ def auto_widen(
     ``widened``, ``has_rows`` and ``last_ts``.
     """
     allowed = sorted(h for h in rungs if max_hours is None or h <= max_hours)
-    span = max([MAX_RANGE_HOURS, *allowed])
-    base = windows.join(last_match(logs, windows, on, back_hours=span), [*on, "end_ts"], "left")
+    base = windows.join(last_match(logs, windows, on, back_hours=max(allowed, default=0)), [*on, "end_ts"], "left")
     start, end, last = F.col("start_ts"), F.col("end_ts"), F.col("last_ts")
     hit = F.coalesce(last >= start, F.lit(False))
     eligible = ~hit & ~F.col("start_given")

@@ -69,14 +69,14 @@ def compare_periods(
 
 
 def onset(
-    dense: DataFrame, keys: Sequence[str], *, factor: float = ONSET_FACTOR, history: int = ONSET_HISTORY, min_value: float = 1
+    dense: DataFrame, keys: Sequence[str], *, factor: float = ONSET_FACTOR, history: int = ONSET_HISTORY, min_value: float | None = None
 ) -> DataFrame:
     """First point of each series above ``factor`` times the average of all points before it."""
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     past = own.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     staged = dense.withColumn("__sum", F.sum("value").over(past))
     baseline = F.col("__sum") / F.col("idx")
-    left = staged.where((F.col("idx") >= history) & (F.col("value") >= min_value) & (F.col("value") > baseline * factor))
+    left = staged.where((F.col("idx") >= history) & (F.lit(True) if min_value is None else F.col("value") >= min_value) & (F.col("value") > baseline * factor))
     first = left.groupBy(*keys).agg(F.min(F.struct("ts", "value", round_scaled(baseline, 2).alias("baseline"))).alias("f"))
     return first.select(*keys, F.col("f.ts").alias("onset"), F.col("f.value").alias("value"), F.col("f.baseline").alias("baseline"))
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from logfathom.functions.redaction import redact_columns, redact_values
 from logfathom.functions.text import column_key
-from logfathom.operators.labels import check_values_limit, label_distribution, ranked_values
-from logfathom.operators.patterns import MIN_ROWS, top_patterns
-from logfathom.operators.ranking import MAX_WITH_POINTS, omitted_columns, rank_series
-from logfathom.operators.select import check_limit, newest_first, sample_logs
+from logfathom.operators.labels import DEFAULT_VALUES, TOP_VALUES, label_distribution, ranked_values
+from logfathom.operators.patterns import MIN_ROWS, TOP_PATTERNS, top_patterns
+from logfathom.operators.ranking import MAX_LISTED, MAX_RESCUED, MAX_SERIES, MAX_WITH_POINTS, omitted_columns, rank_series
+from logfathom.operators.select import DEFAULT_LIMIT, SAMPLE_ROWS, check_limit, limited, newest_first, sample_logs
 from logfathom.operators.series import MAX_POINTS
 from logfathom.operators.trend import trend_summary
 
@@ -22,13 +22,15 @@ MAX_REPORT_BYTES = 30_000
 SHRUNK_VALUES = 25
 
 
-def bounded_json(df: DataFrame, full: Column, shrunk: Column, *, name: str, budget: int = MAX_REPORT_BYTES) -> DataFrame:
-    """Add ``report``: the full JSON, else the shrunk one, else a small notice with the size it had.
+def bounded_json(df: DataFrame, full: Column, shrunk: Column, *, name: str, budget: int | None = None) -> DataFrame:
+    """Add ``report``: the full JSON, or with a budget else the shrunk one, else a small notice with the size it had.
 
     ``size_bytes`` is the full size and ``form`` tells which of the three was taken.
     """
     staged = df.withColumn("__full", F.to_json(full))
     staged = staged.withColumn("size_bytes", F.octet_length("__full").cast("bigint"))
+    if budget is None:
+        return staged.withColumn("form", F.lit("full")).withColumnRenamed("__full", "report")
     staged = staged.withColumn("__shrunk", F.when(F.col("size_bytes") > budget, F.to_json(shrunk)))
     fits = F.col("size_bytes") <= budget
     cut_size = F.octet_length("__shrunk").cast("bigint")
@@ -75,16 +77,20 @@ def logs_report(
     *,
     query: str = "",
     time_range: str = "",
-    limit: int | None = None,
+    limit: int | None = DEFAULT_LIMIT,
     direction: str | None = None,
+    patterns_shown: int = TOP_PATTERNS,
+    min_rows: int = MIN_ROWS,
+    values_shown: int = TOP_VALUES,
+    rows_shown: int = SAMPLE_ROWS,
     redact: bool = True,
-    budget: int = MAX_REPORT_BYTES,
+    budget: int | None = None,
 ) -> DataFrame:
-    """Counts, top patterns, label distribution and sample rows of each scope, redacted and within the budget."""
+    """Counts, top patterns, label distribution and sample rows of each scope, redacted, and cut only to a given budget."""
     n = check_limit(limit)
-    patterns = top_patterns(logs, scope, direction=direction, min_rows=0)
-    values = label_distribution(logs, scope)
-    rows = sample_logs(logs, scope, direction=direction)
+    patterns = top_patterns(logs, scope, k=patterns_shown, direction=direction, min_rows=0)
+    values = label_distribution(logs, scope, top=values_shown)
+    rows = sample_logs(logs, scope, direction=direction, n=rows_shown)
     if redact:
         patterns = redact_columns(patterns, ["pattern", "sample"])
         values = _merge_equal(redact_columns(values, "value"), scope)
@@ -105,16 +111,18 @@ def logs_report(
         _gather("value", F.col("v")).alias("values"),
         _gather("row", F.col("r")).alias("logs"),
     )
-    enough = F.col("matched") >= MIN_ROWS
+    enough = F.col("matched") >= min_rows
+    one = _asked(one, query, time_range, redact)
+    returned, truncated = limited(F.col("matched"), n)
     one = one.withColumn("patterns", F.when(enough, F.col("patterns"))).withColumn("unique_labels", _distribution(F.col("values")))
     more = F.when(enough & (F.col("total_patterns") > F.size("patterns")), F.col("total_patterns"))
     head = [
-        F.least(F.col("matched"), F.lit(n)).alias("total_logs"),
+        returned.alias("total_logs"),
         F.col("matched"),
-        (F.col("matched") >= n).alias("truncated"),
+        truncated.alias("truncated"),
         F.lit("backward" if newest_first(direction) else "forward").alias("direction"),
-        F.lit(query).alias("query_executed"),
-        F.lit(time_range).alias("time_range"),
+        F.col("__query").alias("query_executed"),
+        F.col("__range").alias("time_range"),
     ]
     body = [F.col("patterns").alias("top_patterns"), more.alias("total_patterns")]
     none = F.when(F.col("matched") == 0, F.array(F.lit("no_rows")))
@@ -124,6 +132,12 @@ def logs_report(
     return out.select(*scope, "matched", more.alias("total_patterns"), "size_bytes", "form", "report")
 
 
+def _asked(df: DataFrame, query: str, time_range: str, redact: bool) -> DataFrame:
+    """Add what was asked; a filter may name the very person whose data the report hides."""
+    asked = df.withColumn("__query", F.lit(query)).withColumn("__range", F.lit(time_range))
+    return redact_columns(asked, ["__query", "__range"]) if redact else asked
+
+
 def _merge_equal(values: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Values that became equal by redaction are one entry with the summed count."""
     return values.groupBy(*scope, "label", "value").agg(
@@ -154,16 +168,21 @@ def stats_report(
     step: str,
     query: str = "",
     time_range: str = "",
+    cap: int = MAX_SERIES,
+    rescue: int = MAX_RESCUED,
+    listed: int = MAX_LISTED,
+    with_points: int = MAX_WITH_POINTS,
+    points_shown: int = MAX_POINTS,
     redact: bool = True,
-    budget: int = MAX_REPORT_BYTES,
+    budget: int | None = None,
 ) -> DataFrame:
     """Trend summaries of the reported series, points of the first few, and counts of what was left out.
 
     ``points`` is a dense grid (``idx`` and ``n_points``); ``keys`` tell series apart inside a scope.
     """
     all_keys = [*scope, *keys]
-    summaries = trend_summary(points, all_keys, step=step, evidence=MAX_POINTS).withColumn("series", column_key(list(keys)))
-    ranked = rank_series(summaries, scope, keys)
+    summaries = trend_summary(points, all_keys, step=step, evidence=points_shown).withColumn("series", column_key(list(keys)))
+    ranked = rank_series(summaries, scope, keys, cap=cap, rescue=rescue, listed=listed)
     if redact:
         ranked = redact_columns(ranked, "series")
 
@@ -178,14 +197,15 @@ def stats_report(
     shown = F.transform(
         "points", lambda p: F.struct(F.date_format(p["ts"], form).alias("timestamp"), p["value"].cast("string").alias("value"))
     )
-    values = F.when(F.col("report_rank") <= MAX_WITH_POINTS, shown)
+    values = F.when(F.col("report_rank") <= with_points, shown)
     entry = F.struct(
         F.col("report_rank").alias("place"),
         F.struct(F.col("series").alias("key"), summary.alias("value")).alias("summary"),
         F.struct(F.col("__labels").alias("labels"), values.alias("values")).alias("series"),
     )
     kept = F.array_sort(F.collect_list(F.when(F.col("kept"), entry)), _by_place)
-    one = ranked.groupBy(*scope).agg(*omitted_columns("series"), kept.alias("__kept"))
+    one = ranked.groupBy(*scope).agg(*omitted_columns("series", listed=listed), kept.alias("__kept"))
+    one = _asked(one, query, time_range, redact)
 
     some_left, some_odd = F.col("omitted_series") > 0, F.col("omitted_anomalous") > 0
     head = [
@@ -195,8 +215,8 @@ def stats_report(
         F.when(some_odd, F.col("omitted_anomalous")).alias("omitted_anomaly_series"),
         F.when(some_odd, F.col("omitted_anomalous_keys")).alias("omitted_anomaly_series_keys"),
         F.lit(step).alias("step"),
-        F.lit(query).alias("query_executed"),
-        F.lit(time_range).alias("time_range"),
+        F.col("__query").alias("query_executed"),
+        F.col("__range").alias("time_range"),
     ]
     codes = [
         F.when(F.col("total_series") == 0, "no_rows"),
@@ -224,12 +244,12 @@ def label_values_report(
     scope: Sequence[str] = (),
     *,
     contains: str | None = None,
-    limit: int | None = None,
+    limit: int | None = DEFAULT_VALUES,
     redact: bool = True,
-    budget: int = MAX_REPORT_BYTES,
+    budget: int | None = None,
 ) -> DataFrame:
     """Values of one label per scope, with totals, the truncation flag and warning codes."""
-    n = check_values_limit(limit)
+    n = check_limit(limit)
     values = ranked_values(logs, name, scope, contains, n)
     if redact:
         values = redact_columns(values, "value")
@@ -239,7 +259,7 @@ def label_values_report(
         F.coalesce(F.max("total_label_values"), F.lit(0)).alias("total_label_values"),
         F.transform(found, lambda x: x["value"]).alias("values"),
     )
-    truncated = F.col("total_values") > n
+    truncated = F.lit(False) if n is None else F.col("total_values") > n
     no_match = (F.col("total_values") == 0) & (F.col("total_label_values") > 0)
 
     def shape(values_col: Column, cut: Column, extra: list[Column]) -> Column:

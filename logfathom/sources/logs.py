@@ -20,16 +20,6 @@ def logs_view(
     return df.select(*columns, F.create_map(*pairs).alias("labels"), *[c.alias(n) for n, c in extra.items()])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the scan has fewer splits than cores, ahead of costly text work.
-
-    A file of one row group is one split however long its rows take. Tables with
-    splits for every core pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Logs written by ``write_logs`` (or any Parquet table of that shape)."""
     return spark.read.parquet(path)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions.clock import nanos_to_ntz
-from logfathom.functions.text import cap_line
 
 STREAM_SCHEMA = "array<struct<stream: map<string,string>, values: array<array<string>>>>"
 MATRIX_SCHEMA = "array<struct<metric: map<string,string>, values: array<array<string>>>>"
@@ -22,7 +21,7 @@ def _kind(payload: Column) -> Column:
 
 
 def stream_rows(df: DataFrame, payload: str = "payload", keep: list[str] = ()) -> DataFrame:
-    """Stream payloads to log rows. Tuples with under two items or a non-integer time are dropped; long lines are cut."""
+    """Stream payloads to log rows. Tuples with under two items or a non-integer time are dropped; lines stay whole."""
     p = F.col(payload)
     streams = df.where(_kind(p) == "streams").select(*keep, F.explode(_result(p, STREAM_SCHEMA)).alias("s"))
     values = streams.select(*keep, F.col("s.stream").alias("labels"), F.posexplode("s.values").alias("pos", "v"))
@@ -30,7 +29,7 @@ def stream_rows(df: DataFrame, payload: str = "payload", keep: list[str] = ()) -
     shaped = F.get("v", 0).rlike(r"\A[+-]?[0-9]+\z")
     rows = values.where((F.size("v") >= 2) & shaped & nanos.isNotNull())
     line = F.coalesce(F.get("v", 1), F.lit(""))
-    return rows.select(*keep, nanos.alias("ts_ns"), nanos_to_ntz(nanos).alias("ts"), cap_line(line).alias("line"), "labels")
+    return rows.select(*keep, nanos.alias("ts_ns"), nanos_to_ntz(nanos).alias("ts"), line.alias("line"), "labels")
 
 
 def _points(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -12,10 +12,12 @@ from logfathom.operators.series import Span, label_columns
 
 
 def streaming_count_over_time(
-    logs: DataFrame, keys: Sequence[str], step: Span, *, range_: Span | None = None, late: str = "10 minutes"
+    logs: DataFrame, keys: Sequence[str], step: Span, *, late: str, range_: Span | None = None
 ) -> DataFrame:
     """Rows per series and range as each range closes; a point at ``t`` covers ``(t - range, t]``.
 
+    Rows later than ``late`` behind the newest are not counted, so the caller has to say how late rows may be.
+
     State is one count per open (series, range). The one-microsecond shift that
     makes ranges closed at the right is a column of its own, and the watermark sits on it (as TIMESTAMP, which watermarks need).
     """

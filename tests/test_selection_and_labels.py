@@ -54,9 +54,18 @@ def test_default_selector_and_guards(mixed):
 
 
 def test_limits():
-    assert [sel.check_limit(x) for x in (None, 0, -3, 7, 9999)] == [100, 100, 1, 7, 500]
-    assert sel.check_limit(0, maximum=50) == 50
-    assert [lab.check_values_limit(x) for x in (None, 0, -1, 10, 10_000)] == [50, 50, 50, 10, 200]
+    assert [sel.check_limit(x) for x in (None, 7, 9999)] == [None, 7, 9999]
+    for bad in (0, -3):
+        with pytest.raises(ValueError):
+            sel.check_limit(bad)
+
+
+def test_limits_are_honoured(make_logs):
+    logs = make_logs([(f"row {i}", {"app": f"a{i}"}) for i in range(1100)])
+    assert [sel.take_logs(logs, limit=n).count() for n in (1000, None)] == [1000, 1100]
+    assert [lab.label_values(logs, "app", limit=n).count() for n in (300, None)] == [300, 1100]
+    row = sel.count_selected(logs, limit=None).first()
+    assert (row["matched"], row["total_logs"], row["truncated"]) == (1100, 1100, False)
 
 
 def test_order_and_sample(make_logs):
@@ -107,9 +116,9 @@ def test_label_values(make_logs):
     assert sorted(r["value"] for r in rows) == ["PAYMENTS-worker", "payments-api"]
     assert (rows[0]["total_values"], rows[0]["total_label_values"], rows[0]["truncated"]) == (2, 4, False)
     many = make_logs([("x", {"app": f"v{i:03d}"}) for i in range(500)])
-    capped = lab.label_values(many, "app", limit=0).collect()
+    capped = lab.label_values(many, "app").collect()
     assert len(capped) == 50 and capped[0]["total_values"] == 500 and capped[0]["truncated"]
-    assert lab.label_values(many, "app", limit=10_000).count() == 200
+    assert lab.label_values(many, "app", limit=10_000).count() == 500
 
 
 def test_label_distribution(make_logs):

@@ -63,7 +63,7 @@ def windows(spark, rows):
 def test_repair(spark):
     h = timedelta(hours=1)
     given = [(NOW - h, NOW - 2 * h), (NOW - h, NOW + h), (NOW - h, NOW - h), (NOW - 7120 * h, NOW), (NOW - 360 * h, NOW), (NOW + h, NOW + 2 * h)]
-    rows = win.repair_window(windows(spark, given)).orderBy("i").collect()
+    rows = win.repair_window(windows(spark, given), max_hours=win.MAX_RANGE_HOURS).orderBy("i").collect()
     assert [(r["start_ts"], r["end_ts"], r["warnings"]) for r in rows] == [
         (NOW - 2 * h, NOW - h, ["swapped"]),
         (NOW - h, NOW, []),
@@ -116,6 +116,12 @@ def test_widening_limits(spark):
     assert widen(spark, [[]], start_hours=1000) == [(1000, False, False, "no_rows_after_widen")]
 
 
+def test_a_window_longer_than_every_rung_is_searched_whole(spark):
+    assert widen(spark, [[56 * 24], [61 * 24]], given=True, start_hours=60 * 24) == [
+        (1440, False, True, None), (1440, False, False, "no_rows_explicit"),
+    ]
+
+
 @pytest.mark.parametrize("bucket", ["7m", "1h", "1d"])
 def test_rows_in_windows(spark, bucket):
     logs = [(i, NOW - timedelta(minutes=13 * i)) for i in range(300)]

@@ -9,20 +9,21 @@ from logfathom.operators.series import downsample, point_index
 from logfathom.operators.trend import anomaly_class, trend_summary
 
 SERIES = {
-    "zeros": ["0", "0", "0"],
-    "five": ["0", "5", "0", "0", "3"],
-    "two": ["10", "50"],
-    "two_zero": ["0", "0"],
-    "thirds": ["1.333", "2.666", "0"],
-    "late": ["0"] * 6 + ["5", "8", "12"],
-    "nan": ["5", "NaN", "10", "NaN", "15"],
-    "inf": ["5", "+Inf", "-Inf", "10"],
-    "up": ["1", "2", "3", "5", "8", "13", "21"],
-    "down": ["20", "15", "10", "5", "3", "1"],
-    "flat": ["10"] * 5,
-    "none": ["NaN", "x"],
-    "tiny_end": ["5", "5", "0.004"],
-    "falls": ["50", "10", "0"],
+    "zeros": ["0"] * 4,
+    "gaps": ["0", "7", "0", "0", "0", "2", "0", "4"],
+    "pair": ["20", "90"],
+    "pair_zero": ["0", "0"],
+    "fractions": ["0.125", "4.118", "0", "0"],
+    "late": ["0"] * 7 + ["4", "9", "11"],
+    "nan": ["6", "NaN", "NaN", "12", "9"],
+    "inf": ["-Inf", "3", "+Inf", "8"],
+    "up": ["2", "3", "3", "6", "9", "14", "30", "41"],
+    "down": ["44", "31", "12", "12", "7", "2"],
+    "flat": ["15"] * 6,
+    "none": ["NaN", "y", ""],
+    "tiny_end": ["8", "6", "0.003"],
+    "falls": ["70", "30", "0"],
+    "minute": ["1e-12", "1e-12"],
 }
 
 
@@ -35,14 +36,14 @@ def summary(make_points):
 @pytest.mark.parametrize(
     "key,field,expected",
     [
-        ("zeros", "trend", "sparse"), ("five", "non_zero_pct", 40.0), ("two", "trend", "stable"), ("two", "avg", 30.0),
-        ("two_zero", "trend", "sparse"), ("thirds", "total", 4.0), ("thirds", "avg", 1.33), ("thirds", "peak", 2.67),
-        ("thirds", "non_zero_pct", 66.7), ("late", "trend", "increasing"), ("nan", "total", 30.0), ("nan", "avg", 10.0),
-        ("nan", "peak", 15.0), ("nan", "latest", 15.0), ("inf", "total", 15.0), ("up", "trend", "increasing"),
+        ("zeros", "trend", "sparse"), ("gaps", "non_zero_pct", 37.5), ("pair", "trend", "stable"), ("pair", "avg", 55.0),
+        ("pair_zero", "trend", "sparse"), ("fractions", "total", 4.24), ("fractions", "avg", 1.06), ("fractions", "peak", 4.12),
+        ("fractions", "non_zero_pct", 50.0), ("late", "trend", "increasing"), ("nan", "total", 27.0), ("nan", "avg", 9.0),
+        ("nan", "peak", 12.0), ("nan", "latest", 9.0), ("inf", "total", 11.0), ("up", "trend", "increasing"),
         ("down", "trend", "decreasing"), ("flat", "trend", "stable"), ("none", "trend", "sparse"), ("none", "total", 0.0),
         ("none", "peak_time", None), ("tiny_end", "anomaly", "went_silent"), ("falls", "anomaly", "went_silent"),
-        ("late", "anomaly", "rising"), ("flat", "anomaly", None), ("zeros", "anomaly", None), ("flat", "avg_per_minute", 2.0),
-        ("five", "peak_time", datetime(2024, 1, 1, 0, 5)), ("flat", "peak_time", datetime(2024, 1, 1)),
+        ("late", "anomaly", "rising"), ("flat", "anomaly", None), ("zeros", "anomaly", None), ("flat", "avg_per_minute", 3.0),
+        ("gaps", "peak_time", datetime(2024, 1, 1, 0, 5)), ("flat", "peak_time", datetime(2024, 1, 1)), ("minute", "trend", "stable"),
     ],
 )
 def test_summary(summary, key, field, expected):
