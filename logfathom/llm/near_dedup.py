@@ -1,15 +1,20 @@
 """Near-duplicate detection by chosen-path set similarity join.
 
 A document is the set of its distinct shingles (``WIDTH`` words, hashed to 64 bits). Documents with the same set are one
-class, named by its smallest id. Classes walk down ``TREES`` independent trees: at a node, each class follows the two
-tokens of its set that are least under two hash functions of that node, so two sets of Jaccard similarity s share each
-branch with probability s. Above one half a pair's common branches multiply faster than they die out: at 0.75 a tree
-loses a pair with probability 1/9 at most however deep it grows, six trees with 2e-6. Dissimilar sets part quickly.
+class, named by its smallest id. A class is embedded as its minwise tokens under ``TOKENS`` hash functions and walks down
+``TREES`` independent trees: at a node it follows the two tokens that the node selects, so two sets of Jaccard similarity
+s share each branch with probability s. Above one half a pair's common branches multiply faster than they die out: at
+0.75 a tree loses a pair with probability 1/9 at most however deep it grows, six trees with about 1e-5. Dissimilar sets
+part quickly.
 
-Nodes of up to ``LEAF`` classes are compared exhaustively. Larger ones branch again, down to ``DEPTH``. What is still
-large there is a crowd of similar sets: its members are compared with one hub, then with more hubs each round, until all
-are connected or every member has been a hub. Only members not yet connected with the hub are compared, so nothing is
-lost for components and no crowd is expanded into all pairs. Every link is confirmed on the full sets.
+Nodes of up to ``LEAF`` classes are compared exhaustively, larger ones branch again, down to ``DEPTH``. A comparison first
+looks at one bit of every token: pairs that differ in more bits than a pair at the limit does with probability 2e-7 are
+dropped, the others are confirmed on the full sets.
+
+What is still large at ``DEPTH`` is a crowd of similar sets. Members that share too few of their shingles with any other
+can't link and leave. The rest is compared with the node's most central members, and what then lies outside the
+node's largest component with everything that it isn't connected to. Only links inside one component are skipped, so
+components are complete and no crowd is expanded into all pairs.
 
 Defined results: words are split at ASCII white space, A-Z in lower case. A text with fewer words than ``WIDTH`` has its
 whole sequence as the one shingle; null and wordless texts have none and link with nothing. Rows that share a doc_id
@@ -20,6 +25,7 @@ class if that has an id, else it is kept and has no component. Other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +38,11 @@ from logfathom.llm.components import components
 
 WIDTH = 5
 SIMILARITY = 75  # per cent
+TOKENS = 128
 TREES = 6
 LEAF = 16
 DEPTH = 4
-HUBS = 8  # factor by which a crowd's hubs grow each round
+HUBS = 4  # central members of each node that all its members are compared with
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,40 +51,49 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(words_of(text)), width))
 
 
-def children(shingles: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """The two nodes a set goes to below each of the given nodes."""
+def tokens(shingles: np.ndarray, count: int = TOKENS) -> np.ndarray:
+    """Minwise tokens of a set, 16 bits of each."""
+    own = (shingles >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        seeds = mix64(np.concatenate([nodes * _STEP, (nodes + np.uint64(1)) * _STEP]))
-        best = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(shingles), 65536):
-            x = (shingles[None, at : at + 65536] ^ seeds[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xC4CEB9FE1A85EC53)
-            best = np.minimum(best, x.min(axis=1))
-        return mix64(best ^ seeds)
+        seeds = mix64(np.arange(1, count + 1, dtype=np.uint64))
+        flip, factor = (seeds >> np.uint64(32)).astype(np.uint32), seeds.astype(np.uint32) | np.uint32(1)
+        best = np.full(count, np.iinfo(np.uint32).max, np.uint32)
+        for at in range(0, len(own), 8192):
+            best = np.minimum(best, ((own[None, at : at + 8192] ^ flip[:, None]) * factor[:, None]).min(axis=1))
+        return (mix64(best.astype(np.uint64) + seeds) >> np.uint64(48)).astype(np.uint16)
+
+
+def children(own: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The two nodes that a set with the given tokens goes to below each node."""
+    with np.errstate(over="ignore"):
+        branch = mix64(np.concatenate([nodes * _STEP, (nodes + np.uint64(1)) * _STEP]))
+        chosen = own[(branch >> np.uint64(20)) % np.uint64(len(own))].astype(np.uint64)
+        return mix64(branch + chosen * np.uint64(0xC4CEB9FE1A85EC53))
 
 
 def _roots(trees: int) -> np.ndarray:
     return mix64(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(1000003))
 
 
-def sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
-    """doc_id, size and 128-bit key of the set, and its nodes on the first level; no key for an empty set."""
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, size and 128-bit key of the set, its tokens and one bit of each; no key for an empty set."""
 
-    @F.pandas_udf("n long, key binary, nodes array<long>")
+    @F.pandas_udf("n long, key binary, tokens binary, bits array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        roots = _roots(trees)
         for batch in batches:
             out = []
             for text in batch:
                 own = shingle_set(text, width)
                 if len(own):
-                    out.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), children(own, roots).view(np.int64)))
+                    t = tokens(own)
+                    bits = np.packbits((t & 1).astype(np.uint8)).view(np.int64)
+                    out.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), t.tobytes(), bits))
                 else:
-                    out.append((0, None, None))
-            yield pd.DataFrame(out, columns=["n", "key", "nodes"])
+                    out.append((0, None, None, None))
+            yield pd.DataFrame(out, columns=["n", "key", "tokens", "bits"], dtype=object)
 
-    return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
+    found = docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
+    return found.select("doc_id", "n", "key", "tokens", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -118,22 +134,38 @@ def _sized(entries: DataFrame) -> DataFrame:
     return entries.join(sizes, "node")
 
 
-def _leaf_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    left = entries.select("node", F.col("rep").alias("a"), F.col("n").alias("na"))
-    right = entries.select("node", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    near = left.join(right, "node").where("a < b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return near.select("a", "b").distinct()
+def _may_link(left: str, right: str, percent: int):
+    """Sizes and token bits allow the pair to be a link."""
+    small, large = F.least(f"{left}.n", f"{right}.n"), F.greatest(f"{left}.n", f"{right}.n")
+    differ = sum((F.bit_count(F.col(f"{left}.b{i}").bitwiseXOR(F.col(f"{right}.b{i}"))) for i in (0, 1)), F.lit(0))
+    rate = (1 - percent / 100) / 2
+    return (100 * small >= percent * large) & (differ <= math.ceil(TOKENS * rate + 5.3 * math.sqrt(TOKENS * rate * (1 - rate))))
+
 
+def _pairs(left: DataFrame, right: DataFrame, percent: int, also) -> DataFrame:
+    """Pairs (a < b) of classes that share a node and may link."""
+    near = left.alias("x").join(right.alias("y"), (F.col("x.node") == F.col("y.node")) & _may_link("x", "y", percent) & also)
+    return near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _descend(members: DataFrame, classes: DataFrame, roots: np.ndarray | None) -> DataFrame:
+    """The classes' entries one level deeper; from the roots if they have no nodes yet."""
 
-def _branch(entries: DataFrame, sets: DataFrame) -> DataFrame:
     @F.pandas_udf("array<long>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for nodes, shingles in batches:
-            pairs = zip(nodes, shingles, strict=True)
-            yield pd.Series([children(np.frombuffer(s, np.uint64), np.asarray(n, np.int64).view(np.uint64)).view(np.int64) for n, s in pairs])
+        for nodes, owns in batches:
+            out = []
+            for at, own in zip(nodes, owns, strict=True):
+                above = roots if at is None else np.asarray(at, np.int64).view(np.uint64)
+                out.append(children(np.frombuffer(own, np.uint16), above).view(np.int64))
+            yield pd.Series(out, dtype=object)
 
-    own = entries.groupBy("rep", "n").agg(F.collect_list("node").alias("nodes"))  # trees x 2^depth at most
-    return own.join(sets, "rep").select("rep", "n", F.explode(run("nodes", "shingles")).alias("node")).distinct()
+    if roots is None:
+        own = members.groupBy("rep").agg(F.collect_list("node").alias("nodes"))  # trees x 2^depth at most
+        own = own.join(classes.select("rep", "n", "tokens", "b0", "b1"), "rep")
+    else:
+        own = classes.select("rep", "n", "tokens", "b0", "b1", F.lit(None).cast("array<long>").alias("nodes"))
+    return own.select("rep", "n", "b0", "b1", F.explode(run("nodes", "tokens")).alias("node")).dropDuplicates(["rep", "n", "node"])
 
 
 def _labels(classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -141,55 +173,63 @@ def _labels(classes: DataFrame, comps: DataFrame) -> DataFrame:
     return found.withColumn("component", F.coalesce("component", "rep"))
 
 
+def _central(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Crowd members that may link with another one, with how common their shingles are in the crowd."""
+
+    @F.pandas_udf("array<long>")
+    def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.frombuffer(s, np.int64) for s in batch], dtype=object)
+
+    reps = durable(crowd.select("rep").distinct())
+    held = sets.join(reps, "rep").select("rep", F.explode(spell("shingles")).alias("g"))
+    common = durable(held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
+    seen = held.join(common, "g").groupBy("rep").agg(F.count("*").alias("shared"), F.sum("df").alias("weight"))
+    return crowd.join(seen, "rep").where(F.col("shared") * 100 >= percent * F.col("n"))
+
+
 def _crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links that connect what is connected inside nodes too large to compare exhaustively."""
-    hubs = 1
-    largest = crowd.groupBy("node").count().agg(F.max("count")).first()[0] or 0
-    while largest:
-        comps = components(links).select(F.col("node").alias("node_id"), "component")
-        members = durable(_labels(crowd, comps))
-        spans = members.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_nodes = durable(spans.where("low != high").select("node"))
-        if open_nodes.isEmpty():
-            break
-        members = members.join(open_nodes, "node")
-        # every member is a hub in the last round, else the least of each hashed bucket
-        bucket = F.col("rep") if hubs >= largest else F.pmod(F.xxhash64(F.lit(hubs), "rep"), F.lit(hubs))
-        heads = members.groupBy("node", bucket.alias("bucket")).agg(F.min("rep").alias("hub"))
-        heads = heads.join(members.select("node", F.col("rep").alias("hub"), F.col("component").alias("hub_comp"), F.col("n").alias("hub_n")), ["node", "hub"])
-        tried = members.join(durable(heads), "node").where("component != hub_comp")
-        tried = tried.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = durable(tried.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
-        links = durable(links.unionByName(confirmed(pairs, sets, percent)).distinct())
-        if hubs >= largest:
-            break
-        hubs *= HUBS
-    return links
+    members = durable(_central(crowd, sets, percent))
+    bucket = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
+    best = F.max(F.struct(F.col("weight") / F.col("n"), -F.col("rep"), "rep", "n", "b0", "b1")).alias("h")
+    hubs = durable(members.groupBy("node", bucket).agg(best).select("node", "h.rep", "h.n", "h.b0", "h.b1"))
+    tried = _pairs(members, hubs, percent, F.col("x.rep") != F.col("y.rep"))
+    links = durable(links.unionByName(confirmed(durable(tried), sets, percent)).distinct())
+
+    members = durable(_labels(members, components(links).select(F.col("node").alias("node_id"), "component")))
+    parts = members.groupBy("node", "component").count().groupBy("node")
+    main = parts.agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    split = durable(members.join(durable(main.select("node", F.col("main.component").alias("main"))), "node"))
+    rest = split.where("component != main")
+    pairs = durable(_pairs(split, rest, percent, F.col("x.component") != F.col("y.component")))
+    return durable(links.unionByName(confirmed(pairs, sets, percent)).distinct())
 
 
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept, one row per given row."""
-    sketched = durable(sketches(docs, width, trees))
-    classes = durable(sketched.where("key is not null").groupBy("key", "n", "nodes").agg(F.min("doc_id").alias("rep")))
+    sketched = durable(sketches(docs, width))
+    classes = durable(sketched.where("key is not null").groupBy("key", "n", "tokens", "b0", "b1").agg(F.min("doc_id").alias("rep")))
     known = classes.where("rep is not null")
-    level = _sized(durable(known.select("rep", "n", F.explode("nodes").alias("node")).distinct()))
-    level = durable(level)
-    sets = durable(_sets(docs, level.select("rep"), width))
-
-    candidates = []
+    level = durable(_sized(durable(_descend(known, known, _roots(trees)))))
+    pairs = None
     for at in range(1, depth + 1):
         small, large = level.where(F.col("members") <= leaf), level.where(F.col("members") > leaf)
-        candidates.append(_leaf_pairs(small, percent))
+        found = _pairs(small, small, percent, F.col("x.rep") < F.col("y.rep"))
+        pairs = found if pairs is None else pairs.unionByName(found)
         if at == depth or large.isEmpty():
             break
-        level = durable(_sized(durable(_branch(large, sets))))
-    pairs = candidates[0]
-    for more in candidates[1:]:
-        pairs = pairs.unionByName(more)
-    links = durable(confirmed(durable(pairs.distinct()), sets, percent))
-    links = _crowd_links(durable(large.select("node", "rep", "n").distinct()), sets, links, percent)
+        level = durable(_sized(durable(_descend(large, known, None))))
+    pairs = durable(pairs.distinct())
+    crowd = durable(large.select("node", "rep", "n", "b0", "b1"))
+    crowded = not crowd.isEmpty()
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(crowd.select("rep"))
+    sets = durable(_sets(docs, wanted, width))
+    links = durable(confirmed(pairs, sets, percent))
+    if crowded:
+        links = _crowd_links(crowd, sets, links, percent)
 
     comps = components(links).select(F.col("node").alias("node_id"), "component")
     labelled = durable(_labels(classes.select("key", "rep"), comps))
