@@ -57,7 +57,7 @@ def canonical(word: str) -> tuple[str, int]:
 
 
 class Canon(dict):
-    """Numbers words by their written form; plain forms, kinds and hashes by number."""
+    """Numbers words by their written form; plain forms, kinds and hashes by number, in arrays that grow by doubling."""
 
     def __init__(self):
         self.clear()
@@ -66,28 +66,35 @@ class Canon(dict):
         super().clear()
         self.plain: list[str] = []
         self.kinds: list[int] = []
-        self.hashes, self.kind_of = np.empty((0, 2), np.uint64), np.empty(0, np.int8)
+        self.filled, self.hashes, self.kind_of = 0, np.empty((1 << 16, 2), np.uint64), np.empty(1 << 16, np.int8)
 
     def __missing__(self, word: str) -> int:
-        plain, kind = canonical(word)
+        plain, kind = (word, LITERAL) if word.islower() and word.isalpha() and word not in UNITS else canonical(word)
         self[word] = at = len(self.plain)
         self.plain.append(plain)
         self.kinds.append(kind)
         return at
 
+    def _fill(self) -> None:
+        first, last = self.filled, len(self.plain)
+        while last > len(self.kind_of):
+            self.hashes, self.kind_of = np.concatenate([self.hashes, np.empty_like(self.hashes)]), np.concatenate([self.kind_of, np.empty_like(self.kind_of)])
+        plain = word_hashes([w.encode("utf-8", "surrogatepass") for w in self.plain[first:last]])
+        kinds = np.array(self.kinds[first:last], np.int8)
+        self.hashes[first:last, 0] = plain
+        self.hashes[first:last, 1] = np.where(kinds == LITERAL, plain, kinds.astype(np.uint64))
+        self.kind_of[first:last], self.filled = kinds, last
+
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers, plain hashes, template hashes and kinds of a text."""
         if len(self.plain) > 500_000:
             self.clear()
         words = text.split() if text else []
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.plain) > len(self.hashes):
-            fresh = range(len(self.hashes), len(self.plain))
-            plain = word_hashes([self.plain[i].encode("utf-8", "surrogatepass") for i in fresh])
-            kinds = np.array([self.kinds[i] for i in fresh], np.int8)
-            grown = np.stack([plain, np.where(kinds == LITERAL, plain, kinds.astype(np.uint64))], axis=1)
-            self.hashes, self.kind_of = np.concatenate([self.hashes, grown]), np.concatenate([self.kind_of, kinds])
-        return at, self.hashes[at, 0], self.hashes[at, 1], self.kind_of[at]
+        if len(self.plain) > self.filled:
+            self._fill()
+        both = self.hashes[at]
+        return at, both[:, 0], both[:, 1], self.kind_of[at]
 
 
 def _windows(canon: Canon, text: str | None, widths: list[int], wanted=None) -> Iterator[tuple[int, int, int, int, str]]:
