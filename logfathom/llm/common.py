@@ -53,6 +53,12 @@ def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * most / rows))
 
 
+def picked(docs: DataFrame, labels: DataFrame, key: str, most: int) -> DataFrame:
+    """The documents of about ``most`` labels, with the labels' columns. The label sample is bounded, so it is broadcast and
+    no text is shuffled."""
+    return docs.join(F.broadcast(bounded(labels, key, most)), key)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-case (A-Z only) words of a text, split at ASCII white space only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

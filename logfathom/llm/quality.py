@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logfathom.llm.common import LINE, bounded
+from logfathom.llm.common import LINE, bounded, picked
 
 TRAIN_ROWS = 20_000
 HIDDEN = 8
@@ -115,11 +115,10 @@ def class_prior(pos_score: np.ndarray, unl_score: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, positives: DataFrame, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS) -> dict | None:
-    """Fit on about ``rows`` of the given positive rows and ``rows`` of all documents; None without positives."""
-    take = lambda df: bounded(df, key, rows).select(F.xxhash64(key).alias("h"), features_udf(F.col(text)).alias("x"))
+    """Fit on the documents of about ``rows`` positive ids and on about ``rows`` of all documents; None without positives."""
     parts = []
-    for df in (positives, docs):
-        got = take(df).toPandas().sort_values("h", kind="stable")  # about ``rows`` short vectors
+    for df in (picked(docs.select(key, text), positives.select(key), key, rows), bounded(docs, key, rows)):
+        got = df.select(F.xxhash64(key).alias("h"), features_udf(F.col(text)).alias("x")).toPandas().sort_values("h", kind="stable")  # about ``rows`` short vectors
         parts.append(np.array(got["x"].tolist(), dtype=float).reshape(-1, FEATURES))
     pos, unl = parts
     if not len(pos) or not len(unl):

@@ -25,8 +25,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = docs.join(learning_labels(spark, sf_dir, "toxic").withColumnRenamed("y", "toxic"), "doc_id")
-    fitted = toxicity.train(labelled, toxicity.language_model(docs))
+    fitted = toxicity.train(docs, learning_labels(spark, sf_dir, "toxic"), toxicity.language_model(docs))
     scored = toxicity.score(docs, fitted)
     return scored.select("doc_id", held_out_third().alias("held_out"), "score", "predicted")
 
@@ -72,7 +71,7 @@ def learning_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> dict | None:
     good = learning_labels(spark, sf_dir, "quality").where("y = 1").select("doc_id")
-    return quality.train(docs, docs.select("doc_id", "text").join(good, "doc_id"))
+    return quality.train(docs, good)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

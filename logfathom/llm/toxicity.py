@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.llm.common import bounded
+from logfathom.llm.common import durable, picked
 
 TRAIN_ROWS = 40_000
 ALPHABET = 64
@@ -175,10 +175,11 @@ class Reader:
         return out if self.words is None else out & self.words
 
 
-def train(labelled: DataFrame, model: LanguageModel, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = TRAIN_ROWS) -> dict | None:
-    """Words of toxic texts with their chances, from about ``rows`` labelled rows."""
-    sample = bounded(labelled.where(F.col(label).isNotNull()), key, rows).select(F.col(text).alias("t"), (F.col(label) == 1).cast("int").alias("y"))
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+def train(docs: DataFrame, labels: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS) -> dict | None:
+    """Words of toxic texts with their weights, from the documents of about ``rows`` labels (key, y)."""
+    known = labels.where(F.col("y").isNotNull()).select(key, "y")
+    sample = durable(picked(docs.select(key, F.col(text).alias("t")), known, key, rows).select("t", (F.col("y") == 1).cast("int").alias("y")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(shared.value)

@@ -7,7 +7,7 @@ import corpus_pipeline
 from logfathom.llm import common, decontaminate, near_dedup
 from logfathom.llm.catalog import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_eleven_queries_are_registered():
@@ -27,21 +27,21 @@ def test_oracles(spark, name):
 
 
 def test_every_stage_keeps_its_promise(spark):
-    docs = common.table(spark, SF, "documents")
+    docs = common.table(spark, LARGER, "documents")
     columns = docs.columns
     kept = [docs]
     for _, stage in corpus_pipeline.STAGES:
-        kept.append(common.durable(stage(spark, kept[-1], SF)))
+        kept.append(common.durable(stage(spark, kept[-1], LARGER)))
     assert all(df.columns == columns for df in kept[:-1])
     raw, good, single, cut, clean, mixed = kept
-    labels = {r.doc_id: r.quality for r in common.table(spark, SF, "labels").collect()}
+    labels = {r.doc_id: r.quality for r in common.table(spark, LARGER, "labels").collect()}
     gone = [labels[r.doc_id] for r in raw.join(good, "doc_id", "left_anti").collect() if r.doc_id in labels]
     assert sum(gone) <= 0.25 * max(1, len(gone))
     groups = near_dedup.near_duplicates(good).collect()
     assert {r.doc_id for r in single.collect()} == {r.component_id for r in groups}
     before, after = ({r.doc_id: r.text for r in df.collect()} for df in (single, cut))
     assert before.keys() == after.keys() and all(len(after[i]) <= len(before[i]) for i in before)
-    assert decontaminate.leaks(clean, common.table(spark, SF, "benchmark")).count() == 0
+    assert decontaminate.leaks(clean, common.table(spark, LARGER, "benchmark")).count() == 0
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in clean.collect()}
 
 

@@ -92,7 +92,7 @@ def test_viterbi_finds_the_best_reading():
 def test_toxicity_learns_and_scores(spark):
     rows = [(i, sentence(ONE, i) + (" gromble" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    fitted = toxicity.train(labelled, toxicity.language_model(labelled))
+    fitted = toxicity.train(labelled.drop("toxic"), labelled.selectExpr("doc_id", "toxic AS y"), toxicity.language_model(labelled))
     assert "gromble" in fitted["weight"]
     new = [(1, "the gr0mble"), (2, "the river"), (3, None), (4, ""), (5, "gromble " * 100_000)]
     got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), fitted).collect()}
@@ -102,7 +102,7 @@ def test_toxicity_learns_and_scores(spark):
 
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    assert toxicity.train(none, toxicity.language_model(none)) is None
+    assert toxicity.train(none, none.selectExpr("doc_id", "toxic AS y"), toxicity.language_model(none)) is None
     assert toxicity.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), None).first().score == 0.0
 
 
