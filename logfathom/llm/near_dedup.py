@@ -192,9 +192,11 @@ def _crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, percent: i
     """Links that connect what is connected inside nodes too large to compare exhaustively."""
     members = durable(_central(crowd, sets, percent))
     bucket = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
-    best = F.max(F.struct(F.col("weight") / F.col("n"), -F.col("rep"), "rep", "n", "b0", "b1")).alias("h")
-    hubs = durable(members.groupBy("node", bucket).agg(best).select("node", "h.rep", "h.n", "h.b0", "h.b1"))
-    tried = _pairs(members, hubs, percent, F.col("x.rep") != F.col("y.rep"))
+    best = F.max(F.struct(F.col("weight") / F.col("n"), -F.col("rep"), "rep", "n", "b0", "b1", "shared")).alias("h")
+    hubs = durable(members.groupBy("node", bucket).agg(best).select("node", "h.rep", "h.n", "h.b0", "h.b1", "h.shared"))
+    # a link has at least percent / (100 + percent) of both sizes in common, and no more than either shares with the crowd
+    enough = (100 + percent) * F.least("x.shared", "y.shared") >= percent * (F.col("x.n") + F.col("y.n"))
+    tried = _pairs(members, hubs, percent, enough & (F.col("x.rep") != F.col("y.rep")))
     links = durable(links.unionByName(confirmed(durable(tried), sets, percent)).distinct())
 
     members = durable(_labels(members, components(links).select(F.col("node").alias("node_id"), "component")))
@@ -202,7 +204,7 @@ def _crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, percent: i
     main = parts.agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     split = durable(members.join(durable(main.select("node", F.col("main.component").alias("main"))), "node"))
     rest = split.where("component != main")
-    pairs = durable(_pairs(split, rest, percent, F.col("x.component") != F.col("y.component")))
+    pairs = durable(_pairs(split, rest, percent, enough & (F.col("x.component") != F.col("y.component"))))
     return durable(links.unionByName(confirmed(pairs, sets, percent)).distinct())
 
 
