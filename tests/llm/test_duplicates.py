@@ -123,6 +123,31 @@ def test_every_copy_of_a_passage_is_found(spark):
     assert got == {(i, 0) for i in range(1, 50)} | {(61, 60)}
 
 
+def test_a_passage_whose_seeds_are_known_is_found(spark):
+    """Its seeds occur first in documents that hold parts of it only: in two, or in many."""
+    passage = prose(60, 60)
+    parts = [passage[:30], passage[30:]]
+    for copies in (1, 12):
+        rows = [(i, prose(3000 + i, 40) + parts[i % 2] + prose(4000 + i, 40)) for i in range(2 * copies)]
+        rows += [(100 + i, prose(5000 + i, 40) + passage + prose(6000 + i, 40)) for i in range(3)]
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+        got = {(r.doc_id, r.source_id): r.matched for r in substring.repeated_passages(docs).collect()}
+        assert got[101, 100] == 60 and 60 in (got.get((102, 100)), got.get((102, 101))) and {d for d, _ in got} == {101, 102}
+
+
+def test_edited_passages_are_found(spark):
+    """60 words with one edit in every 8, 7 or 6, and 80 words with one in every 6: at least 83 per cent equal."""
+    rows = []
+    for trial in range(80):
+        n, step = [(60, 8), (60, 7), (60, 6), (80, 6)][trial % 4]
+        passage = prose(7000 + trial, n)
+        other = [f"e{trial}x{i}" if i % step == step // 2 else w for i, w in enumerate(passage)]
+        rows += [(2 * trial, prose(8000 + trial, 40) + passage), (2 * trial + 1, prose(9000 + trial, 40) + other)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.source_id) for r in substring.repeated_passages(docs).collect()}
+    assert got == {(2 * t + 1, 2 * t) for t in range(80)}
+
+
 def test_cut_words_keeps_the_rest():
     assert substring.cut_words("a  b\nc d", [(1, 3)]) == "a  d"
     assert substring.cut_words("a b c d", [(0, 2), (1, 9)]) == ""
