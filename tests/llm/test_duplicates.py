@@ -148,6 +148,12 @@ def test_edited_passages_are_found(spark):
     assert got == {(2 * t + 1, 2 * t) for t in range(80)}
 
 
+def test_a_stretch_at_the_limit_is_a_passage():
+    pieces = [(3, 3, 3), (1, 1, 0)] * 20
+    assert substring.passages(0, 100, pieces) == [(0, 80, 100, 180, 60)]
+    assert all(b - a < 50 for a, b, *_ in substring.passages(0, 100, [(3, 3, 3), (2, 2, 0)] * 20))
+
+
 def test_cut_words_keeps_the_rest():
     assert substring.cut_words("a  b\nc d", [(1, 3)]) == "a  d"
     assert substring.cut_words("a b c d", [(0, 2), (1, 9)]) == ""
