@@ -2,9 +2,10 @@
 
 Words become templates: numbers, names (capitalised words) and units turn into typed placeholders. Windows of ``WINDOW``
 template words of the documents are hash-joined with those of the benchmark, and so are windows of the plain words.
-Matches of a document with an item are lined up; a line of consecutive windows is a leak if it covers ``MIN_RUN`` words (or
-the whole item) and its slots are consistent: every value of the item stands for one value of the document throughout,
-as in a question asked again with other numbers and names. Equal words throughout are a verbatim leak.
+Matches of a document with an item are lined up. A run of ``MIN_RUN`` equal words (or the whole item) in a line of
+consecutive windows is a verbatim leak. So many words whose slots are consistent are a leak as well: every value of the
+item stands for one value of the document, as in a question asked again with other numbers and names. A line is split
+where its slots clash, not rejected.
 
 Only windows that can occur in the benchmark leave the scan: its tasks hold a bit table and the sorted hashes of the
 benchmark's windows. That table is broadcast up to ``BROADCAST`` windows; beyond, every window goes through the join.
@@ -157,27 +158,75 @@ def consistent(ours: list[str], theirs: list[str]) -> tuple[bool, bool]:
     return False, True
 
 
+def _words(stretch: list) -> tuple[list[str], list[str]]:
+    """The lined-up words, with kinds, of a stretch of consecutive windows."""
+    ours, theirs = stretch[0][3].split(" "), stretch[0][4].split(" ")
+    for w in stretch[1:]:
+        more = w[0] + w[2] - stretch[0][0] - len(ours)
+        if more > 0:
+            ours += w[3].split(" ")[-more:]
+            theirs += w[4].split(" ")[-more:]
+    return ours, theirs
+
+
+def _stretches(line: list) -> Iterator[tuple[int, list[str], list[str]]]:
+    """(first word, words, item words) of the parts of a line, sorted by position, whose windows overlap or touch."""
+    stretch: list = []
+    for one in [*line, None]:
+        if stretch and (one is None or one[0] > max(w[0] + w[2] for w in stretch[-2:])):
+            yield stretch[0][0], *_words(stretch)
+            stretch = []
+        if one is not None:
+            stretch.append(one)
+
+
+def _equal_runs(ours: list[str], theirs: list[str]) -> Iterator[tuple[int, int]]:
+    begin = 0
+    for at in range(len(ours) + 1):
+        if at == len(ours) or ours[at][1:] != theirs[at][1:]:
+            if at > begin:
+                yield begin, at
+            begin = at + 1
+
+
+def _fitting(ours: list[str], theirs: list[str]) -> Iterator[tuple[int, int]]:
+    """The longest parts in which every value stands for one value both ways: each begins after the clash that ends it."""
+    there: dict[str, int] = {}
+    back: dict[str, int] = {}  # last place of every item word and document word
+    begin = 0
+    for at, (a, b) in enumerate(zip(ours, theirs, strict=True)):
+        kinds, a, b = a[0] + b[0], a[1:], b[1:]
+        if a != b and kinds not in ("11", "22", "33"):
+            clash = at
+        else:
+            i, j = there.get(b, -1), back.get(a, -1)
+            clash = max(i if i >= 0 and ours[i][1:] != a else -1, j if j >= 0 and theirs[j][1:] != b else -1)
+        if clash >= begin:
+            if at > begin:
+                yield begin, at
+            begin = clash + 1
+        there[b] = back[a] = at
+    if len(ours) > begin:
+        yield begin, len(ours)
+
+
 def leaks_of(windows: list[tuple[int, int, int, str, str]], length: int, run: int = MIN_RUN) -> list[tuple[int, int, str]]:
-    """Leaks of an item of ``length`` words: (first word, words, kind) from (position, item position, width, words, item words)."""
+    """Leaks of an item of ``length`` words: (first word, words, kind) from (position, item position, width, words, item words).
+
+    Runs of equal words are judged first, then the parts of a stretch with consistent slots. A part inside a run is not told again.
+    """
     lines: dict[int, list] = {}
     for one in sorted(windows):
         lines.setdefault(one[0] - one[1], []).append(one)
     out = []
     for line in lines.values():
-        stretch: list = []
-        for one in [*line, None]:
-            if stretch and (one is None or one[0] > stretch[-1][0] + 1):
-                ours, theirs = stretch[0][3].split(" "), stretch[0][4].split(" ")
-                for w in stretch[1:]:
-                    if w[0] + w[2] > stretch[0][0] + len(ours):
-                        ours.append(w[3].rsplit(" ", 1)[-1])
-                        theirs.append(w[4].rsplit(" ", 1)[-1])
-                same, fits = consistent(ours, theirs)
-                if fits and len(ours) >= min(run, length):
-                    out.append((stretch[0][0], len(ours), "verbatim" if same else "reparameterised"))
-                stretch = []
-            if one is not None and (not stretch or one[0] != stretch[-1][0]):
-                stretch.append(one)
+        for first, ours, theirs in _stretches(line):
+            same = [(i, j) for i, j in _equal_runs(ours, theirs) if j - i >= min(run, length)]
+            out += [(first + i, j - i, "verbatim") for i, j in same]
+            for i, j in _fitting(ours, theirs):
+                long_enough = j - i >= min(run, length) and sum(w[0] == "0" for w in ours[i:j]) >= LITERALS
+                if long_enough and not any(a <= i and j <= b for a, b in same):
+                    out.append((first + i, j - i, "reparameterised"))
     return out
 
 

@@ -186,6 +186,14 @@ def test_inconsistent_slots_are_no_leak():
     assert decontaminate.consistent(ours, ours) == (True, True)
 
 
+def test_a_clash_of_slots_keeps_what_lies_beside_it(spark):
+    other = ITEM.replace("Anna", "Berta").replace("12", "40").replace("5 of", "7 of")
+    docs = [(1, ITEM.replace("12", "5")), (3, other.replace("Tom", "Berta"))]
+    assert leaked(spark, docs, [(1, ITEM)]) == {(1, 1): "verbatim", (3, 1): "reparameterised"}
+    words = [f"0{w}" for w in "a b c d e f g h".split()]
+    assert list(decontaminate._fitting(["1x", *words, "1x", *words], ["1y", *words, "1z", *words])) == [(0, 9), (1, 18)]
+
+
 def test_short_items_and_empty_benchmark(spark):
     assert leaked(spark, [(1, "so what is life about then"), (2, "what is")], [(1, "What is life?"), (2, "?!")]).get((1, 1)) == "verbatim"
     assert leaked(spark, [(1, "x")], []) == {}
