@@ -10,8 +10,9 @@ where its slots clash, not rejected.
 Only windows that can occur in the benchmark leave the scan: its tasks hold a bit table and the sorted hashes of the
 benchmark's windows. That table is broadcast up to ``BROADCAST`` windows; beyond, every window goes through the join.
 
-Defined results: words are split at white space, freed of punctuation at their ends and lower-cased. Template windows
-need ``LITERALS`` words that are no placeholders, so text of names and numbers alone leaks only verbatim. An item shorter
+Defined results: words are split at white space, freed of punctuation at their ends and lower-cased. A stretch
+with other slots needs ``LITERALS`` words that are no placeholders, so text of names and numbers alone leaks only verbatim;
+windows with fewer than ``SEED_LITERALS`` count only as the continuation of others. Capitalised words of ``COMMON`` are no names. An item shorter
 than a window is searched as one window of its own length, verbatim. Null and empty texts, items without words and rows
 without an id match nothing. Repeated rows of one id count once. Other columns are not read.
 """
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from logfathom.llm.common import durable, window_hashes, word_hashes
 
 WINDOW = 8
-LITERALS = 5
+LITERALS = 5  # of a stretch
+SEED_LITERALS = 3  # of a window; a stretch of 13 words with five has a window with three
 MIN_RUN = 13
 BROADCAST = 1_000_000
 BIT_TABLE = 24
@@ -39,6 +41,20 @@ UNITS = frozenset(
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros usd eur percent degree degrees mph kmh hz kb mb gb tb".split()
 )
+# Words that often begin a sentence and name nobody. Third-person pronouns aren't among them: they change with the names.
+COMMON = frozenset(
+    "a about after all also although an and another any are as at because before both but by can could did do does during each every few find finally "
+    "first for from given had has have here how however i if in is it its last later let many more most much my next no not now of on once one only or "
+    "other our over please second show since so some still such suppose than that the their then there therefore these they this those though to "
+    "today under until was we were what when where whether which while who whose why will with without would write yes yet you your "
+    "aber alle als am an auch auf aus bei beim da damit dann das dass dein dem den denn der des die dies diese dieser doch du durch ein eine einem einen "
+    "einer es finde für hat heute hier ich im ist ja jede jeder jedes kann kein mit nach nein nicht noch nun nur oder ohne seit sind so über um und unter "
+    "viele von vor wann war warum was weil welche wenn wer wie wieviel wir wird wo zu zum zur zwei "
+    "après au aussi avec avant car ce ces cette chaque comme comment dans de des donc du elles en et il ils je la le les leur lorsque mais ne nous où par "
+    "pour pourquoi quand que quel quelle qui sans si son sont sous sur tous un une vous "
+    "al cada como con cuando cuántas cuántos cuál de del desde después donde dónde el ella en entre es esta este hay la las lo los más muchos no o para pero "
+    "por porque qué quién se si sin sobre su también todos un una y".split()
+) - {"il", "ils", "elles", "ella", "one", "second"}
 _EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
 _NUMBER = re.compile(r"[$€£+-]*\d[\d.,:/]*%?")
 LITERAL, NUMBER, NAME, UNIT = range(4)
@@ -52,7 +68,7 @@ def canonical(word: str) -> tuple[str, int]:
         return plain, NUMBER
     if plain in UNITS:
         return plain, UNIT
-    if bare[:1].isupper() and (len(bare) == 1 or bare[1:].islower()):
+    if bare[:1].isupper() and (len(bare) == 1 or bare[1:].islower()) and plain not in COMMON:
         return plain, NAME
     return plain, LITERAL
 
@@ -98,7 +114,18 @@ class Canon(dict):
         return at, both[:, 0], both[:, 1], self.kind_of[at]
 
 
-def _windows(canon: Canon, text: str | None, widths: list[int], wanted=None) -> Iterator[tuple[int, int, int, int, str]]:
+def _beside(keep: np.ndarray, seed: np.ndarray, reach: int) -> np.ndarray:
+    """Whether places without a gap in ``keep`` lead to a seed at most ``reach`` away."""
+    at = np.arange(len(keep))
+    out = np.zeros(len(keep), bool)
+    for way in (1, -1):
+        k, s = keep[::way], seed[::way]
+        gap, last = (np.maximum.accumulate(np.where(x, at, -1)) for x in (~k, s))
+        out |= (k & (last > gap) & (at - last <= reach))[::way]
+    return out
+
+
+def _windows(canon: Canon, text: str | None, widths: list[int], reach: int, wanted=None) -> Iterator[tuple[int, int, int, int, str]]:
     """(hash, position, width, 1 for a template, plain words with kinds) of the windows of a text that are wanted."""
     at, plain, templates, kinds = canon.read(text)
     slots = np.concatenate([[0], np.cumsum(kinds != LITERAL)])
@@ -111,13 +138,14 @@ def _windows(canon: Canon, text: str | None, widths: list[int], wanted=None) ->
             keep = np.ones(n, bool) if wanted is None else wanted(h)
             if template:
                 filled = slots[width:] - slots[:-width]
-                keep &= (filled > 0) & (filled <= width - LITERALS)
+                seed = (filled > 0) & (filled <= width - SEED_LITERALS)
+                keep &= (filled > 0) & (seed | _beside(keep, keep & (seed | (filled == 0)), reach))
             for i in np.flatnonzero(keep).tolist():
                 words = " ".join(f"{kinds[j]}{canon.plain[at[j]]}" for j in range(i, i + width))
                 yield int(h[i].view(np.int64)), i, width, template, words
 
 
-def _window_rows(df: DataFrame, key: str, widths: list[int], shared=None) -> DataFrame:
+def _window_rows(df: DataFrame, key: str, widths: list[int], reach: int, shared=None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canon, wanted = Canon(), None
         if shared is not None:
@@ -136,7 +164,7 @@ def _window_rows(df: DataFrame, key: str, widths: list[int], shared=None) -> Dat
         for batch in batches:
             out = []
             for one, text in zip(batch["id"], batch["text"], strict=True):
-                for row in _windows(canon, text, widths, wanted):
+                for row in _windows(canon, text, widths, reach, wanted):
                     out.append((one, *row))
                 if len(out) > 100_000:
                     yield pd.DataFrame(out, columns=names, dtype=object)
@@ -236,7 +264,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, run: int = MIN_RUN, broadcast:
     items = items.withColumn("length", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).where("length > 0")
     short = items.where(F.col("length") < WINDOW).select("length").distinct().toPandas()["length"].tolist()  # below WINDOW values
     widths = sorted({WINDOW, *map(int, short)})
-    known = durable(_window_rows(items, "item_id", widths).join(items.select(F.col("item_id").alias("id"), "length"), "id").where(F.col("width") == F.least("length", F.lit(WINDOW))))
+    reach = items.agg(F.max("length")).first()[0] or 0  # no line of windows is longer
+    known = durable(_window_rows(items, "item_id", widths, reach).join(items.select(F.col("item_id").alias("id"), "length"), "id").where(F.col("width") == F.least("length", F.lit(WINDOW))))
     hashes = known.select("h").distinct()
     shared = None
     if hashes.count() <= broadcast:
@@ -244,7 +273,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, run: int = MIN_RUN, broadcast:
         shared = docs.sparkSession.sparkContext.broadcast(np.sort(found)) if len(found) else None
         if shared is None:
             return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, kind string")
-    ours = _window_rows(docs, "doc_id", widths, shared).select(F.col("id").alias("doc_id"), "h", "pos", "words")
+    ours = _window_rows(docs, "doc_id", widths, reach, shared).select(F.col("id").alias("doc_id"), "h", "pos", "words")
     theirs = known.select("h", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "width", F.col("words").alias("item_words"), "length")
     met = ours.join(theirs, "h").groupBy("doc_id", "item_id", "length").agg(F.collect_set(F.struct("pos", "item_pos", "width", "words", "item_words")).alias("met"))
 

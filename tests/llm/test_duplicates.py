@@ -194,6 +194,15 @@ def test_a_clash_of_slots_keeps_what_lies_beside_it(spark):
     assert list(decontaminate._fitting(["1x", *words, "1x", *words], ["1y", *words, "1z", *words])) == [(0, 9), (1, 18)]
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_questions_dense_with_slots_are_found(spark, bound):
+    items = [(1, "Tom has 3 pens. Ann has 5 pens. How many pens do they have?"), (2, "Sam drove 90 miles in 2 hours. Then he drove 60 miles in 3 hours. How far did he drive in all?")]
+    items += [(3, "we write down 1 2 3 4 5 6 7 8 9 10 11 12 and then stop here")]
+    docs = [(1, "Max has 4 pens. Eva has 9 pens. How many pens do they have?"), (2, "Jim drove 80 miles in 4 hours. Then he drove 50 miles in 5 hours. How far did he drive in all?")]
+    docs += [(3, "we write down 21 22 23 24 25 26 27 28 29 30 31 32 and then stop here"), (4, " ".join(map(str, range(300))))]
+    assert leaked(spark, docs, items, broadcast=bound) == {(i, i): "reparameterised" for i in (1, 2, 3)}
+
+
 def test_short_items_and_empty_benchmark(spark):
     assert leaked(spark, [(1, "so what is life about then"), (2, "what is")], [(1, "What is life?"), (2, "?!")]).get((1, 1)) == "verbatim"
     assert leaked(spark, [(1, "x")], []) == {}
