@@ -35,4 +35,83 @@ c AS (SELECT d, min(c) AS c FROM r GROUP BY d)
 SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c ON c.d = doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_near_dedup": NEAR, "op5_chat_format": CHAT}
+AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+o AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+w AS (SELECT t.*, first, list_filter(string_split_regex(t.text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t JOIN o ON o.text = t.text),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS failed
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step-1]), 0) AS INTEGER) AS applied
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+), r AS (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN failed & (applied | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN failed & applied = 0 AND failed & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN failed & applied <> 0 AND failed & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN failed & applied = 0 AND failed & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN failed & applied = 0 AND failed & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+MERKLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS part, text,
+         [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS head FROM documents
+), e AS (
+  SELECT *, array_to_string(list_transform(head, lambda x: coalesce(strlen(x) || ':' || x, '-')), '') AS lead, replace(text, chr(10), '') AS cut,
+         list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ord(CAST(doc_id AS VARCHAR)[i]))),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc FROM d
+), g AS (
+  SELECT doc_id, part, sha256(lead || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc & 1 = 1 THEN sha256(lead || coalesce(strlen(cut) || ':' || cut, '-')) END AS changed FROM e
+), h AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY part) AS n FROM g
+), nodes AS (
+  SELECT 0 AS level, part, pos, n, leaf AS h FROM h
+  UNION ALL
+  SELECT level + 1, part, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY level, part, pos // 3
+), tops AS (
+  SELECT part, h AS subroot, row_number() OVER (ORDER BY part) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 3
+), own AS (
+  SELECT level, part, pos, coalesce(string_agg(h, '' ORDER BY pos) OVER (PARTITION BY level, part, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')
+         || '|' || coalesce(string_agg(h, '' ORDER BY pos) OVER (PARTITION BY level, part, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS near
+  FROM (SELECT level, part, pos, n, h FROM nodes UNION ALL SELECT 1000 + level, '', pos, n, h FROM upper) WHERE n > 1
+), paths AS (
+  SELECT i.part, i.pos, list(o.near ORDER BY o.level) AS path FROM (SELECT h.part, h.pos, t.pos AS tree FROM h JOIN tops t ON t.part = h.part) i
+  JOIN own o ON (o.level < 1000 AND o.part = i.part AND o.pos = i.pos // CAST(3 ** o.level AS BIGINT))
+             OR (o.level >= 1000 AND o.pos = i.tree // CAST(3 ** (o.level - 1000) AS BIGINT))
+  GROUP BY i.part, i.pos
+), k AS (
+  SELECT doc_id, leaf, subroot, u.h AS root, coalesce(path, []) AS path, coalesce(changed, leaf) AS begun
+  FROM h JOIN tops t ON t.part = h.part CROSS JOIN (SELECT h FROM upper WHERE n = 1) u LEFT JOIN paths p ON p.part = h.part AND p.pos = h.pos
+), f AS (
+  SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256,
+         list_reduce(list_prepend(begun, path), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root FROM k
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+ORACLES: dict[str, str] = {"op2_near_dedup": NEAR, "op5_chat_format": CHAT, "op11_filter_audit": AUDIT, "op13_merkle": MERKLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm import chat_format, decontaminate, html_text, language_id, mixing, near_dedup, pivot_index, quality, substring, toxicity
+from logfathom.llm import byte_bpe, chat_format, decontaminate, filter_audit, html_text, language_id, merkle, mixing, near_dedup, pivot_index, quality, substring, toxicity
 from logfathom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_third().alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ids_sha256, decoded_sha256 = F.sha2(byte_bpe.packed(F.col("ids")), 256), F.sha2("decoded", 256)
+    return read.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256.alias("ids_sha256"), decoded_sha256.alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS, merkle.tampered().alias("changed"))
+    found = merkle.manifest(merkle.leaves(docs, keep=("changed",)))
+    folded = merkle.folded(F.coalesce("changed", "h"), F.col("path"))
+    found = found.select("doc_id", F.col("h").alias("leaf"), "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
@@ -91,4 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_merkle": op13_merkle,
 }

@@ -10,14 +10,14 @@ from logfathom.llm.catalog import ORACLES, QUERIES
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def test_eleven_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
+def test_all_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLES[name]).df()
     got = QUERIES[name](spark, SF).toPandas()
