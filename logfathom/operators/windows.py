@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logfathom.functions.clock import MICROS, floor_div, from_micros, span_micros, to_micros
+from logfathom.functions.clock import floor_div, from_micros, span_micros, to_micros
 from logfathom.functions.timeexpr import auto_step, time_or_default
 
 # Default look-back of queries and of label lookups, widest window, widening rungs in hours.
@@ -83,59 +83,145 @@ def with_step(windows: DataFrame, step: str = "step") -> DataFrame:
     return windows.withColumn("step", chosen.otherwise(F.col(step)))
 
 
+FINE_LEVELS = 8  # a coarse cell holds 2^8 fine ones
+COARSE_LEVELS = 24  # runs of up to 2^24 coarse cells
+
+
+def dyadic_pieces(ranges: DataFrame, first: str, end: str) -> DataFrame:
+    """The cells first .. end-1 of each row as aligned runs of 2^level cells, at most two a level: adds __level and __id."""
+    # no run is longer than the range, so its number of bits ends the levels
+    most = F.least(F.length(F.bin(F.col(end) - F.col(first))) - 1, F.lit(FINE_LEVELS + COARSE_LEVELS))
+    each = ranges.where(F.col(first) < F.col(end)).withColumn("__level", F.explode(F.sequence(F.lit(0), most)))
+    each = each.withColumn("__low", F.expr(f"shiftright({first} + shiftleft(1L, __level) - 1, __level)"))
+    each = each.withColumn("__high", F.expr(f"shiftright({end}, __level)")).where("__low < __high")
+    last = F.col("__level") == FINE_LEVELS + COARSE_LEVELS  # longer runs are runs of the top level
+    left = F.when((F.col("__low") % 2 == 1) & ~last, F.col("__low"))
+    right = F.when((F.col("__high") % 2 == 1) & ~last, F.col("__high") - 1)
+    ids = F.when(last, F.sequence("__low", F.col("__high") - 1)).otherwise(F.array_compact(F.array(left, right)))
+    return each.withColumn("__id", F.explode(ids)).drop("__low", "__high")
+
+
+def _at_levels(cells: DataFrame, cell: str, levels: int) -> DataFrame:
+    """One row per cell and level, with the run of 2^level cells that holds it."""
+    spread = cells.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    return spread.withColumn("__id", F.expr(f"shiftright({cell}, __level)"))
+
+
 def rows_in_windows(
     logs: DataFrame, windows: DataFrame, on: Sequence[str] = (), *, bucket: str = "1h", ts: str = "ts"
 ) -> DataFrame:
     """Every (row, window) pair with start_ts <= ts < end_ts and equal ``on`` columns.
 
-    Both sides are cut into time buckets and joined by equality on the bucket, so
-    the optimizer may broadcast the windows when its size estimate allows and
-    otherwise shuffles by bucket, where a busy bucket can be split.
+    Windows are cut into dyadic runs of cells, two a level at most, so a window of 90 days costs some twenty rows. Runs
+    of whole coarse cells (about ``bucket`` long) meet the coarse cells that hold rows, and only those pairs meet the
+    rows, once each. What is left at the ends, and windows shorter than that, are runs of fine cells, a 256th as long:
+    only rows in such a coarse cell are given an id per level there. Pairs looked at are thus those found, and those of
+    the two fine cells at a window's ends.
     """
-    width = span_micros(bucket)
-    last = floor_div(to_micros(F.col("end_ts")) - 1, width)
-    buckets = F.sequence(floor_div(to_micros(F.col("start_ts")), width), last)
-    sound = windows.where(F.col("start_ts") < F.col("end_ts"))
-    cut = sound.withColumn("__bucket", F.explode(buckets))
-    rows = logs.withColumn("__bucket", floor_div(to_micros(F.col(ts)), width))
-    joined = rows.join(cut, ["__bucket", *on])
-    return joined.where((F.col(ts) >= F.col("start_ts")) & (F.col(ts) < F.col("end_ts"))).drop("__bucket")
+    width = max(1, -(-span_micros(bucket) // (1 << FINE_LEVELS)))
+    base = F.lit(1 << 52)  # keeps cells before 1970 positive
+    first = floor_div(to_micros(F.col("start_ts")), width) + base
+    end = floor_div(to_micros(F.col("end_ts")) - 1, width) + 1 + base
+    sound = windows.where(F.col("start_ts") < F.col("end_ts")).withColumns({"__first": first, "__end": end})
+    cut = dyadic_pieces(sound, "__first", "__end").drop("__first", "__end")
+    long = cut.where(F.col("__level") >= FINE_LEVELS).withColumn("__level", F.col("__level") - FINE_LEVELS)
+    short = cut.where(F.col("__level") < FINE_LEVELS)
+
+    known = logs.where(F.col(ts).isNotNull()).withColumn("__fine", floor_div(to_micros(F.col(ts)), width) + base)
+    known = known.withColumn("__cell", F.shiftright("__fine", FINE_LEVELS))
+    held = _at_levels(known.select(*on, "__cell").distinct(), "__cell", COARSE_LEVELS)
+    covered = held.join(long, ["__level", "__id", *on]).drop("__level", "__id")
+    whole = known.join(covered, ["__cell", *on])
+
+    parents = short.select(*on, F.expr(f"shiftright(__id, {FINE_LEVELS} - __level)").alias("__cell")).distinct()
+    edges = _at_levels(known.join(parents, ["__cell", *on], "left_semi"), "__fine", FINE_LEVELS - 1)
+    ends = edges.join(short, ["__level", "__id", *on])
+    ends = ends.where((F.col(ts) >= F.col("start_ts")) & (F.col(ts) < F.col("end_ts")))
+    drop = ["__fine", "__cell", "__level", "__id"]
+    return whole.drop(*drop).unionByName(ends.drop(*drop))
+
 
+def _pruned(logs: DataFrame, spans: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Rows in the time that the spans cover together, by one scalar subquery; a ``day`` column is bounded too, which prunes
+    partitions."""
+    both = spans.agg(F.struct(F.min(start).alias("lo"), F.max(end).alias("hi"))).scalar()
+    lowest, highest = both["lo"], both["hi"]
+    if dict(logs.dtypes).get("day") == "date":
+        logs = logs.where((F.col("day") >= lowest.cast("date")) & (F.col("day") <= highest.cast("date")))
+    return logs.where((F.col("ts") >= lowest) & (F.col("ts") < highest))
 
-def last_match(logs: DataFrame, requests: DataFrame, on: Sequence[str], *, back_hours: int, bucket: str = "1d") -> DataFrame:
-    """Per (keys, end_ts) of the requests the newest row before the end, as ``last_ts``.
 
-    It is looked for from the earliest start of the requests with that end, or ``back_hours`` before it, whichever is earlier.
+def as_of(logs: DataFrame, marks: DataFrame, on: Sequence[str], at: str, *, bucket: str = "1h") -> DataFrame:
+    """The marks with ``last_before``, the newest row's time before ``at``, and ``rows_before``, the number of such rows.
 
-    Rows are reduced to one maximum per (keys, second), and those to one per (keys, bucket). Ends stand between the
-    buckets and take the running maximum of all earlier ones; then they look up the seconds before them in their own
-    bucket, and row by row only their own second, so pairs do not grow with the volume of a key.
+    One merge: rows and marks are sorted by time within (keys, bucket), so a key's rows are spread over all buckets, and
+    running values are taken there. Then a bucket is one row, and a key's marks take the running values of its earlier
+    buckets. Rows and marks with a null key never meet.
     """
     width = span_micros(bucket)
-    start = "start_ts" if "start_ts" in requests.columns else "end_ts"
-    ends = requests.groupBy(*on, "end_ts").agg(F.min(start).alias("__start")).withColumns(
+    time = "__at"
+    blank = [F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in marks.columns if c not in on]
+    rows = logs.where(F.col("ts").isNotNull()).select(*on, to_micros(F.col("ts")).alias(time), *blank, F.lit(1).alias("__row"))
+    asked = marks.withColumn(time, to_micros(F.col(at))).withColumn("__row", F.lit(0))
+    for key in on:
+        rows = rows.where(F.col(key).isNotNull())
+    both = rows.unionByName(asked).withColumn("__slot", floor_div(F.col(time), width))
+
+    inside = Window.partitionBy(*on, "__slot").orderBy(time, "__row")  # a mark comes before the rows of its own time
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_row = F.col("__row") == 1
+    run = both.withColumns(
         {
-            "__lo": F.least(to_micros(F.col("__start")), to_micros(_shift(F.col("end_ts"), -back_hours))),
-            "__end_bucket": floor_div(to_micros(F.col("end_ts")), width),
-            "__end_second": floor_div(to_micros(F.col("end_ts")), MICROS),
+            "__last": F.max(F.when(is_row, F.col(time))).over(so_far),
+            "__count": F.sum("__row").over(so_far),
+            "__ends": F.lead("__row").over(inside).isNull(),
         }
+    ).where(~is_row | F.col("__ends"))
+    # the last entry of a bucket also stands for the bucket; a mark there gives two rows
+    kinds = F.array_compact(F.array(F.when(~is_row, F.lit(0)), F.when(F.col("__ends"), F.lit(1))))
+    short = run.withColumn("__sums", F.explode(kinds))
+    own = (Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))).orderBy("__slot", "__sums")
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    is_sum = F.col("__sums") == 1
+    carried = short.withColumns(
+        {
+            "__last": F.greatest("__last", F.max(F.when(is_sum, F.col("__last"))).over(earlier)),
+            "__count": F.col("__count") + F.coalesce(F.sum(F.when(is_sum, F.col("__count"))).over(earlier), F.lit(0)),
+        }
+    ).where(~is_sum)
+    unknown = [F.col(key).isNull() for key in [*on, at]]
+    met = ~reduce(lambda a, b: a | b, unknown)
+    return carried.select(
+        *marks.columns, F.when(met, from_micros(F.col("__last"))).alias("last_before"), F.when(met, F.col("__count")).otherwise(0).alias("rows_before")
     )
-    rows = logs.select(*on, F.col("ts"), floor_div(to_micros(F.col("ts")), MICROS).alias("__second"))
-    seconds = rows.groupBy(*on, "__second").agg(F.max("ts").alias("ts"))
-    slots = seconds.withColumn("__bucket", floor_div(to_micros(F.col("ts")), width))
 
-    own = (Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))).orderBy("__bucket")
-    newest = slots.groupBy(*on, "__bucket").agg(F.max("ts").alias("ts"))
-    places = ends.select(*on, (F.col("__end_bucket") - 1).alias("__bucket"), "end_ts", "__lo")
-    marks = newest.unionByName(places, allowMissingColumns=True)
-    earlier = marks.withColumn("ts", F.max("ts").over(own)).where(F.col("end_ts").isNotNull() & F.col("ts").isNotNull())
 
-    same_bucket = slots.join(ends.withColumn("__bucket", F.col("__end_bucket")), ["__bucket", *on])
-    same_second = rows.join(ends.withColumn("__second", F.col("__end_second")), ["__second", *on])
-    parts = [earlier, same_bucket.where(F.col("__second") < F.col("__end_second")), same_second.where(F.col("ts") < F.col("end_ts"))]
-    seen = reduce(DataFrame.unionByName, [p.select(*on, "end_ts", "ts", "__lo") for p in parts])
-    inside = seen.where(to_micros(F.col("ts")) >= F.col("__lo"))
-    return inside.groupBy(*on, "end_ts").agg(F.max("ts").alias("last_ts"))
+def count_in_windows(logs: DataFrame, windows: DataFrame, on: Sequence[str] = (), *, bucket: str = "1h") -> DataFrame:
+    """The windows with ``rows``, the number of rows with start_ts <= ts < end_ts: a difference of two prefix counts, so no
+    pair of row and window is ever made. Equal windows stay apart; the windows' columns have to be groupable."""
+    sound = windows.where(F.col("start_ts") < F.col("end_ts"))
+    sides = F.array(F.struct(F.col("start_ts").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_ts").alias("at"), F.lit(1).alias("sign")))
+    marks = sound.withColumn("__side", F.explode(sides)).select(*windows.columns, F.col("__side.at").alias("__mark"), F.col("__side.sign").alias("__sign"))
+    near = _pruned(logs, windows, F.col("start_ts"), F.col("end_ts"))
+    found = as_of(near, marks, on, "__mark", bucket=bucket)
+    summed = found.groupBy(*windows.columns).agg(F.sum(F.col("__sign") * F.col("rows_before")).alias("rows"), (F.count("*") / 2).cast("int").alias("__times"))
+    each = summed.withColumn("rows", F.call_function("div", F.col("rows"), F.col("__times")))
+    each = each.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__copy")
+    empty = windows.where(~F.coalesce(F.col("start_ts") < F.col("end_ts"), F.lit(False))).withColumn("rows", F.lit(0).cast("bigint"))
+    return each.unionByName(empty)
+
+
+def last_match(logs: DataFrame, requests: DataFrame, on: Sequence[str], *, back_hours: int, bucket: str = "1h") -> DataFrame:
+    """The requests with ``last_ts``, the newest row before their end_ts.
+
+    It is looked for from the request's start, or ``back_hours`` before its end, whichever is earlier. Only the time that
+    the requests span together is read, and rows are shuffled once.
+    """
+    start = "start_ts" if "start_ts" in requests.columns else "end_ts"
+    oldest = F.least(F.col(start), _shift(F.col("end_ts"), -back_hours))
+    near = _pruned(logs, requests, oldest, F.col("end_ts"))
+    found = as_of(near, requests, on, "end_ts", bucket=bucket)
+    return found.select(*requests.columns, F.when(F.col("last_before") >= oldest, F.col("last_before")).alias("last_ts"))
 
 
 def auto_widen(
@@ -148,13 +234,13 @@ def auto_widen(
 ) -> DataFrame:
     """Widen windows that hold no row and had no start given, to the first rung that holds one.
 
-    Instead of probing rung after rung, the newest matching row is found once and
-    its age picks the rung. Rungs over ``max_hours`` or not earlier than the start
+    Instead of probing rung after rung, the newest matching row is found once, in one
+    merge of rows and requests, and its age picks the rung. Rungs over ``max_hours`` or not earlier than the start
     are skipped; with no match the earliest allowed rung stays. Adds ``used_start``,
     ``widened``, ``has_rows`` and ``last_ts``.
     """
     allowed = sorted(h for h in rungs if max_hours is None or h <= max_hours)
-    base = windows.join(last_match(logs, windows, on, back_hours=max(allowed, default=0)), [*on, "end_ts"], "left")
+    base = last_match(logs, windows, on, back_hours=max(allowed, default=0))
     start, end, last = F.col("start_ts"), F.col("end_ts"), F.col("last_ts")
     hit = F.coalesce(last >= start, F.lit(False))
     eligible = ~hit & ~F.col("start_given")

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -143,10 +144,79 @@ def test_last_match_equals_brute_force(spark, keyed):
     logs = spark.createDataFrame(rows, "key string, ts timestamp_ntz")
     requests = spark.createDataFrame(asked, "request_id int, key string, end_ts timestamp_ntz")
     on = ["key"] if keyed else []
-    found = requests.join(win.last_match(logs, requests, on, back_hours=720), [*on, "end_ts"])
+    found = win.last_match(logs, requests, on, back_hours=720).where("last_ts IS NOT NULL")
     want = {}
     for i, key, end in asked:
         inside = [t for k, t in rows if (k == key or not keyed) and end - timedelta(hours=720) <= t < end]
         if inside:
             want[i] = max(inside)
     assert {r["request_id"]: r["last_ts"] for r in found.collect()} == want
+
+
+def random_times(seed, rows=400, windows=150):
+    import random
+
+    rnd = random.Random(seed)
+    stamp = lambda: NOW - timedelta(microseconds=rnd.choice([rnd.randint(0, 10**13), rnd.randint(0, 10**9), rnd.randint(0, 100)]))
+    logs = [(i, rnd.choice(["a", "b", None]), stamp()) for i in range(rows)] + [(rows, "a", datetime(1969, 12, 31, 23, 59, 59)), (rows + 1, "a", None)]
+    spans = [(j, rnd.choice(["a", "c", None]), *sorted([stamp(), stamp()])) for j in range(windows)]
+    spans += [(windows, "a", datetime(1960, 1, 1), NOW + timedelta(days=1)), (windows + 1, "a", NOW, NOW), (windows + 2, "a", NOW, NOW - timedelta(1))]
+    spans += [spans[0], (windows + 3, "a", None, NOW)]
+    return logs, spans
+
+
+@pytest.mark.parametrize("keyed, bucket", [(True, "1h"), (False, "1h"), (True, "1d"), (False, "7m")])
+def test_windows_equal_brute_force(spark, keyed, bucket):
+    logs, spans = random_times(5)
+    log_df = spark.createDataFrame(logs, "id int, key string, ts timestamp_ntz")
+    win_df = spark.createDataFrame(spans, "w int, key string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    on = ["key"] if keyed else []
+    same = lambda a, b: not keyed or (a is not None and a == b)
+    inside = lambda t, s, e: t is not None and s is not None and s <= t < e
+    pairs = win.rows_in_windows(log_df if keyed else log_df.drop("key"), win_df, on, bucket=bucket).select("id", "w").collect()
+    assert sorted(map(tuple, pairs)) == sorted((i, w) for i, k, t in logs for w, q, s, e in spans if same(k, q) and inside(t, s, e))
+    counted = win.count_in_windows(log_df, win_df, on, bucket=bucket).collect()
+    assert sorted((r["w"], r["rows"]) for r in counted) == sorted((w, sum(same(k, q) and inside(t, s, e) for _, k, t in logs)) for w, q, s, e in spans)
+
+
+def test_dyadic_pieces_tile_the_range(spark):
+    import random
+
+    rnd = random.Random(2)
+    lengths = [1, 2, 3, 7, 64, 100, 4095, 4096, 10**6, 10**9, 2**32]
+    ranges = [(i, a, a + rnd.choice(lengths)) for i, a in enumerate(rnd.randint(0, 10**10) for _ in range(200))] + [(900, 5, 5), (901, 7, 3)]
+    got = {}
+    for r in win.dyadic_pieces(spark.createDataFrame(ranges, "i int, a long, b long"), "a", "b").collect():
+        got.setdefault(r["i"], []).append((r["__id"] << r["__level"], (r["__id"] + 1) << r["__level"]))
+    assert set(got) == set(range(200))
+    for i, a, b in ranges[:200]:
+        runs = sorted(got[i])
+        assert runs[0][0] == a and runs[-1][1] == b and all(x[1] == y[0] for x, y in zip(runs, runs[1:]))
+        assert len(runs) <= 2 * max(1, (b - a).bit_length())
+
+
+def test_a_busy_hour_of_many_short_windows_stays_linear(spark):
+    """Forty thousand rows in one hour and a thousand one-second windows: the joins make little more than the pairs found."""
+    logs = spark.range(40_000).select("id", (F.lit(NOW) + F.make_dt_interval(secs=F.col("id") * 3600 / 40_000)).cast("timestamp_ntz").alias("ts"))
+    windows = spark.range(1000).select("id", (F.lit(NOW) + F.make_dt_interval(secs=(F.col("id") * 3.6).cast("decimal(18,6)"))).cast("timestamp_ntz").alias("start_ts"))
+    windows = windows.select(F.col("id").alias("w"), "start_ts", (F.col("start_ts") + F.expr("INTERVAL '1' SECOND")).alias("end_ts"))
+    assert 11_000 <= win.rows_in_windows(logs, windows).count() <= 12_500
+    cells = windows.selectExpr("*", "unix_micros(cast(start_ts as timestamp)) div 14062500 AS a", "unix_micros(cast(end_ts as timestamp)) div 14062500 + 1 AS b")
+    assert win.dyadic_pieces(cells, "a", "b").count() <= 3000
+
+
+def test_widening_reads_the_log_once_and_only_the_days_asked_for(spark, tmp_path):
+    from logfathom.sources import logs as log_source
+
+    rows = [(i, NOW - timedelta(days=i), f"l{i}", {"app": "a"}) for i in range(400)]
+    log_source.write_logs(spark.createDataFrame(rows, "id long, ts timestamp_ntz, line string, labels map<string,string>"), str(tmp_path / "logs"))
+    logs = log_source.read_logs(spark, str(tmp_path / "logs")).select("ts", "day", F.col("labels")["app"].alias("app"))
+    asked = [(1, "a", NOW - timedelta(hours=301), NOW - timedelta(hours=300), False), (2, "b", NOW - timedelta(hours=1), NOW, False)]
+    requests = spark.createDataFrame(asked, "request_id int, app string, start_ts timestamp_ntz, end_ts timestamp_ntz, start_given boolean")
+    widened = win.auto_widen(logs, requests, ["app"], max_hours=168)
+    got = {r["request_id"]: (r["has_rows"], r["last_ts"]) for r in widened.collect()}
+    assert got == {1: (True, NOW - timedelta(days=13)), 2: (False, None)}
+    text = widened._jdf.queryExecution().executedPlan().toString().rsplit("== Initial Plan ==", 1)[1]
+    scans = [line for line in text.splitlines() if "Scan parquet" in line]
+    assert len(scans) == 1 and re.search(r"PartitionFilters: \[isnotnull\(day.*ubquery", scans[0])
+    assert "Exchange hashpartitioning(app" in text and text.count("Exchange hashpartitioning") - text.count("ReusedExchange") <= 2
