@@ -488,6 +488,74 @@ WITH {EV} SELECT uid AS user_id, count(*) AS matched, 'shrunk' AS form, true AS
 ORACLES["oversized_notices"] = """
 SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS matched, 'notice' AS form, 'true' AS truncated, true AS larger FROM events GROUP BY 1"""
 
+_ASKED = f"""
+u AS (SELECT DISTINCT user_id AS id, user_id % 7 AS kind, TIMESTAMP '2024-01-20 12:30:00' + to_days(CAST(user_id % 5 AS INTEGER)) AS n FROM events),
+w0 AS (
+  SELECT id, kind, n, kind IN (1, 2, 3, 4, 6) AS given,
+    CASE kind WHEN 1 THEN n - INTERVAL 48 HOUR WHEN 2 THEN n - INTERVAL 48 HOUR WHEN 4 THEN n - INTERVAL 720 HOUR WHEN 6 THEN NULL ELSE n - INTERVAL 1 HOUR END AS s,
+    CASE kind WHEN 6 THEN NULL ELSE n END AS e,
+    CASE kind WHEN 1 THEN 'swapped' WHEN 3 THEN 'defaulted_1h' WHEN 4 THEN 'capped_range' WHEN 6 THEN 'bad_time' END AS code FROM u),
+hit AS (SELECT id, event_id, ts, event_type, pattern FROM ev JOIN w0 ON user_id = id WHERE event_type <> 'view' AND kind <> 5),
+l AS (SELECT id, max(ts) AS last FROM hit JOIN w0 USING (id) WHERE ts < e AND ts >= least(s, e - INTERVAL 720 HOUR) GROUP BY 1),
+w AS (
+  SELECT id, e, code, given, s, last, CASE WHEN given OR coalesce(last >= s, false) THEN s WHEN last >= e - INTERVAL 6 HOUR THEN e - INTERVAL 6 HOUR
+      WHEN last >= e - INTERVAL 24 HOUR THEN e - INTERVAL 24 HOUR WHEN last >= e - INTERVAL 168 HOUR THEN e - INTERVAL 168 HOUR
+      ELSE e - INTERVAL 720 HOUR END AS used FROM w0 LEFT JOIN l USING (id)),
+c AS (
+  SELECT *, CASE WHEN s IS NULL THEN NULL WHEN coalesce(last >= used, false) THEN CASE WHEN used < s THEN 'widened' END
+      WHEN given THEN 'no_rows_explicit' ELSE 'no_rows_after_widen' END AS found, (epoch_us(e) - epoch_us(used)) / 60000000.0 AS minutes,
+    CASE WHEN s IS NULL THEN '' ELSE strftime(used, '%Y-%m-%dT%H:%M:%SZ') || ' to ' || strftime(e, '%Y-%m-%dT%H:%M:%SZ') END AS time_range FROM w)"""
+
+ORACLES["request_logs_reports"] = f"""
+WITH {EV}, {_ASKED},
+m AS (SELECT hit.* FROM hit JOIN c USING (id) WHERE ts >= used AND ts < e),
+p AS (SELECT id, pattern, count(*) AS k FROM m GROUP BY 1, 2),
+q AS (SELECT id, arg_min(pattern, (-k, pattern)) AS first_pattern, count(*) AS groups FROM p GROUP BY 1),
+t AS (
+  SELECT id, count(*) AS rows, CASE WHEN id % 2 = 0 THEN arg_min(ts, (ts, event_id)) ELSE arg_max(ts, (ts, event_id)) END AS first FROM m GROUP BY 1)
+SELECT c.id AS request_id, used AS used_start, e AS end_ts, coalesce(rows, 0) AS matched, CASE WHEN rows >= 3 AND groups > 10 THEN groups END AS total_patterns,
+  concat_ws(',', code, found) AS codes, CAST(least(coalesce(rows, 0), c.id % 40 + 1) AS VARCHAR) AS total_logs,
+  CASE WHEN coalesce(rows, 0) >= c.id % 40 + 1 THEN 'true' ELSE 'false' END AS truncated, CASE WHEN c.id % 2 = 0 THEN 'forward' ELSE 'backward' END AS direction,
+  time_range, CASE WHEN rows >= 3 THEN first_pattern END AS first_pattern, strftime(first, '%Y-%m-%dT%H:%M:%S.%gZ') AS first_time
+FROM c LEFT JOIN t ON t.id = c.id LEFT JOIN q ON q.id = c.id"""
+
+ORACLES["request_stats_reports"] = f"""
+WITH {EV}, {_ASKED},
+g AS (SELECT *, CASE WHEN id % 3 = 1 THEN '6h' WHEN s IS NULL THEN '1h' ELSE {_STEP} END AS step FROM c),
+h AS (SELECT *, CAST(CASE step WHEN '6h' THEN 21600 WHEN '30s' THEN 30 WHEN '1m' THEN 60 WHEN '5m' THEN 300 WHEN '15m' THEN 900 ELSE 3600 END AS BIGINT) * 1000000 AS w FROM g),
+b AS (SELECT *, (epoch_us(used) // w + 1) * w AS lo, epoch_us(e) // w * w AS hi FROM h),
+m AS (
+  SELECT b.id, event_type, (epoch_us(ts) + w - 1) // w AS slot, count(*) AS k FROM hit JOIN b USING (id)
+  WHERE epoch_us(ts) > lo - w AND epoch_us(ts) <= hi GROUP BY ALL),
+t AS (SELECT id, event_type, sum(k) AS total, max(k) AS peak FROM m GROUP BY 1, 2),
+a AS (SELECT id, count(*) AS series, sum(total) AS total, max(peak) AS peak, arg_min(event_type, (-total, event_type)) AS first_type FROM t GROUP BY 1)
+SELECT b.id AS request_id, used AS used_start, e AS end_ts, step, coalesce(series, 0) AS total_series,
+  concat_ws(',', code, found, CASE WHEN b.id % 3 = 2 THEN 'bad_step' END) AS codes, CAST(coalesce(total, 0) AS DOUBLE) AS total,
+  CAST(coalesce(peak, 0) AS DOUBLE) AS peak, first_type, time_range FROM b LEFT JOIN a ON a.id = b.id"""
+
+_LABELS_ASKED = """
+u AS (SELECT DISTINCT user_id AS id, user_id % 7 AS kind, TIMESTAMP '2024-01-20 12:30:00' + to_days(CAST(user_id % 5 AS INTEGER)) AS n FROM events),
+w AS (
+  SELECT id, kind, CASE kind WHEN 1 THEN n WHEN 2 THEN n - INTERVAL 48 HOUR WHEN 3 THEN n WHEN 4 THEN n - INTERVAL 60 DAY WHEN 6 THEN NULL ELSE n - INTERVAL 6 HOUR END AS s,
+    CASE kind WHEN 1 THEN n - INTERVAL 48 HOUR WHEN 2 THEN n + INTERVAL 3 DAY WHEN 6 THEN NULL ELSE n END AS e FROM u)"""
+
+ORACLES["request_label_names"] = f"""
+WITH {_LABELS_ASKED}
+SELECT id AS request_id, CASE WHEN count(event_id) > 0 THEN 'event_type,user_id' ELSE '' END AS names, CASE WHEN any_value(kind) = 6 THEN 'bad_time' ELSE '' END AS codes
+FROM w LEFT JOIN events ON ts >= s AND ts < e GROUP BY 1"""
+
+ORACLES["request_label_values"] = f"""
+WITH {_LABELS_ASKED},
+v AS (SELECT DISTINCT id, CAST(user_id AS VARCHAR) AS value FROM w JOIN events ON ts >= s AND ts < e AND id % 11 <> 0),
+a AS (
+  SELECT id, count(*) AS total_label_values, count(*) FILTER (id % 2 = 1 OR contains(value, '1')) AS total_values,
+    list(value ORDER BY value) FILTER (id % 2 = 1 OR contains(value, '1')) AS vs FROM v GROUP BY 1)
+SELECT w.id AS request_id, coalesce(total_values, 0) AS total_values, coalesce(total_label_values, 0) AS total_label_values, coalesce(total_values > 3, false) AS truncated,
+  coalesce(array_to_string(vs[1:3], ','), '') AS values,
+  concat_ws(',', CASE WHEN kind = 6 THEN 'bad_time' END, CASE WHEN w.id % 11 = 0 THEN 'label_required' END,
+    CASE WHEN total_values = 0 AND total_label_values > 0 THEN 'no_value_contains' END, CASE WHEN total_values > 3 THEN 'values_capped' END) AS codes
+FROM w LEFT JOIN a ON a.id = w.id"""
+
 # --- recipes ---------------------------------------------------------------
 
 ERROR_ONLY = ONE_SCOPE.replace(dense(USER, "24 HOUR", 86400), dense(USER, "24 HOUR", 86400, "event_type = 'error'"))

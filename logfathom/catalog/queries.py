@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,8 +19,8 @@ from logfathom.operators import windows as win
 from logfathom.operators.patterns import count_patterns, top_patterns, with_pattern
 from logfathom.operators.ranking import evidence_points, omitted_series, rank_series, reported_series
 from logfathom.operators.trend import trend_summary
-from logfathom.plans import recipes, reports
-from logfathom.session import prepare
+from logfathom.plans import recipes, reports, requests
+from logfathom.session import prepare, shared_dir
 from logfathom.sources import payloads
 from logfathom.sources.logs import document_lines, events_logs, orders_logs
 from logfathom.streaming.counts import streaming_count_over_time
@@ -601,6 +600,74 @@ def oversized_notices(spark, sf_dir):
     return out.select("user_id", "matched", "form", read("$.truncated").alias("truncated"), larger.alias("larger"))
 
 
+def _asked_reports(spark, sf_dir) -> DataFrame:
+    """One request per user: default, reversed, future, empty, overlong, hopeless and unreadable windows, selections as data."""
+    u = F.col("user_id")
+    users = _events(spark, sf_dir).select("user_id").distinct()
+    as_of = F.lit("2024-01-20 12:30:00").cast("timestamp_ntz") + F.make_dt_interval(days=F.pmod(u, F.lit(5)).cast("int"))
+    kind = F.pmod(u, F.lit(7))
+    start = F.when(kind == 1, "now").when(kind == 2, "2 days ago").when(kind == 3, "now").when(kind == 4, "last 60 days").when(kind == 6, "some time")
+    ahead = F.date_format(as_of + F.expr("INTERVAL '3' DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    end = F.when(kind == 1, "48h ago").when(kind == 2, ahead).when(kind == 3, "now")
+    one = lambda name, op, value: F.struct(F.lit(name).alias("name"), F.lit(op).alias("op"), value.alias("value"))
+    exact, regex = one("user_id", "=", u.cast("string")), one("user_id", "=~", F.concat(u.cast("string"), F.lit("|none")))
+    matchers = F.array(F.when(u < 3, regex).otherwise(exact), one("event_type", "!=", F.lit("view")))
+    contains = F.when(kind == 5, F.array(F.lit("no such text"))).otherwise(F.array(F.lit("node "), F.lit("10.0.")))
+    return users.select(
+        u.alias("request_id"), as_of.alias("as_of"), start.alias("start_expr"), end.alias("end_expr"), matchers.alias("matchers"),
+        contains.alias("contains"), F.array(F.lit("(?i)NODE [0-6] ")).alias("regex"), F.array(F.lit("node 9")).alias("excludes"),
+        (F.pmod(u, F.lit(40)) + 1).alias("limit"), F.when(u % 2 == 0, "forward").alias("direction"), F.array(F.lit("event_type")).alias("group_by"),
+        F.when(u % 3 == 1, "6h").when(u % 3 == 2, "often").alias("step"),
+    )
+
+
+@query
+def request_logs_reports(spark, sf_dir):
+    """A table of requests answered in one pass, what was repaired and widened said inside."""
+    out = requests.logs_reports(events_logs(spark, sf_dir), _asked_reports(spark, sf_dir), max_hours=win.MAX_RANGE_HOURS)
+    read = lambda path: F.get_json_object("report", path)
+    inside = F.from_json("report", "struct<warnings: array<string>>")["warnings"]
+    return out.select(
+        "request_id", "used_start", "end_ts", "matched", "total_patterns", F.coalesce(F.array_join(inside, ","), F.lit("")).alias("codes"),
+        read("$.total_logs").alias("total_logs"), read("$.truncated").alias("truncated"), read("$.direction").alias("direction"),
+        read("$.time_range").alias("time_range"), read("$.top_patterns[0].pattern").alias("first_pattern"), read("$.logs[0].timestamp").alias("first_time"),
+    )
+
+
+@query
+def request_stats_reports(spark, sf_dir):
+    """Statistics for a table of requests, each with its own window and step."""
+    out = requests.stats_reports(events_logs(spark, sf_dir), _asked_reports(spark, sf_dir), max_hours=win.MAX_RANGE_HOURS)
+    shape = "struct<warnings: array<string>, summaries: map<string, struct<total: double, peak: double>>>"
+    read = F.from_json("report", shape)
+    sums = F.map_values(read["summaries"])
+    return out.select(
+        "request_id", "used_start", "end_ts", "step", "total_series", F.coalesce(F.array_join(read["warnings"], ","), F.lit("")).alias("codes"),
+        F.aggregate(sums, F.lit(0.0), lambda a, x: a + x["total"]).alias("total"),
+        F.coalesce(F.array_max(F.transform(sums, lambda x: x["peak"])), F.lit(0.0)).alias("peak"),
+        F.get_json_object("report", "$.series[0].labels.event_type").alias("first_type"),
+        F.get_json_object("report", "$.time_range").alias("time_range"),
+    )
+
+
+@query
+def request_label_names(spark, sf_dir):
+    """Label names of each user's own window of days, per request."""
+    found = requests.label_names_reports(events_logs(spark, sf_dir), _asked_reports(spark, sf_dir))
+    return found.select("request_id", F.array_join("names", ",").alias("names"), F.array_join("warnings", ",").alias("codes"))
+
+
+@query
+def request_label_values(spark, sf_dir):
+    """Values of a label per request, filtered and capped by the request."""
+    asked = _asked_reports(spark, sf_dir).withColumns(
+        {"label": F.when(F.col("request_id") % 11 != 0, "user_id"), "contains_text": F.when(F.col("request_id") % 2 == 0, "1"), "limit": F.lit(3)}
+    )
+    found = requests.label_values_reports(events_logs(spark, sf_dir), asked)
+    joined = [F.array_join(c, ",").alias(n) for c, n in (("values", "values"), ("warnings", "codes"))]
+    return found.select("request_id", "total_values", "total_label_values", "truncated", *joined)
+
+
 # --- recipes ---------------------------------------------------------------
 
 
@@ -705,12 +772,7 @@ def streaming_counts(spark, sf_dir):
     schema = _events(spark, sf_dir).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counted = streaming_count_over_time(source, ["event_type"], "1h", late="10 minutes")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("a stream needs spark.checkpoint.dir, a folder that all executors share")
-        shared = tempfile.gettempdir()
-    base = f"{shared.rstrip('/')}/streaming_counts_{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/streaming_counts_{uuid.uuid4().hex}"
     running = (
         counted.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

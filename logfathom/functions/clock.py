@@ -39,13 +39,13 @@ def ntz_to_nanos(ts: Column) -> Column:
     return to_micros(ts) * F.lit(1000)
 
 
-def floor_div(value: Column, divisor: int) -> Column:
+def floor_div(value: Column, divisor: int | Column) -> Column:
     """Integer division rounding down, also for times before 1970."""
     d = F.lit(divisor)
     return F.call_function("div", value - F.pmod(value, d), d)
 
 
-def ceil_to(value: Column, step: int) -> Column:
+def ceil_to(value: Column, step: int | Column) -> Column:
     """Smallest multiple of ``step`` that is >= value."""
     s = F.lit(step)
     return value + F.pmod(s - F.pmod(value, s), s)

@@ -89,6 +89,16 @@ def _variant_text(doc: Column, path: str) -> Column:
     return F.when(is_text, _filled(F.try_variant_get(doc, path, "string")))
 
 
+def whole_json(text: Column) -> Column:
+    """A text parsed as the first of two array items; ``is_whole`` tells whether nothing but JSON stood there."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_SENTINEL}"]')))
+
+
+def is_whole(doc: Column) -> Column:
+    second = F.try_variant_get(doc, "$[1]", "string") == _SENTINEL
+    return F.coalesce(second, F.lit(False)) & F.try_variant_get(doc, "$[2]", "variant").isNull()
+
+
 def with_message(df: DataFrame, line: str = "line", out: str = "message") -> DataFrame:
     """Add the human message of each line: JSON field, logfmt field, or the trimmed line itself.
 

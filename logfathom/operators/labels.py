@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.operators.select import check_limit, label
@@ -29,10 +29,11 @@ def label_names(logs: DataFrame, scope: Sequence[str] = (), *, internal: bool =
     return names.orderBy(*scope, "label")
 
 
-def ranked_values(logs: DataFrame, name: str, scope: Sequence[str], contains: str | None, limit: int | None) -> DataFrame:
-    """Values in text order, matching ones first, with totals before and after the filter."""
+def ranked_values(logs: DataFrame, name: str, scope: Sequence[str], contains: str | Column | None, limit: int | None) -> DataFrame:
+    """Values in text order, matching ones first, with totals before and after the filter, which may be a column of the scope."""
     values = logs.select(*scope, label(name).alias("value")).where(F.col("value").isNotNull()).distinct()
-    hit = F.contains(F.lower("value"), F.lower(F.lit(contains))) if contains else F.lit(True)
+    some = isinstance(contains, Column) or bool(contains)
+    hit = F.contains(F.lower("value"), F.lower(F.lit(contains))) if some else F.lit(True)
     marked = values.withColumn("hit", hit)
     totals = {"total_values": F.col("hit").cast("int"), "total_label_values": F.lit(1)}
     return top_k(marked, scope, ["value"], [F.col("hit").desc(), F.col("value").asc()], limit, totals)

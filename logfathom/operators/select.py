@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.functions.clock import ntz
-from logfathom.functions.text import cap_line
+from logfathom.functions.clock import ntz, to_micros
+from logfathom.functions.text import cap_line, is_whole, whole_json
 from logfathom.operators.topk import first_k
 
 # Request limits and the size of the evidence sample.
@@ -42,8 +42,9 @@ def match_label(name: str, op: str, value: str, labels: str = "labels") -> Colum
 
 
 def json_compare(path: str, op: str, number: float, line: str = "line") -> Column:
-    """Numeric comparison on a JSON field; lines that are not JSON or lack the field do not match."""
-    field = F.try_variant_get(F.try_parse_json(F.col(line)), f"$.{path}", "double")
+    """Numeric comparison on a JSON field; lines that are not JSON as a whole or lack the field do not match."""
+    doc = whole_json(F.col(line))
+    field = F.when(is_whole(doc), F.try_variant_get(doc, f"$[0].{path}", "double"))
     tests = {
         "=": field == number, "!=": field != number, ">": field > number,
         ">=": field >= number, "<": field < number, "<=": field <= number,
@@ -124,13 +125,21 @@ def newest_first(direction: str | None) -> bool:
     return direction != "forward"
 
 
-def time_order(direction: str | None, ts: str = "ts", tie: str = "id") -> list[Column]:
-    """Sort columns for a direction; equal times fall back to the row id so the order is total."""
+def time_order(direction: str | Column | None, ts: str = "ts", tie: str = "id") -> list[Column]:
+    """Sort columns for a direction, which may differ by row; equal times fall back to the row id so the order is total."""
+    if isinstance(direction, Column):
+        return [c.asc() for c in signed_time(direction, ts, tie)]
     if newest_first(direction):
         return [F.col(ts).desc(), F.col(tie).desc()]
     return [F.col(ts).asc(), F.col(tie).asc()]
 
 
+def signed_time(direction: Column, ts: str = "ts", tie: str = "id") -> list[Column]:
+    """Time and row id, negative where the direction is not forward, so that the smallest come first either way."""
+    sign = F.when(direction == "forward", 1).otherwise(-1)
+    return [sign * to_micros(F.col(ts)), sign * F.col(tie)]
+
+
 def take_logs(
     logs: DataFrame, *, limit: int | None = DEFAULT_LIMIT, direction: str | None = None, scope: Sequence[str] = ()
 ) -> DataFrame:
@@ -142,7 +151,7 @@ def take_logs(
     return first_k(logs, scope, time_order(direction), n)
 
 
-def sample_logs(logs: DataFrame, scope: Sequence[str] = (), *, direction: str | None = None, n: int = SAMPLE_ROWS) -> DataFrame:
+def sample_logs(logs: DataFrame, scope: Sequence[str] = (), *, direction: str | Column | None = None, n: int = SAMPLE_ROWS) -> DataFrame:
     """The first rows of each scope as evidence, with long lines cut."""
     return first_k(logs, scope, time_order(direction), n).withColumn("line", cap_line(F.col("line")))
 
@@ -155,6 +164,9 @@ def count_selected(logs: DataFrame, scope: Sequence[str] = (), *, limit: int | N
     return counted.select(*scope, "matched", returned.alias("total_logs"), truncated.alias("truncated"))
 
 
-def limited(matched: Column, limit: int | None) -> tuple[Column, Column]:
-    """Rows returned of those matched, and whether the limit was reached."""
-    return (matched, F.lit(False)) if limit is None else (F.least(matched, F.lit(limit)), matched >= limit)
+def limited(matched: Column, limit: int | Column | None) -> tuple[Column, Column]:
+    """Rows returned of those matched, and whether the limit was reached; a null limit is none."""
+    if limit is None:
+        return matched, F.lit(False)
+    most = F.lit(limit).cast("bigint")
+    return F.least(matched, most), F.coalesce(matched >= most, F.lit(False))

@@ -85,15 +85,16 @@ def instant_counts(logs: DataFrame, keys: Sequence[str], at: Moment, range_: Spa
 
 
 def dense_grid(
-    points: DataFrame, keys: Sequence[str], step: Span, start: Moment, end: Moment, *, series: DataFrame | None = None
+    points: DataFrame, keys: Sequence[str], step: Span | Column, start: Moment | Column, end: Moment | Column, *, series: DataFrame | None = None
 ) -> DataFrame:
     """Zero-fill every multiple of ``step`` with start < t <= end, adding ``idx`` and ``n_points``.
 
     Gaps are filled between neighbouring points, so no series list is built and
     joined. ``series`` adds known series that may have no points at all. A series
-    holds at most (end - start) / step rows here, whatever its volume was.
+    holds at most (end - start) / step rows here, whatever its volume was. Step (in
+    microseconds) and bounds may be columns over ``keys``, so that series have grids of their own.
     """
-    step_us = span_micros(step)
+    step_us = step if isinstance(step, Column) else span_micros(step)
     lo = ceil_to(to_micros(ntz(start)) + 1, step_us)
     hi = floor_div(to_micros(ntz(end)), step_us) * step_us
     at = points.select(*keys, to_micros(F.col("ts")).alias("__at"), "value")

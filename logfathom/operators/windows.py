@@ -141,7 +141,7 @@ def rows_in_windows(
     return whole.drop(*drop).unionByName(ends.drop(*drop))
 
 
-def _pruned(logs: DataFrame, spans: DataFrame, start: Column, end: Column) -> DataFrame:
+def pruned(logs: DataFrame, spans: DataFrame, start: Column, end: Column) -> DataFrame:
     """Rows in the time that the spans cover together, by one scalar subquery; a ``day`` column is bounded too, which prunes
     partitions."""
     both = spans.agg(F.struct(F.min(start).alias("lo"), F.max(end).alias("hi"))).scalar()
@@ -202,7 +202,7 @@ def count_in_windows(logs: DataFrame, windows: DataFrame, on: Sequence[str] = ()
     sound = windows.where(F.col("start_ts") < F.col("end_ts"))
     sides = F.array(F.struct(F.col("start_ts").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_ts").alias("at"), F.lit(1).alias("sign")))
     marks = sound.withColumn("__side", F.explode(sides)).select(*windows.columns, F.col("__side.at").alias("__mark"), F.col("__side.sign").alias("__sign"))
-    near = _pruned(logs, windows, F.col("start_ts"), F.col("end_ts"))
+    near = pruned(logs, windows, F.col("start_ts"), F.col("end_ts"))
     found = as_of(near, marks, on, "__mark", bucket=bucket)
     summed = found.groupBy(*windows.columns).agg(F.sum(F.col("__sign") * F.col("rows_before")).alias("rows"), (F.count("*") / 2).cast("int").alias("__times"))
     each = summed.withColumn("rows", F.call_function("div", F.col("rows"), F.col("__times")))
@@ -219,7 +219,7 @@ def last_match(logs: DataFrame, requests: DataFrame, on: Sequence[str], *, back_
     """
     start = "start_ts" if "start_ts" in requests.columns else "end_ts"
     oldest = F.least(F.col(start), _shift(F.col("end_ts"), -back_hours))
-    near = _pruned(logs, requests, oldest, F.col("end_ts"))
+    near = pruned(logs, requests, oldest, F.col("end_ts"))
     found = as_of(near, requests, on, "end_ts", bucket=bucket)
     return found.select(*requests.columns, F.when(F.col("last_before") >= oldest, F.col("last_before")).alias("last_ts"))
 

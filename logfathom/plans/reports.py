@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions.redaction import redact_columns, redact_values
-from logfathom.functions.text import column_key
+from logfathom.functions.text import column_key, series_key
 from logfathom.operators.labels import DEFAULT_VALUES, TOP_VALUES, label_distribution, ranked_values
 from logfathom.operators.patterns import MIN_ROWS, TOP_PATTERNS, top_patterns
 from logfathom.operators.ranking import MAX_LISTED, MAX_RESCUED, MAX_SERIES, MAX_WITH_POINTS, omitted_columns, rank_series
@@ -71,23 +71,17 @@ def _kind(
     return df.select(*scope, F.lit(kind).alias("kind"), place.alias("place"), *[c.alias(n) for n, c in columns.items()])
 
 
-def logs_report(
+def logs_parts(
     logs: DataFrame,
     scope: Sequence[str] = (),
     *,
-    query: str = "",
-    time_range: str = "",
-    limit: int | None = DEFAULT_LIMIT,
-    direction: str | None = None,
+    direction: str | Column | None = None,
     patterns_shown: int = TOP_PATTERNS,
-    min_rows: int = MIN_ROWS,
     values_shown: int = TOP_VALUES,
     rows_shown: int = SAMPLE_ROWS,
     redact: bool = True,
-    budget: int | None = None,
 ) -> DataFrame:
-    """Counts, top patterns, label distribution and sample rows of each scope, redacted, and cut only to a given budget."""
-    n = check_limit(limit)
+    """What a logs report is made of, one row per scope that has rows: matched, total_patterns, patterns, values, logs."""
     patterns = top_patterns(logs, scope, k=patterns_shown, direction=direction, min_rows=0)
     values = label_distribution(logs, scope, top=values_shown)
     rows = sample_logs(logs, scope, direction=direction, n=rows_shown)
@@ -104,35 +98,71 @@ def logs_report(
             _kind(rows, scope, "row", F.col("rank"), r=F.struct(moment.alias("timestamp"), "line", "labels")),
         ]
     )
-    one = stacked.groupBy(*scope).agg(
+    return stacked.groupBy(*scope).agg(
         F.coalesce(F.max("rows"), F.lit(0)).alias("matched"),
         F.coalesce(F.max("groups"), F.lit(0)).alias("total_patterns"),
         _gather("pattern", F.col("p")).alias("patterns"),
         _gather("value", F.col("v")).alias("values"),
         _gather("row", F.col("r")).alias("logs"),
     )
+
+
+def logs_json(
+    one: DataFrame,
+    scope: Sequence[str],
+    *,
+    limit: int | Column | None,
+    direction: Column,
+    codes: Column,
+    min_rows: int = MIN_ROWS,
+    budget: int | None = None,
+) -> DataFrame:
+    """The reports of ``logs_parts`` rows that also carry what was asked (``__query``, ``__range``)."""
     enough = F.col("matched") >= min_rows
-    one = _asked(one, query, time_range, redact)
-    returned, truncated = limited(F.col("matched"), n)
+    returned, truncated = limited(F.col("matched"), limit)
     one = one.withColumn("patterns", F.when(enough, F.col("patterns"))).withColumn("unique_labels", _distribution(F.col("values")))
     more = F.when(enough & (F.col("total_patterns") > F.size("patterns")), F.col("total_patterns"))
     head = [
         returned.alias("total_logs"),
         F.col("matched"),
         truncated.alias("truncated"),
-        F.lit("backward" if newest_first(direction) else "forward").alias("direction"),
+        direction.alias("direction"),
         F.col("__query").alias("query_executed"),
         F.col("__range").alias("time_range"),
     ]
     body = [F.col("patterns").alias("top_patterns"), more.alias("total_patterns")]
-    none = F.when(F.col("matched") == 0, F.array(F.lit("no_rows")))
+    none = F.when(F.size(codes) > 0, codes)
     full = F.struct(*head, none.alias("warnings"), *body, F.col("unique_labels"), F.col("logs"))
-    cut = F.struct(*head, F.array(F.lit("size_budget_rows_dropped")).alias("warnings"), *body)
+    cut = F.struct(*head, F.concat(codes, F.array(F.lit("size_budget_rows_dropped"))).alias("warnings"), *body)
     out = bounded_json(one, full, cut, name="logs_report", budget=budget)
     return out.select(*scope, "matched", more.alias("total_patterns"), "size_bytes", "form", "report")
 
 
-def _asked(df: DataFrame, query: str, time_range: str, redact: bool) -> DataFrame:
+def logs_report(
+    logs: DataFrame,
+    scope: Sequence[str] = (),
+    *,
+    query: str = "",
+    time_range: str = "",
+    limit: int | None = DEFAULT_LIMIT,
+    direction: str | None = None,
+    patterns_shown: int = TOP_PATTERNS,
+    min_rows: int = MIN_ROWS,
+    values_shown: int = TOP_VALUES,
+    rows_shown: int = SAMPLE_ROWS,
+    redact: bool = True,
+    budget: int | None = None,
+) -> DataFrame:
+    """Counts, top patterns, label distribution and sample rows of each scope, redacted, and cut only to a given budget."""
+    n = check_limit(limit)
+    shown = {"patterns_shown": patterns_shown, "values_shown": values_shown, "rows_shown": rows_shown}
+    one = _asked(logs_parts(logs, scope, direction=direction, redact=redact, **shown), query, time_range, redact)
+    codes = F.array_compact(F.array(F.when(F.col("matched") == 0, "no_rows")))
+    way = F.lit("backward" if newest_first(direction) else "forward")
+    return logs_json(one, scope, limit=n, direction=way, codes=codes, min_rows=min_rows, budget=budget)
+
+
+def _asked(df: DataFrame, query: str | Column, time_range: str | Column, redact: bool) -> DataFrame:
     """Add what was asked; a filter may name the very person whose data the report hides."""
     asked = df.withColumn("__query", F.lit(query)).withColumn("__range", F.lit(time_range))
     return redact_columns(asked, ["__query", "__range"]) if redact else asked
@@ -160,28 +190,27 @@ def _distribution(values: Column) -> Column:
     return F.when(F.size(names) > 0, F.map_from_entries(entries))
 
 
-def stats_report(
+def stats_parts(
     points: DataFrame,
     keys: Sequence[str],
     scope: Sequence[str] = (),
     *,
-    step: str,
-    query: str = "",
-    time_range: str = "",
+    step: str | Column,
+    labels: Column | None = None,
     cap: int = MAX_SERIES,
     rescue: int = MAX_RESCUED,
     listed: int = MAX_LISTED,
     with_points: int = MAX_WITH_POINTS,
     points_shown: int = MAX_POINTS,
     redact: bool = True,
-    budget: int | None = None,
 ) -> DataFrame:
-    """Trend summaries of the reported series, points of the first few, and counts of what was left out.
+    """What a statistics report is made of, one row per scope: counts of what is left out and the reported series.
 
-    ``points`` is a dense grid (``idx`` and ``n_points``); ``keys`` tell series apart inside a scope.
+    ``labels`` is the label map of a series over ``keys``; without it the keys themselves are the labels.
     """
     all_keys = [*scope, *keys]
-    summaries = trend_summary(points, all_keys, step=step, evidence=points_shown).withColumn("series", column_key(list(keys)))
+    display = column_key(list(keys)) if labels is None else series_key(labels)
+    summaries = trend_summary(points, all_keys, step=step, evidence=points_shown).withColumn("series", display)
     ranked = rank_series(summaries, scope, keys, cap=cap, rescue=rescue, listed=listed)
     if redact:
         ranked = redact_columns(ranked, "series")
@@ -189,8 +218,9 @@ def stats_report(
     fields = ["total", "avg", "avg_per_minute", "latest", "peak", "peak_time", "trend", "non_zero_pct", "anomaly"]
     form = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     summary = F.struct(*[F.date_format(f, form).alias(f) if f == "peak_time" else F.col(f) for f in fields])
-    pairs = [x for k in keys for x in (F.lit(k), F.col(k).cast("string"))]
-    labels = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
+    if labels is None:
+        pairs = [x for k in keys for x in (F.lit(k), F.col(k).cast("string"))]
+        labels = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
     ranked = ranked.withColumn("__labels", labels)
     if redact:
         ranked = ranked.withColumn("__labels", F.when(F.col("kept"), redact_values("__labels")))
@@ -204,9 +234,11 @@ def stats_report(
         F.struct(F.col("__labels").alias("labels"), values.alias("values")).alias("series"),
     )
     kept = F.array_sort(F.collect_list(F.when(F.col("kept"), entry)), _by_place)
-    one = ranked.groupBy(*scope).agg(*omitted_columns("series", listed=listed), kept.alias("__kept"))
-    one = _asked(one, query, time_range, redact)
+    return ranked.groupBy(*scope).agg(*omitted_columns("series", listed=listed), kept.alias("__kept"))
 
+
+def stats_json(one: DataFrame, scope: Sequence[str], *, step: Column, codes: Column, budget: int | None = None) -> DataFrame:
+    """The reports of ``stats_parts`` rows that also carry what was asked (``__query``, ``__range``); codes come first."""
     some_left, some_odd = F.col("omitted_series") > 0, F.col("omitted_anomalous") > 0
     head = [
         F.col("total_series"),
@@ -214,24 +246,46 @@ def stats_report(
         F.when(some_left, F.col("omitted_keys")).alias("omitted_series_keys"),
         F.when(some_odd, F.col("omitted_anomalous")).alias("omitted_anomaly_series"),
         F.when(some_odd, F.col("omitted_anomalous_keys")).alias("omitted_anomaly_series_keys"),
-        F.lit(step).alias("step"),
+        step.alias("step"),
         F.col("__query").alias("query_executed"),
         F.col("__range").alias("time_range"),
     ]
-    codes = [
-        F.when(F.col("total_series") == 0, "no_rows"),
-        F.when(some_left, "series_capped"),
-        F.when(some_odd, "anomalous_series_omitted"),
-    ]
-    noted = F.array_compact(F.array(*codes)).alias("warnings")
-    cut_noted = F.array_compact(F.array(*codes, F.lit("size_budget_points_dropped"))).alias("warnings")
+    own = F.array(F.when(some_left, "series_capped"), F.when(some_odd, "anomalous_series_omitted"))
+    noted = F.concat(codes, F.array_compact(own))
+    cut_noted = F.concat(noted, F.array(F.lit("size_budget_points_dropped"))).alias("warnings")
     by_key = F.map_from_entries(_last_by_key(F.transform("__kept", lambda e: e["summary"]))).alias("summaries")
     series = F.transform("__kept", lambda e: e["series"]).alias("series")
-    full, cut = F.struct(*head, noted, by_key, series), F.struct(*head, cut_noted, by_key)
+    full, cut = F.struct(*head, noted.alias("warnings"), by_key, series), F.struct(*head, cut_noted, by_key)
     out = bounded_json(one, full, cut, name="stats_report", budget=budget)
     return out.select(*scope, "total_series", "omitted_series", "omitted_anomalous", "size_bytes", "form", "report")
 
 
+def stats_report(
+    points: DataFrame,
+    keys: Sequence[str],
+    scope: Sequence[str] = (),
+    *,
+    step: str,
+    query: str = "",
+    time_range: str = "",
+    cap: int = MAX_SERIES,
+    rescue: int = MAX_RESCUED,
+    listed: int = MAX_LISTED,
+    with_points: int = MAX_WITH_POINTS,
+    points_shown: int = MAX_POINTS,
+    redact: bool = True,
+    budget: int | None = None,
+) -> DataFrame:
+    """Trend summaries of the reported series, points of the first few, and counts of what was left out.
+
+    ``points`` is a dense grid (``idx`` and ``n_points``); ``keys`` tell series apart inside a scope.
+    """
+    caps = {"cap": cap, "rescue": rescue, "listed": listed, "with_points": with_points, "points_shown": points_shown}
+    one = _asked(stats_parts(points, keys, scope, step=step, redact=redact, **caps), query, time_range, redact)
+    codes = F.array_compact(F.array(F.when(F.col("total_series") == 0, "no_rows")))
+    return stats_json(one, scope, step=F.lit(step), codes=codes, budget=budget)
+
+
 def _last_by_key(entries: Column) -> Column:
     """Equal display keys (redaction can make them equal) keep the last entry."""
     keys = F.transform(entries, lambda e: e["key"])

@@ -1,8 +1,11 @@
-"""Session settings the operators rely on."""
+"""Session settings the operators rely on, and tables written between steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Timestamps are TIMESTAMP_NTZ read as UTC; JSON objects keep the last of two equal keys.
 REQUIRED_CONF = {
@@ -17,3 +20,20 @@ def prepare(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. Only a local session may do without ``spark.checkpoint.dir``."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it back, so that what uses it several times computes it once."""
+    path = f"{shared_dir(df.sparkSession)}/logfathom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
