@@ -17,15 +17,16 @@ there are none. All other columns stay, but for ones named as the output.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from hashlib import sha256
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from logfathom.llm.common import mix64
 
@@ -33,7 +34,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256  # bytes of a match from which on it is merged by itself
 CELLS = 1 << 20  # of one matrix
 CACHED = 1 << 17  # matches whose tokens a task remembers, of 64 bytes at most each
-MATCHES = 1 << 16  # of one text that are looked at together
+MATCHES = 1 << 15  # that are looked at together
+ROWS = 256  # of a batch that are worked on together
 NONE = np.int32(np.iinfo(np.int32).max)
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -191,7 +193,7 @@ class Encoder:
         return [b"".join([known[m] if m in known else new[m] for m in found]) for found in groups]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Token ids of each text; short texts share matrices, a long one is read in runs of ``MATCHES``."""
+        """Token ids of each text; short texts share matrices, a long one is read in runs of ``MATCHES`` matches."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
         waiting, size = [], 0
 
@@ -209,7 +211,7 @@ class Encoder:
             elif text:
                 waiting.append((i, self.pattern.findall(text)))
                 size += len(waiting[-1][1])
-                if size > 4 * MATCHES:
+                if size > MATCHES:
                     flush()
                     waiting, size = [], 0
         if waiting:
@@ -217,41 +219,78 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the token ids (array<int>) of each whole text. The vocabulary is read by the driver and broadcast: its size is
-    the rank file's, never the data's."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a worker holds little beside the batch it was given."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _carried(df: DataFrame, keep: Sequence[str] | None, *made: T.StructField) -> tuple[list[str], T.StructType]:
+    names = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in made}]
+    return names, T.StructType([*(df.schema[c] for c in names), *made])
+
+
+def _lists(part: pa.RecordBatch, ids: str) -> Iterator[np.ndarray]:
+    """The token ids of each row; a null row has none."""
+    for row in part.column(ids):
+        yield row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.empty(0, np.int32)
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", out: str = "ids", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Adds the token ids (array<int>) of each whole text to the kept columns, all by default. The vocabulary is read by the
+    driver and broadcast: its size is the rank file's, never the data's."""
     ranks = load_ranks(path or public_tokenizers.path(VOCABULARY))
     shared = docs.sparkSession.sparkContext.broadcast((ranks, PairTable(ranks), pattern or public_tokenizers.PATTERN))
+    names, schema = _carried(docs, keep, T.StructField(out, T.ArrayType(T.IntegerType())))
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
-        for batch in batches:
-            yield pd.Series(encoder.encode(list(batch)), dtype=object)
+        for part in _parts(batches):
+            got = encoder.encode(part.column(text).to_pylist())
+            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], names=[*names, out])
 
-    return docs.withColumn(out, run(text))
+    return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes (binary) that the token ids stand for; null ids give none."""
+def _token_bytes(spark, path: str | None):
     ranks = load_ranks(path or public_tokenizers.path(VOCABULARY))
-    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    return spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = shared.value
-        for batch in batches:
-            yield pd.Series([None if own is None else b"".join([of[i] for i in own.tolist()]) for own in batch], dtype=object)
 
-    return encoded.withColumn(out, run(ids))
+def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded", keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds the bytes (binary) that the token ids stand for to the kept columns; null ids give no bytes."""
+    shared = _token_bytes(encoded.sparkSession, path)
+    names, schema = _carried(encoded, keep, T.StructField(out, T.BinaryType()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for part in _parts(batches):
+            raw = pa.array([b"".join([of[i] for i in own.tolist()]) for own in _lists(part, ids)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), raw], names=[*names, out])
 
-def packed(ids: Column) -> Column:
-    """Token ids as little-endian unsigned 32-bit integers."""
+    return encoded.mapInArrow(run, schema)
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if own is None else own.astype("<u4").tobytes() for own in batch], dtype=object)
 
-    return run(ids)
+def read_back(encoded: DataFrame, path: str | None = None, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """What the encoded rows hold: number of tokens, digest of the ids as little-endian unsigned 32-bit integers, and of the
+    bytes that they decode to."""
+    shared = _token_bytes(encoded.sparkSession, path)
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    names, schema = _carried(encoded, keep, *made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for part in _parts(batches):
+            rows = [
+                (len(own), sha256(own.astype("<u4").tobytes()).hexdigest(), sha256(b"".join([of[i] for i in own.tolist()])).hexdigest())
+                for own in _lists(part, ids)
+            ]
+            found = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *found], names=schema.names)
+
+    return encoded.mapInArrow(run, schema)

@@ -85,9 +85,8 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    ids_sha256, decoded_sha256 = F.sha2(byte_bpe.packed(F.col("ids")), 256), F.sha2("decoded", 256)
-    return read.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256.alias("ids_sha256"), decoded_sha256.alias("decoded_sha256"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+    return byte_bpe.read_back(encoded)
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

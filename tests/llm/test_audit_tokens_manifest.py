@@ -150,12 +150,19 @@ def test_encode_and_decode_whole_table(spark, reference):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*ODD, None, "twice", "twice", "long words " * 100000])], "doc_id long, text string")
     rows = docs.unionByName(odd).selectExpr("*", "'x' AS ids", "1 AS tokens")
-    read = byte_bpe.decode(byte_bpe.encode(rows))
-    assert read.columns == ["doc_id", "text", "ids", "tokens", "decoded"]
-    for r in read.select("text", "ids", "decoded", byte_bpe.packed(F.col("ids")).alias("packed")).collect():
+    encoded = byte_bpe.encode(rows)
+    read = byte_bpe.decode(encoded)
+    assert read.columns == ["doc_id", "text", "tokens", "ids", "decoded"]
+    for r in read.collect():
         assert r.ids == reference.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")
-        assert bytes(r.packed) == np.array(r.ids, "<u4").tobytes()
-    assert byte_bpe.decode(byte_bpe.encode(rows.limit(0))).count() == 0
+    want = []
+    for r in rows.collect():
+        ids = reference.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, byte_bpe.read_back(encoded).collect())) == sorted(want)
+    assert byte_bpe.decode(byte_bpe.encode(rows.limit(0))).count() == 0 and byte_bpe.read_back(byte_bpe.encode(rows.limit(0), keep=("doc_id",))).count() == 0
+    unknown = byte_bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>"))
+    assert [bytes(r.decoded) for r in unknown.collect()] == [b"", b""]
 
 
 # Merkle manifest
