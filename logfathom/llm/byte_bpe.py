@@ -57,7 +57,7 @@ class PairTable:
             if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None
         ]
         pairs, merged = np.array([p for p, _ in found], np.uint64), np.array([r for _, r in found], np.int32)
-        size = 1 << (4 * len(found) + 1).bit_length()
+        size = 1 << (2 * len(found) + 1).bit_length()
         self.mask = np.uint64(size - 1)
         self.pairs, self.merged = np.full(size, _FREE, np.uint64), np.full(size, NONE, np.int32)
         slot = mix64(pairs) & self.mask
@@ -86,31 +86,35 @@ class PairTable:
         return out
 
 
-def merge_rows(tokens: np.ndarray, lengths: np.ndarray, table: PairTable) -> list[np.ndarray]:
-    """Merged tokens of every row of a padded matrix (padding is -1)."""
-    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(tokens)
+def merge_rows(tokens: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """Merged tokens of the rows of a padded matrix (padding is -1), one row's after another, and their numbers."""
+    done, left = np.full(tokens.shape, -1, np.int32), np.array(lengths)
     rows = np.arange(len(tokens))
     ranks = table.rank(tokens[:, :-1], tokens[:, 1:])
-    while len(rows):
-        at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+    while ranks.shape[1]:
         each = np.arange(len(rows))
-        best = ranks[each, at] if ranks.shape[1] else np.full(len(rows), NONE)
+        at = ranks.argmin(axis=1)
+        best = ranks[each, at]
         live = best < NONE
-        for i in np.flatnonzero(~live):
-            out[rows[i]] = tokens[i, : lengths[i]].copy()
-        rows, tokens, ranks, lengths, at, best = rows[live], tokens[live], ranks[live], lengths[live] - 1, at[live], best[live]
+        if not live.all():
+            done[rows[~live], : tokens.shape[1]] = tokens[~live]
+            rows, tokens, ranks, at, best = rows[live], tokens[live], ranks[live], at[live], best[live]
+            each = np.arange(len(rows))
         if not len(rows):
             break
-        each, width = np.arange(len(rows)), tokens.shape[1]
+        left[rows] -= 1
+        width = tokens.shape[1] - 1
         tokens[each, at] = best
-        cols = np.arange(width - 1)[None, :]
-        tokens = np.take_along_axis(tokens, cols + (cols > at[:, None]), axis=1)
-        cols = np.arange(width - 2)[None, :]
-        ranks = np.take_along_axis(ranks, cols + (cols >= at[:, None]), axis=1)
-        before, after = at > 0, at < width - 2
+        stay = np.ones(tokens.shape, bool)
+        stay[each, at + 1] = False
+        tokens = tokens[stay].reshape(len(rows), width)
+        stay = stay[:, 1:]  # the merged pair's own rank goes
+        ranks = ranks[stay].reshape(len(rows), width - 1)
+        before, after = at > 0, at < width - 1
         ranks[each[before], at[before] - 1] = table.rank(tokens[each[before], at[before] - 1], best[before])
         ranks[each[after], at[after]] = table.rank(best[after], tokens[each[after], at[after] + 1])
-    return out
+    done[rows, : tokens.shape[1]] = tokens
+    return done[done >= 0], left
 
 
 def merge_long(tokens: np.ndarray, table: PairTable) -> np.ndarray:
@@ -146,43 +150,41 @@ class Encoder:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
 
-    def _merge(self, matches: list[bytes]) -> list[np.ndarray]:
-        """Tokens of matches that are no tokens themselves, bucketed by length."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(matches)
+    def _merge(self, matches: list[bytes]) -> list[bytes]:
+        """Packed tokens of matches that are no tokens themselves, bucketed by length."""
+        out = [b""] * len(matches)
+        if not matches:
+            return out
         sizes = np.array([len(m) for m in matches])
         order = np.argsort(sizes, kind="stable")
-        ends = np.r_[0, np.flatnonzero(np.diff(np.ceil(2 * np.log2(sizes[order])))) + 1, len(order)] if len(order) else []
+        ends = np.r_[0, np.flatnonzero(np.diff(np.ceil(2 * np.log2(sizes[order])))) + 1, len(order)]
         for low, high in zip(ends[:-1], ends[1:], strict=True):
             width = int(sizes[order[high - 1]])
             rows = max(1, CELLS // width) if width <= LONG else 1
             for begin in range(low, high, rows):
                 own = order[begin : min(begin + rows, high)]
                 if width > LONG:
-                    out[own[0]] = merge_long(self.of_byte[np.frombuffer(matches[own[0]], np.uint8)], self.table)
+                    out[own[0]] = merge_long(self.of_byte[np.frombuffer(matches[own[0]], np.uint8)], self.table).astype("<u4").tobytes()
                     continue
                 joined = self.of_byte[np.frombuffer(b"".join([matches[i] for i in own]), np.uint8)]
                 tokens = np.full((len(own), width), -1, np.int32)
                 tokens[np.arange(width)[None, :] < sizes[own][:, None]] = joined
-                for i, got in zip(own, merge_rows(tokens, sizes[own], self.table), strict=True):
-                    out[i] = got
+                flat, numbers = merge_rows(tokens, sizes[own], self.table)
+                packed, cuts = flat.astype("<u4").tobytes(), np.cumsum([0, *(4 * numbers)]).tolist()
+                for i, begun, ended in zip(own.tolist(), cuts[:-1], cuts[1:], strict=True):
+                    out[i] = packed[begun:ended]
         return out
 
     def _learn(self, matches: set[str]) -> dict[str, bytes]:
-        """Packed tokens of the matches, remembered if short."""
+        """Packed tokens of the matches that are new, remembered if short."""
         if len(self.known) > CACHED:
             self.known.clear()
-        new, hard = {}, []
-        for match in matches:
-            if match in self.known:
-                continue
-            raw = match.encode("utf-8", "surrogatepass")
-            if (rank := self.ranks.get(raw)) is not None:
-                new[match] = rank.to_bytes(4, "little")
-            else:
-                hard.append((match, raw))
-        for (match, _), got in zip(hard, self._merge([raw for _, raw in hard]), strict=True):
-            new[match] = got.astype("<u4").tobytes()
-        self.known.update((m, t) for m, t in new.items() if len(m) <= 64)
+        unseen = list(matches.difference(self.known))
+        raws = [match.encode("utf-8", "surrogatepass") for match in unseen]
+        whole = [self.ranks.get(raw) for raw in raws]
+        merged = iter(self._merge([raw for raw, rank in zip(raws, whole, strict=True) if rank is None]))
+        new = {match: next(merged) if rank is None else rank.to_bytes(4, "little") for match, rank in zip(unseen, whole, strict=True)}
+        self.known.update(new if max(map(len, unseen), default=0) <= 64 else {m: t for m, t in new.items() if len(m) <= 64})
         return new
 
     def _pack(self, groups: list[list[str]]) -> list[bytes]:
@@ -190,7 +192,7 @@ class Encoder:
         known = self.known
         if all(len(m) <= 64 for m in new):
             return [b"".join([known[m] for m in found]) for found in groups]
-        return [b"".join([known[m] if m in known else new[m] for m in found]) for found in groups]
+        return [b"".join([known.get(m) or new[m] for m in found]) for found in groups]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text; short texts share matrices, a long one is read in runs of ``MATCHES`` matches."""

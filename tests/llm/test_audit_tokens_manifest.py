@@ -135,7 +135,8 @@ def test_long_rows_merge_as_short_ones(encoder):
         for letters in (b"ab", b"the and", b"aaaaaaab", bytes(range(256))):
             raw = rng.choice(np.frombuffer(letters, np.uint8), size)
             tokens = encoder.of_byte[raw]
-            short = byte_bpe.merge_rows(tokens[None, :].copy(), np.array([size]), encoder.table)[0]
+            short, number = byte_bpe.merge_rows(tokens[None, :].copy(), np.array([size]), encoder.table)
+            assert number.tolist() == [len(short)]
             assert byte_bpe.merge_long(tokens.copy(), encoder.table).tolist() == short.tolist()
 
 
