@@ -451,6 +451,14 @@ SELECT event_id // 100 AS chunk, CAST(event_id AS VARCHAR) AS id, date_trunc('se
 ORACLES["payload_emptiness"] = """
 SELECT DISTINCT event_id // 100 AS chunk, (event_id // 100) % 3 = 0 OR (event_id // 100) % 7 = 0 AS is_empty FROM events"""
 
+ORACLES["payload_rejects"] = """
+WITH e AS (SELECT event_id, event_id // 100 AS chunk, (event_id // 100) % 10 AS bad FROM events),
+k AS (SELECT DISTINCT chunk, bad FROM e)
+SELECT chunk, CASE event_id % 50 WHEN 0 THEN 'short_tuple' WHEN 1 THEN 'bad_time' ELSE 'good' END AS outcome, count(*) AS n
+FROM e WHERE bad NOT BETWEEN 3 AND 7 GROUP BY 1, 2
+UNION ALL SELECT chunk, CASE bad WHEN 3 THEN 'null_payload' WHEN 4 THEN 'not_json' WHEN 5 THEN 'other_kind' ELSE 'no_result' END, 1 FROM k WHERE bad BETWEEN 3 AND 6
+UNION ALL SELECT chunk, 'bad_values', 2 FROM k WHERE bad = 7 UNION ALL SELECT chunk, 'bad_labels', 1 FROM k WHERE bad = 7"""
+
 # --- reports ---------------------------------------------------------------
 
 ORACLES["logs_report"] = f"""

@@ -539,6 +539,23 @@ def payload_emptiness(spark, sf_dir):
     return packed.select("chunk", payloads.payload_empty(text).alias("is_empty"))
 
 
+@query
+def payload_rejects(spark, sf_dir):
+    """Every record of stream payloads accounted for; some are null, broken, of another kind or wrongly shaped."""
+    packed = _stream_payloads(spark, sf_dir)
+    bad = F.pmod("chunk", F.lit(10))
+    text = (
+        F.when(bad == 3, F.lit(None).cast("string"))
+        .when(bad == 4, F.concat(F.lit("{"), F.col("payload")))
+        .when(bad == 5, F.regexp_replace("payload", '"streams"', '"matrix"'))
+        .when(bad == 6, F.lit('{"data":{"resultType":"streams","result":"oops"}}'))
+        .when(bad == 7, F.lit('{"data":{"resultType":"streams","result":[{"stream":{"a":"b"},"values":5},7,{"stream":[1],"values":[]}]}}'))
+        .otherwise(F.col("payload"))
+    )
+    found = payloads.records(packed.select("chunk", text.alias("payload")), payloads.STREAMS, keep=["chunk"])
+    return found.groupBy("chunk", F.coalesce("reason", F.lit("good")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 # --- reports ---------------------------------------------------------------
 
 

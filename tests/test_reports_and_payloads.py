@@ -130,3 +130,24 @@ def test_emptiness(spark):
     ]
     got = frame(spark, *[c[0] for c in cases]).select("i", payloads.payload_empty(F.col("payload")).alias("e")).orderBy("i").collect()
     assert [r["e"] for r in got] == [c[1] for c in cases]
+
+
+def test_every_record_is_a_row_or_a_reject(spark):
+    good = {"stream": {"a": "1"}, "values": [["1", "x"], ["2", None]]}
+    cases = [
+        (payload("streams", [good]), {"good": 2}), (None, {"null_payload": 1}), ("{", {"not_json": 1}), ("", {"not_json": 1}), ("5", {"other_kind": 1}),
+        (payload("vector", []), {"other_kind": 1}), (payload("streams", {}), {"no_result": 1}), (payload("streams", []), {}),
+        (payload("streams", [7, good, {"stream": 3, "values": [["1", "x"]]}]), {"bad_values": 1, "good": 2, "bad_labels": 1}),
+        (payload("streams", [{"values": [["1", "x"]]}, {"stream": None, "values": [["1", "x"]]}]), {"good": 2}),
+        (payload("streams", [{"stream": {}, "values": [["1"], [], 5, ["x", "y"], ["1.5", "y"], [None, "y"], ["99999999999999999999", "y"]]}]), {"short_tuple": 2, "bad_tuple": 1, "bad_time": 4}),
+    ]
+    found = payloads.records(frame(spark, *[c[0] for c in cases]), payloads.STREAMS, keep=["i"])
+    got = {}
+    for r in found.collect():
+        counts = got.setdefault(r["i"], {})
+        counts[r["reason"] or "good"] = counts.get(r["reason"] or "good", 0) + 1
+    assert [got.get(i, {}) for i in range(len(cases))] == [c[1] for c in cases]
+    assert payloads.rejects(found).count() + payloads.stream_rows(frame(spark, *[c[0] for c in cases])).count() == found.count()
+    points = frame(spark, payload("matrix", [{"metric": {"s": "x"}, "values": [[1, "2"], ["soon", "3"]]}]), payload("vector", [{"metric": {}, "value": [1, "2"]}, {"metric": {}}]))
+    assert [r["reason"] for r in payloads.records(points, payloads.MATRIX, keep=["i"]).orderBy("i", "pos").collect()] == [None, "bad_time", "other_kind"]
+    assert sorted(str(r["reason"]) for r in payloads.records(points.where("i = 1"), payloads.VECTOR).collect()) == ["None", "bad_tuple"]
