@@ -14,7 +14,8 @@ dropped, the others are confirmed on the full sets.
 What is still large at ``DEPTH`` is a crowd of similar sets. Members that share too few of their shingles with any other
 can't link and leave. The rest is compared with the node's most central members, and what then lies outside the
 node's largest component with everything that it isn't connected to. Only links inside one component are skipped, so
-components are complete and no crowd is expanded into all pairs.
+components are complete and no crowd is expanded into all pairs: the last comparison is dealt in blocks of bounded size,
+to which each set travels once, and counts the intersections of two blocks' sets as products of 0/1 matrices.
 
 Defined results: words are split at ASCII white space, A-Z in lower case. A text with fewer words than ``WIDTH`` has its
 whole sequence as the one shingle; null and wordless texts have none and link with nothing. Rows that share a doc_id
@@ -43,6 +44,7 @@ TREES = 6
 LEAF = 16
 DEPTH = 4
 HUBS = 4  # central members of each node that all its members are compared with
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20  # of one side of a block comparison, about
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,6 +190,76 @@ def _central(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return crowd.join(seen, "rep").where(F.col("shared") * 100 >= percent * F.col("n"))
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, exactly."""
+    both = np.zeros((len(left), len(right)), np.float32)  # counts below 2^24 are exact
+    a, b = np.concatenate(left), np.concatenate(right)
+    rows_a, rows_b = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right))
+    shared = np.intersect1d(a, b)
+    if not len(shared):
+        return both
+    where = []
+    for values, rows in ((a, rows_a), (b, rows_b)):
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        own = shared[at] == values
+        order = np.argsort(at[own], kind="stable")
+        where.append((at[own][order], rows[own][order]))
+    (col_a, rows_a), (col_b, rows_b) = where
+    many_a, many_b = np.bincount(col_a, minlength=len(shared)), np.bincount(col_b, minlength=len(shared))
+    rare = many_a * many_b <= 64
+    # rare shingles pair by pair, common ones as columns of matrices
+    begin_b = np.cumsum(many_b) - many_b
+    own = rare[col_a]
+    times = many_b[col_a[own]]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    cells = np.repeat(rows_a[own], times) * len(right) + rows_b[np.repeat(begin_b[col_a[own]], times) + step]
+    both += np.bincount(cells, minlength=both.size).reshape(both.shape)
+    common = np.flatnonzero(~rare)
+    place = np.full(len(shared), -1)
+    place[common] = np.arange(len(common))
+    for low in range(0, len(common), 2048):
+        width = min(2048, len(common) - low)
+        sides = []
+        for cols, rows, count in ((col_a, rows_a, len(left)), (col_b, rows_b, len(right))):
+            inside = (place[cols] >= low) & (place[cols] < low + width)
+            side = np.zeros((count, width), np.float32)
+            side[rows[inside], place[cols[inside]] - low] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    return both
+
+
+def _crossing(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside nodes between a member outside the main component and one of another component."""
+    outside = F.col("component") != F.col("main")
+    blocks = lambda rows, total: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(total / BLOCK_SHINGLES)).cast("int")
+    count, total = lambda c: F.count(F.when(c, 1)), lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    sizes = split.groupBy("node").agg(
+        blocks(count(outside), total(outside)).alias("out_blocks"), blocks(count(F.lit(True)), total(F.lit(True))).alias("all_blocks")
+    )
+    members = split.join(durable(sizes), "node").join(sets, "rep")
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    first = members.where(outside).select("node", "rep", "component", "shingles", dealt("out_blocks").alias("x"), every("all_blocks").alias("y"), F.lit(True).alias("out"))
+    second = members.select("node", "rep", "component", "shingles", every("out_blocks").alias("x"), dealt("all_blocks").alias("y"), F.lit(False).alias("out"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        out = block["out"].to_numpy(bool)
+        left, right = block[out], block[~out]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        sets_l, sets_r = ([np.frombuffer(s, np.uint64) for s in side["shingles"]] for side in (left, right))
+        both = intersections(sets_l, sets_r)
+        sizes_l, sizes_r = (np.array([len(s) for s in side], np.float64) for side in (sets_l, sets_r))
+        close = 100 * both.astype(np.float64) >= percent * (sizes_l[:, None] + sizes_r[None, :] - both)
+        close &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+        i, j = np.nonzero(close)
+        x, y = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return first.unionByName(second).groupBy("node", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
 def _crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links that connect what is connected inside nodes too large to compare exhaustively."""
     members = durable(_central(crowd, sets, percent))
@@ -203,9 +275,7 @@ def _crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, percent: i
     parts = members.groupBy("node", "component").count().groupBy("node")
     main = parts.agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     split = durable(members.join(durable(main.select("node", F.col("main.component").alias("main"))), "node"))
-    rest = split.where("component != main")
-    pairs = durable(_pairs(split, rest, percent, enough & (F.col("x.component") != F.col("y.component"))))
-    return durable(links.unionByName(confirmed(pairs, sets, percent)).distinct())
+    return durable(links.unionByName(_crossing(split, sets, percent)).distinct())
 
 
 def near_duplicates(

@@ -62,6 +62,25 @@ def test_components_equal_brute_force(spark, leaf, depth):
     assert got == brute_components(rows)
 
 
+def test_intersections_equal_plain_sets():
+    rng = np.random.default_rng(4)
+    for pool, size in ((50, 30), (400, 60), (5000, 40), (9000, 3000)):
+        left, right = ([np.unique(rng.integers(0, pool, rng.integers(1, size)).astype(np.uint64)) for _ in range(k)] for k in (17, 40))
+        want = [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+        assert near_dedup.intersections(left, right).tolist() == want
+    assert near_dedup.intersections([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0.0]]
+
+
+def test_a_crowd_just_under_the_limit_is_compared_whole(spark, monkeypatch):
+    """Members of many small groups inside one crowd of similar texts, in blocks of a few rows."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    base = prose(31, 150)
+    rows = [(100 * g + k, " ".join(edited(edited(base, g, 6), 1000 * g + k, k))) for g in range(12) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, leaf=2, depth=1).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 1
+
+
 def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = " ".join(prose(1, 50))
