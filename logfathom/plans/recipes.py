@@ -16,13 +16,10 @@ from logfathom.operators.series import Moment, Span, count_over_time, dense_grid
 from logfathom.operators.trend import trend_summary
 from logfathom.operators.windows import rows_in_windows
 
-# Lines that hint at a deployment, and lines that hint at slowness.
-DEPLOY_LINES = (
-    "(?i)deploy|deployed|rolling.update|restart|started|version|release|upgrade|image.*:|build|commit|sha"
-    "|migration|migrated|container.*started|task.*RUNNING"
-)
-SLOW_WORDS = ("slow", "timeout")
-SLOW_LINES = "duration.*[0-9]{4,}ms"
+# Ours: lines that hint at a deployment, at slowness, at a failure. All are defaults of arguments.
+DEPLOY_LINES = r"(?i)\b(?:deploy(?:s|ed|ing|ment)?|roll(?:ed|ing)? ?out|rolling[ -]update|(?:re)?started|upgraded?|released?|migrat(?:ed|ion))\b"
+SLOW_LINES = r"(?i)\b(?:slow(?:ly)?|timeout|timed out)\b|\b(?:took|elapsed|duration)\W+[0-9]{4,} ?ms\b"
+FAILURE_LINES = r"(?i)\b(?:errors?|fail(?:s|ed|ure)?|panic(?:ked)?|exception|timeout)\b"
 # Ours: what counts as leaving the baseline, and as an unhealthy service.
 ONSET_FACTOR = 1.5
 ONSET_HISTORY = 3
@@ -35,13 +32,13 @@ def _seconds(start: Moment, end: Moment) -> Column:
 
 
 def error_rate(
-    logs: DataFrame, matchers, keys: Sequence[str], scope: Sequence[str] = (), *, step: Span, start: Moment, end: Moment
+    logs: DataFrame, matchers, keys: Sequence[str], scope: Sequence[str] = (), *, step: Span, start: Moment, end: Moment, **caps: int
 ) -> DataFrame:
-    """Trend of selected rows per key on a dense grid, ranked as in the statistics report."""
+    """Trend of selected rows per key on a dense grid, ranked as in the statistics report; ``caps`` go to ``rank_series``."""
     every = [*scope, *keys]
     points = count_over_time(select_logs(logs, matchers), every, step, start=start, end=end)
     dense = dense_grid(points, every, step, start, end)
-    return rank_series(trend_summary(dense, every, step=str(step)), scope, keys)
+    return rank_series(trend_summary(dense, every, step=str(step)), scope, keys, **caps)
 
 
 def compare_periods(
@@ -148,8 +145,8 @@ def recurrence(logs: DataFrame, scope: Sequence[str] = (), *, gap: Span = "1h")
     )
 
 
-def deploy_lines(logs: DataFrame) -> DataFrame:
-    return logs.where(line_filter(regex=[DEPLOY_LINES]))
+def deploy_lines(logs: DataFrame, pattern: str = DEPLOY_LINES) -> DataFrame:
+    return logs.where(line_filter(regex=[pattern]))
 
 
 def around(moments: DataFrame, rows: DataFrame, *, moment: str = "onset", on: Sequence[str] = (), minutes: int = 30) -> DataFrame:
@@ -162,19 +159,15 @@ def around(moments: DataFrame, rows: DataFrame, *, moment: str = "onset", on: Se
     return near.withColumn("offset_seconds", round_scaled(offset, 2)).drop("start_ts", "end_ts")
 
 
-def timeline(logs: DataFrame, identifiers: Sequence[str], *, failures: bool = False) -> DataFrame:
+def timeline(logs: DataFrame, identifiers: Sequence[str], *, failures: bool = False, failure: str = FAILURE_LINES) -> DataFrame:
     """Rows holding all identifiers, oldest first, across every stream."""
-    regex = ["(?i)error|fail|exception|timeout|500"] if failures else []
+    regex = [failure] if failures else []
     return logs.where(line_filter(contains=identifiers, regex=regex)).orderBy(*time_order("forward"))
 
 
-def slow_patterns(logs: DataFrame, scope: Sequence[str] = (), *, k: int = 10) -> DataFrame:
-    """Dominant patterns among rows that mention slowness."""
-    line = F.col("line")
-    slow = line.rlike(SLOW_LINES)
-    for word in SLOW_WORDS:
-        slow = slow | F.contains(line, F.lit(word))
-    return top_patterns(logs.where(slow), scope, k=k)
+def slow_patterns(logs: DataFrame, scope: Sequence[str] = (), *, slow: str = SLOW_LINES, **shown) -> DataFrame:
+    """Dominant patterns among rows that mention slowness; ``shown`` goes to ``top_patterns``."""
+    return top_patterns(logs.where(line_filter(regex=[slow])), scope, **shown)
 
 
 def severity(health: DataFrame, trends: DataFrame, key: str) -> DataFrame:
