@@ -173,6 +173,38 @@ def test_a_stretch_at_the_limit_is_a_passage():
     assert all(b - a < 50 for a, b, *_ in substring.passages(0, 100, [(3, 3, 3), (2, 2, 0)] * 20))
 
 
+def test_chains_left_out_early_hold_no_passage(spark, monkeypatch):
+    """Texts of few phrases, edited at random, with passages near the limit and at the edges of texts."""
+    r = random.Random(11)
+    phrases = [prose(20_000 + i, r.randint(3, 9)) for i in range(60)]
+    rows = []
+    for i in range(120):
+        words = [w for _ in range(r.randint(1, 30)) for w in r.choice(phrases)]
+        passage = [w if r.random() < 0.9 else f"e{i}x{j}" for j, w in enumerate(prose(21_000 + i % 7, 58))]
+        at = r.choice([0, len(words) // 2, len(words)])
+        rows.append((i, " ".join(words[:at] + passage + words[at:] if i % 3 else words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(row) for row in substring.repeated_passages(docs).collect()}
+    monkeypatch.setattr(substring, "_extensible", lambda docs, chains, k, least: chains)
+    assert got == {tuple(row) for row in substring.repeated_passages(docs).collect()} and len(got) > 100
+
+
+def test_narrow_integers_come_back():
+    for values in ([0], [255, 1], [256, 0, 7], [2**16], [2**32, 5], [2**63]):
+        x = np.array(values, np.uint64)
+        assert (substring.widen(substring.narrow(x), len(x)).view(np.uint64) == x).all()
+    ids = np.array([-(2**63), -5, 3, 2**63 - 1])
+    steps = np.append(np.uint64(0), np.diff(ids.view(np.uint64)))
+    assert (ids[0] + np.cumsum(substring.widen(substring.narrow(steps), 4)) == ids).all()
+
+
+def test_passages_of_extreme_ids_are_found(spark):
+    passage = " ".join(prose(31, 70))
+    docs = spark.createDataFrame([(-(2**63), passage), (2**63 - 1, f"x {passage}"), (-1, passage)], "doc_id long, text string")
+    got = {(r.doc_id, r.source_id) for r in substring.repeated_passages(docs).collect()}
+    assert {(-1, -(2**63)), (2**63 - 1, -(2**63))} <= got
+
+
 def test_cut_words_keeps_the_rest():
     assert substring.cut_words("a  b\nc d", [(1, 3)]) == "a  d"
     assert substring.cut_words("a b c d", [(0, 2), (1, 9)]) == ""
