@@ -11,7 +11,7 @@ its inverted files and one block of queries, so memory is bounded, and the shard
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component, or whose length differs
 from the commonest one, take no part, nor do rows without an id. Equal cosines rank by the smaller id. Repeated rows of
-one id count once. Fewer neighbours than asked for are all returned. Other columns are not read.
+one id count once; of different vectors the least counts, compared component by component. Fewer neighbours than asked for are all returned. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +43,13 @@ def _usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     return own.where(F.size("x") == (top[0] if top else 0))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which changes no cosine, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -57,7 +63,7 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
 
 def build_index(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, shard_rows: int = SHARD_ROWS) -> dict:
     """``classes``: shard, ids (the k + 1 least of the class), vector and its pivot order; ``members``: id and vector."""
-    members = durable(_usable(vectors, key, embedding).dropDuplicates(["vec_id"]))
+    members = durable(_usable(vectors, key, embedding).groupBy("vec_id").agg(F.min("x").alias("x")))
     # per task at most k + 1 ids of each class go into the shuffle
     least = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
     salted = members.groupBy("x", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(least.alias("ids"))
@@ -98,7 +104,7 @@ def search(index: dict, queries: DataFrame, k: int = 5, candidates: int = CANDID
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x, q = np.stack(left["x"]), np.stack(right["x"])
+        x, q = _scaled(np.stack(left["x"])), _scaled(np.stack(right["x"]))
         norm, qnorm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
         order = np.stack(left["pivots"])
         by_pivot = np.argsort(order, axis=None, kind="stable")
