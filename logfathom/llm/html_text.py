@@ -2,8 +2,7 @@
 
 The page becomes a tree (void elements, implied ends of paragraphs, list items and cells, unclosed elements). Paragraphs
 pass points for length and commas to their ancestors, halved at each step up to three levels, and each candidate's
-points are discounted by its link density. The best container and those of its siblings that score or read like text are
-kept; menus, headers outside the article, footers, sidebars, notices, adverts, forms, comments and scripts inside are
+points are discounted by its link density. The best container and its siblings of low link density are kept; menus, headers outside the article, footers, sidebars, notices, adverts, forms, comments and scripts inside are
 left out. Text blocks follow in page order, one line each.
 
 Defined results: a null or empty page, or one without text, gives an empty text. Character references are decoded, white
@@ -25,14 +24,14 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose text never belongs to the article.
 DROPPED = frozenset(
-    "script style noscript template head title nav aside footer form button select option textarea input iframe object svg math canvas "
+    "script style noscript template head title nav aside footer button select option textarea input iframe object svg math canvas "
     "audio video map menu dialog".split()
 )
 BLOCKS = frozenset(
     "html body article section main header div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption "
     "figure figcaption address details summary hr fieldset hgroup center".split()
 )
-CLOSES_P = BLOCKS | DROPPED - {"script", "style", "noscript", "template", "button", "select", "option", "textarea", "input", "iframe", "object", "svg",
+CLOSES_P = BLOCKS | {"form"} | DROPPED - {"script", "style", "noscript", "template", "button", "select", "option", "textarea", "input", "iframe", "object", "svg",
                                "math", "canvas", "audio", "video", "map", "title", "head"}
 # An opening tag ends an open one of the listed kinds, unless a scope element stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -45,8 +44,14 @@ UNLIKELY = re.compile(
     r"(?:$|[\s_-])",
     re.I,
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+LIKELY = frozenset("article body content entry main page post story text".split())
+# A form with this many characters of paragraphs, and more of them than other text, is a page wrapped in a form.
+FORM_TEXT = 250
+# The opening of a tag that is not finished before the next one begins.
+TORN = re.compile(r"""<(?=[a-zA-Z/](?>[^<>"']++|"[^"]*+"(?=[\s/>a-zA-Z])|'[^']*+'(?=[\s/>a-zA-Z]))*+(?!>))""")
+OPEN_COMMENT = re.compile("<!--(?!-?>)")
+LINKS = 0.5  # share of linked text from which a sibling of the article is a list of links
 SPACE = re.compile(r"\s+")
 
 
@@ -103,40 +108,90 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Node:
+    # What has no end is text; looking for its end from each beginning would take quadratic time.
+    closed = html.rfind("-->") + 1
+    html = html[:closed] + OPEN_COMMENT.sub("&lt;!--", html[closed:])
+    closed = html.rfind(">") + 1
+    html = TORN.sub("&lt;", html[:closed]) + html[closed:].replace("<", "&lt;")
     builder = _Builder()
     builder.feed(html)
     builder.close()
     return builder.root
 
 
-def _unlikely(node: Node) -> bool:
-    if node.tag in DROPPED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
+def _names(node: Node) -> list[list[str]]:
+    """The words of each class and of the id."""
+    names = f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}"
+    return [[w for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if w] for name in names.split()]
+
+
+def _unlikely(node: Node, inside: bool, quoted: bool) -> bool:
+    """Whether an element is no part of an article. ``inside`` an article headers stay, ``quoted`` footers name a source."""
+    if "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
         return True
     if (node.attrs.get("role") or "").lower() in ROLES or "display:none" in (node.attrs.get("style") or "").replace(" ", ""):
         return True
-    names = f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}"
-    if node.tag in ("html", "body", "article", "main") or not names.strip():
+    if node.tag in DROPPED:
+        return not (quoted and node.tag == "footer")
+    if node.tag == "header":
+        return not inside
+    if node.tag in ("html", "body", "article", "main"):
+        return False
+    names = [[w.lower() for w in words] for words in _names(node)]
+    if node.tag in BLOCKS and any(words and LIKELY.issuperset(words) for words in names):
         return False
-    return bool(UNLIKELY.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names))) and not (node.tag in BLOCKS and LIKELY.search(names) and node.tag != "header")
+    for words in names:
+        if words[:1] in (["has"], ["with"], ["no"]) or "of" in words:  # says what is in it, or is a phrase
+            continue
+        if words and words[-1] == "header":
+            if not inside and not {"article", "entry", "post", "story"} & set(words):
+                return True
+        elif UNLIKELY.search("-".join(words)):
+            return True
+    return False
 
 
-def _prune(root: Node) -> None:
-    """Cut unlikely elements, and page headers outside an article."""
-    stack = [(root, False)]
+def _wraps_page(form: Node) -> bool:
+    paragraphs = other = 0
+    stack: list[tuple[Node | str, bool]] = [(form, False)]
     while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not (_unlikely(c) or c.tag == "header" and not inside)]
-        stack += [(c, inside) for c in node.children if not isinstance(c, str)]
+        at, inside = stack.pop()
+        if isinstance(at, str):
+            size = len(at.strip())
+            paragraphs, other = (paragraphs + size, other) if inside else (paragraphs, other + size)
+        elif at.tag not in DROPPED:
+            stack += [(c, inside or at.tag in PARAGRAPHS) for c in at.children]
+    return paragraphs >= max(FORM_TEXT, other)
 
 
-def _measure(root: Node) -> list[Node]:
-    """Set text and link lengths bottom up; the nodes in page order."""
+def _prune(root: Node) -> None:
+    """Cut unlikely elements, page headers outside an article, and forms that don't wrap one."""
+    stack = [(root, False, False)]
+    while stack:
+        node, inside, quoted = stack.pop()
+        inside, quoted = inside or node.tag in ("article", "main"), quoted or node.tag == "blockquote"
+        node.children = [c for c in node.children if isinstance(c, str) or not _unlikely(c, inside, quoted)]
+        for child in node.children:
+            if not isinstance(child, str):
+                stack.append((child, inside, quoted))
+    forms = [n for n in _order(root) if n.tag == "form" or (n.attrs.get("role") or "").lower() == "form"]
+    for form in forms:
+        if not _wraps_page(form):
+            form.children = []
+
+
+def _order(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return order
+
+
+def _measure(root: Node) -> list[Node]:
+    """Set text and link lengths bottom up; the nodes in page order."""
+    order = _order(root)
     for node in reversed(order):
         own = sum(len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
         node.words = own + sum(c.words for c in node.children if not isinstance(c, str))
@@ -219,15 +274,9 @@ def main_text(html: str | None) -> str:
             break
         best = best.parent  # a list or table, or a part of the article, stands for the whole
     kept: list[Node | str] = []
-    bar = max(2.0, 0.1 * _value(best))
     for other in best.parent.children if best.parent is not None else [best]:
-        if other is best:
-            kept.append(other)
-        elif isinstance(other, str):
-            continue
-        elif other.points and _value(other) >= bar:
-            kept.append(other)
-        elif other.tag in ("p", "h1") and other.words and other.links / other.words < 0.25 and (other.tag == "h1" or other.words >= 80):
+        # pruning took what is no article; beside the best container only lists of links are left out
+        if other is best or not isinstance(other, str) and other.words and other.links / other.words < LINKS:
             kept.append(other)
     return "\n".join(_blocks(kept))
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -68,6 +69,47 @@ def test_page_text(body, want):
     assert html_text.main_text(PAGE % body) == want
 
 
+LONG = "".join(f"<p>Paragraph {i} of the article, with a comma, and some more words to read.</p>" for i in range(18))
+
+
+def test_a_page_wrapped_in_a_form_is_read():
+    page = f"<body><form action=x><input name=q><div>{LONG}</div></form><form><p>Sign up, now, here</p></form></body>"
+    assert html_text.main_text(page).count("\n") == 17 and "Sign up" not in html_text.main_text(page)
+
+
+def test_what_lies_beside_the_best_container_stays():
+    page = f"<body><div id=content><div>{LONG}</div><h2>End</h2><div><p>A closing part, short.</p></div><pre>x = 1</pre><p>Short.</p><ul><li><a href=1>More</a></li></ul></div></body>"
+    assert html_text.main_text(page).split("\n")[18:] == ["End", "A closing part, short.", "x = 1", "Short."]
+
+
+@pytest.mark.parametrize("name", ["post-comments", "article-comments", "main-menu", "content-ad", "mainMenu", "comment-body"])
+def test_names_of_other_parts_go(name):
+    page = f'<body><article>{LONG}<div class="{name}"><p>Not of the article, at all, I say, this text.</p></div></article></body>'
+    assert "Not of the article" not in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("part", ['<div class="header"><h1>Kept</h1></div>', '<div class="notice-of-race"><p>Kept</p></div>', "<blockquote><p>Said</p><footer>Kept</footer></blockquote>",
+                                  '<div id="content" class="sidebar-right"><p>Kept</p></div>', '<div class="has-sidebar"><p>Kept</p></div>'])
+def test_parts_of_the_article_stay(part):
+    assert "Kept" in html_text.main_text(f"<body><article>{part}{LONG}</article></body>").split("\n")
+
+
+@pytest.mark.parametrize("torn", ["<a ", '<a x="', "<a x='\"", "<!--", '<div class="a', "</a "])
+def test_a_megabyte_of_torn_markup_takes_little_time(torn):
+    begun = time.monotonic()
+    assert "hello, world" in html_text.main_text(f"<p>hello, world</p>{torn * (2**20 // len(torn))}")
+    assert time.monotonic() - begun < 5
+    assert html_text.main_text(f'<p>a &lt; b</p><p>{torn}<b title="x < y"class=z>bold</b></p>').endswith("bold")
+
+
+def test_cosines_of_extreme_vectors_and_ids_with_several_vectors(spark):
+    rows = [(0, [1e-200, 0.0]), (50, [1e200, 1e200]), (3, [3.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, -2e-308])]
+    index = pivot_index.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in pivot_index.search(index, index["members"].where("vec_id % 50 = 0")).collect()}
+    half = 0.5**0.5
+    assert got == pytest.approx({(0, 50): half, (0, 3): 0.0, (0, 4): 0.0, (50, 0): half, (50, 3): half, (50, 4): -half}, abs=1e-15)
+
+
 def test_odd_pages(spark):
     pages = [(1, None), (2, ""), (3, "just text &lt; 3"), (4, "<p>a<p>b"), (5, "<div>" * 3000 + "deep, text" + "</div>" * 3000), (5, "<!-- x --><br>"), (6, "<p>" + "word, " * 50_000)]
     df = spark.createDataFrame(pages, "page_id long, html string").selectExpr("*", "1 AS n_chars", "'old' AS text")
