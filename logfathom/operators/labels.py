@@ -36,7 +36,7 @@ def ranked_values(logs: DataFrame, name: str, scope: Sequence[str], contains: st
     hit = F.contains(F.lower("value"), F.lower(F.lit(contains))) if some else F.lit(True)
     marked = values.withColumn("hit", hit)
     totals = {"total_values": F.col("hit").cast("int"), "total_label_values": F.lit(1)}
-    return top_k(marked, scope, ["value"], [F.col("hit").desc(), F.col("value").asc()], limit, totals)
+    return top_k(marked, scope, [F.col("hit").desc(), F.col("value").asc()], limit, totals)
 
 
 def label_values(
@@ -62,7 +62,7 @@ def label_distribution(logs: DataFrame, scope: Sequence[str] = (), *, top: int =
     """The most frequent values of every label with more than one value, and how many were left out."""
     order = [F.col("count").desc(), F.col("value").asc()]
     totals = {"distinct_values": F.lit(1)}
-    ranked = top_k(count_label_values(logs, scope), [*scope, "label"], ["value"], order, top, totals)
+    ranked = top_k(count_label_values(logs, scope), [*scope, "label"], order, top, totals)
     omitted = F.greatest(F.col("distinct_values") - top, F.lit(0))
     several = ranked.where(F.col("distinct_values") > 1)
     return several.select(*scope, "label", "rank", "value", "count", "distinct_values", omitted.alias("omitted_values"))

@@ -45,7 +45,7 @@ def top_patterns(
     """The k most frequent patterns per scope; equal counts go by pattern text. Long patterns are cut for display only."""
     totals = {"total_rows": F.col("count"), "total_patterns": F.lit(1)}
     order = [F.col("count").desc(), F.col("pattern").asc()]
-    ranked = top_k(count_patterns(logs, scope, direction=direction), scope, ["pattern"], order, k, totals)
+    ranked = top_k(count_patterns(logs, scope, direction=direction), scope, order, k, totals)
     share = F.round(F.col("count") / F.col("total_rows") * 1000) / 10
     shown = ranked.where(F.col("total_rows") >= min_rows)
     return shown.select(*scope, "rank", cap_short(F.col("pattern")).alias("pattern"), "count", share.alias("pct"), "sample", "total_rows", "total_patterns")

@@ -57,11 +57,23 @@ def test_label_and_time_filters_reach_the_scan(spark, conf):
     assert "value" not in pushed[2] and "props" not in pushed[2]
 
 
+def final_plan(df):
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
 def test_label_work_does_not_read_lines(spark):
-    text = plan(label_distribution(events_logs(spark, SMALL)))
+    text = final_plan(label_distribution(events_logs(spark, SMALL)))
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in text and text.count("Scan parquet") == 1
 
 
+@pytest.mark.parametrize("name", ["top_patterns_by_scope", "label_distribution_by_scope", "label_values", "top_error_patterns"])
+def test_items_are_counted_once_and_limited_before_the_shuffle(spark, name):
+    text = final_plan(QUERIES[name](spark, SMALL))
+    assert text.count("Scan parquet") == 1 and "ReusedExchange" in text
+    assert text.count("WindowGroupLimit") == 2 or "TakeOrderedAndProject" in text
+
+
 def test_first_rows_per_scope_are_limited_before_the_shuffle(spark):
     text = plan(QUERIES["take_oldest_by_scope"](spark, SMALL))
     assert text.count("WindowGroupLimit") == 2
