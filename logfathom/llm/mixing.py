@@ -9,13 +9,17 @@ from a multinomial with the targets' shares, one categorical draw a slot. The n-
 through that source's pseudorandom permutation of its blocks (swap-or-not rounds, a new permutation for every pass over
 the source), and slots join blocks by index. Draws beyond a source's quota are left out and missing ones are appended in
 top-up shards, so each source gets its target to the word: whole passes take everything once, the rest takes the tail
-first, then permuted blocks, the last one cut.
+first, then permuted blocks, the last one cut. The tail is the block after the last whole one; its slots lie in shards of
+negative number.
+
+``blocks`` packs the words themselves, one space between two; ``shards`` joins them to the slots and is the mixed corpus.
+What the mix takes of a document is counted over the same slots and the same pieces of documents.
 
 Targets: ``share`` times all words, divided by weight, at most ``most`` times a source's size; the excess is shared
 again by weight until none is above. Weights repeat along the sources by code point, null last.
 
 Defined results: null and empty texts have size 0 and nothing taken, and a source of such texts has target 0. Repeated
-rows are documents of their own (equal ones may swap their takings). An empty table gives no rows.
+rows are documents of their own (wholly equal ones may swap their takings). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,7 +79,7 @@ def plan_sources(sized: DataFrame, share: float, most: float, weights: tuple[flo
 
 
 def lay_out(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
-    """Documents with words, with sid and the place of their first word in their source."""
+    """Documents with words (and their texts, if given), with sid and the place of their first word in their source."""
     buckets = max(1, rows // BUCKET_DOCS)
     keyed = sized.where("size > 0").withColumn("h", F.xxhash64(F.lit("order"), F.col("doc_id"), F.col("size")))
     keyed = keyed.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
@@ -83,9 +87,10 @@ def lay_out(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.join(sums, ["sid", "bucket"]).select("doc_id", "source", "size", "sid", (F.col("base") + F.col("within")).alias("at"))
+    texts = [c for c in ("text",) if c in sized.columns]
+    return placed.join(sums, ["sid", "bucket"]).select("doc_id", "source", "size", *texts, "sid", (F.col("base") + F.col("within")).alias("at"))
 
 
 def draw_slots(spark, sources: DataFrame, slots: int, n_sources: int, seed: int) -> DataFrame:
@@ -124,32 +129,68 @@ def blocks_of_slots(slots: DataFrame, sources: DataFrame, block: int, seed: int)
     return s.select("shard", "slot", "sid", "block", F.when(last, F.col("rest_words") % block).otherwise(block).alias("words"))
 
 
+def tail_slots(sources: DataFrame, most: float) -> DataFrame:
+    """Slots for the tails: one for each whole pass over a source and one for the words of the rest."""
+    copies = F.transform(F.sequence(F.lit(0), F.col("passes").cast("int")), lambda i: F.struct(i.alias("copy"), F.when(i < F.col("passes"), F.col("tail")).otherwise(F.col("rest_tail")).alias("words")))
+    each = sources.select("sid", F.col("blocks").alias("block"), F.inline(copies)).where("words > 0")
+    place = F.col("sid") * (int(most) + 1) + F.col("copy")
+    shard = F.lit(-1) - F.floor(place / SHARD_SLOTS)
+    return each.select(shard.alias("shard"), (place % SHARD_SLOTS).alias("slot"), "sid", "block", "words")
+
+
+def cut_pieces(placed: DataFrame, block: int) -> DataFrame:
+    """Every document cut at the blocks' borders: block, the place of the piece in it (``low`` to ``high``) and, if there are
+    texts, its words. A document's words are split once."""
+    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
+
+    def piece(b: Column) -> Column:
+        low, high = F.greatest(F.col("at") - b * block, F.lit(0)), F.least(F.col("at") + F.col("size") - b * block, F.lit(block))
+        own = [F.slice("all_words", (b * block + low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("words")] if "text" in placed.columns else []
+        return F.struct(b.alias("block"), low.alias("low"), high.alias("high"), *own)
+
+    if "text" in placed.columns:
+        placed = placed.withColumn("all_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    kept = [c for c in placed.columns if c not in ("text", "all_words")]
+    return placed.select(*kept, F.inline(F.transform(F.sequence(first, last), piece)))
+
+
+def pack_blocks(pieces: DataFrame) -> DataFrame:
+    """(sid, block, packed): the words of each block in order. A block holds ``block`` words at most, so its group is bounded."""
+    parts = F.sort_array(F.collect_list(F.struct("low", "words")))
+    return pieces.groupBy("sid", "block").agg(F.flatten(F.transform(parts, lambda p: p["words"])).alias("packed"))
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 17) -> dict[str, DataFrame]:
-    """``slots``: the mix, one row per slot and block; ``taken``: every document with the words the mix takes of it."""
+    """``shards``: the mixed corpus, one row per slot with its text; ``slots``: the same without texts; ``blocks``: the packed
+    words of every source; ``taken``: every document with the words the mix takes of it. Texts move only for those read."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = durable(docs.select("doc_id", "source", size.alias("size")))
+    whole = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("mark"), "text")
+    sized = durable(whole.drop("text"))
     sources = durable(plan_sources(sized, share, most, weights, block))
     head = sources.agg(F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
-    placed = durable(lay_out(sized, sources, sized.count()))
-    slots = durable(blocks_of_slots(draw_slots(spark, sources, head[1], head[0], seed), sources, block, seed))
+    rows = sized.count()
+    placed = durable(lay_out(sized, sources, rows))
+    drawn = blocks_of_slots(draw_slots(spark, sources, head[1], head[0], seed), sources, block, seed)
+    slots = durable(drawn.unionByName(tail_slots(sources, most)))
+
+    blocks = pack_blocks(cut_pieces(lay_out(whole, sources, rows), block))
+    text = F.array_join(F.slice("packed", F.lit(1), F.col("words").cast("int")), " ")
+    shards = slots.join(blocks, ["sid", "block"]).join(sources.select("sid", "source"), "sid").select("shard", "slot", "source", "sid", "block", "words", text.alias("text"))
 
     times = slots.groupBy("sid", "block").agg(F.collect_list("words").alias("cuts"))  # a block is drawn ``most`` times at most
-    plan = sources.select("sid", "source_size", "target", "blocks", "passes", "rest_tail")
-    own = placed.join(plan, "sid").withColumn("end", F.col("at") + F.col("size"))
-    tail_at = F.col("blocks") * block
-    in_tail = lambda upto: F.greatest(F.lit(0), F.least("end", upto) - F.greatest("at", tail_at))
-    own = own.withColumn("from_tail", F.col("passes") * in_tail(F.col("source_size")) + in_tail(tail_at + F.col("rest_tail")))
-    spread = own.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))))
-    hit = spread.join(times, ["sid", "block"], "left")
-    start = F.col("block") * block
-    overlap = lambda words: F.greatest(F.lit(0), F.least(F.col("end"), start + words) - F.greatest(F.col("at"), start))
+    plan = sources.select("sid", "source_size", "target")
+    hit = cut_pieces(placed.join(plan, "sid"), block).join(times, ["sid", "block"], "left")
+    overlap = lambda words: F.greatest(F.lit(0), F.least("high", words) - F.col("low"))
     got = F.coalesce(F.aggregate("cuts", F.lit(0).cast("bigint"), lambda acc, words: acc + overlap(words)), F.lit(0))
-    keys = ["doc_id", "source", "size", "source_size", "target", "sid", "at", "from_tail"]
-    taken = hit.withColumn("got", got).groupBy(*keys).agg(F.sum("got").alias("from_blocks"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    some = taken.withColumn("taken", F.col("from_tail") + F.col("from_blocks")).select(*columns)
+    keys = ["doc_id", "source", "size", "source_size", "target"]
+    some = hit.withColumn("got", got).groupBy(*keys, "sid", "at").agg(F.sum("got").alias("taken")).select(*keys, "taken")
     empty = sized.where("size = 0")
     empty = empty.join(sources, empty["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    none = empty.withColumn("taken", F.lit(0).cast("bigint")).select(*columns)
-    return {"slots": slots, "taken": some.unionByName(none)}
+    none = empty.withColumn("taken", F.lit(0).cast("bigint")).select(*keys, "taken")
+    return {"shards": shards, "slots": slots, "blocks": blocks, "taken": some.unionByName(none)}
+
+
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """The mixed corpus as Parquet, a shard's slots together and in order (a shard is ``SHARD_SLOTS`` blocks at most)."""
+    mixed.repartition("shard").sortWithinPartitions("shard", "slot").write.parquet(path)

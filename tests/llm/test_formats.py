@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -161,7 +162,32 @@ def test_mix_meets_its_targets(spark, block):
         assert {r.source_size for r in own} == {size} and all(r.target == pytest.approx(want[s]) for r in own)
         assert sum(r.taken for r in own) == pytest.approx(want[s], abs=1)
         assert all(0 <= r.taken <= 2 * r.size for r in own)
-    assert sum(r.words for r in mixed["slots"].collect()) <= sum(r.taken for r in taken)
+    assert sum(r.words for r in mixed["slots"].collect()) == sum(r.taken for r in taken)
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_shards_read_back_hold_the_words_counted_as_taken(spark, tmp_path, block):
+    rng = random.Random(block)
+    rows = [(i, rng.choice("aaab") if i % 9 else None, " \n".join(f"{i}_{k}" for k in range(rng.randrange(0, 300)))) for i in range(120)]
+    rows += [(500, "tiny", "500_0 500_1\t500_2"), (501, "none", None), (502, "a", " ".join(f"502_{k}" for k in range(5000))), (None, "b", "x_0 x_1")]
+    rows += [(503, "b", "503_0 503_1"), (503, "b", "503_2 503_3")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix(docs, block=block)
+    mixing.write_shards(mixed["shards"], str(tmp_path / "mix"))
+    found = spark.read.parquet(str(tmp_path / "mix")).collect()
+    assert len({(r.shard, r.slot) for r in found}) == len(found) == mixed["slots"].count()
+    assert all(len(r.text.split(" ")) == r.words <= block for r in found)
+    words = Counter(w for r in found for w in r.text.split(" "))
+    assert max(words.values()) <= 2 and set(words) <= {w for r in rows for w in (r[2] or "").split()}
+    counted = Counter()
+    for w, n in words.items():
+        counted[w.split("_")[0]] += n
+    taken = Counter()
+    for r in mixed["taken"].collect():
+        taken["x" if r.doc_id is None else str(r.doc_id)] += r.taken
+    assert counted == +taken
+    packed = [w for r in mixed["blocks"].collect() for w in r.packed]
+    assert sorted(packed) == sorted(w for r in rows for w in (r[2] or "").split())
 
 
 def test_mix_of_nothing(spark):
