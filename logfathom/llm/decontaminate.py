@@ -258,10 +258,14 @@ def leaks_of(windows: list[tuple[int, int, int, str, str]], length: int, run: in
     return out
 
 
+# Java's form of the words that ``str.split`` gives: items' lengths count the words that the windows are made of.
+SPLIT_WORD = r"[^\x1c-\x1f\p{IsWhite_Space}]+"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, run: int = MIN_RUN, broadcast: int = BROADCAST) -> DataFrame:
     """One row per leak: doc_id, item_id, first word and number of words in the document, kind."""
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
-    items = items.withColumn("length", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).where("length > 0")
+    items = items.withColumn("length", F.regexp_count("text", F.lit(SPLIT_WORD))).where("length > 0")
     short = items.where(F.col("length") < WINDOW).select("length").distinct().toPandas()["length"].tolist()  # below WINDOW values
     widths = sorted({WINDOW, *map(int, short)})
     reach = items.agg(F.max("length")).first()[0] or 0  # no line of windows is longer

@@ -6,6 +6,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from logfathom.llm import components, decontaminate, near_dedup, substring
 from logfathom.llm.common import window_hashes, word_hashes, words_of
 
@@ -271,3 +273,16 @@ def test_window_hashes_tell_lengths_apart():
     h = word_hashes(words_of("A a b \x1fc"))
     assert len(h) == 3 and len(window_hashes(h, 5)) == 1 and len(window_hashes(h, 2)) == 2
     assert window_hashes(h[:1], 5)[0] != window_hashes(np.repeat(h[:1], 2), 5)[0]
+
+
+def test_items_set_apart_by_other_blanks_have_as_many_words_as_their_windows(spark):
+    blanks = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    assert all(b.isspace() for b in blanks)
+    rows = [(i, f"a{b}b{b}{b}c\u200bd") for i, b in enumerate(blanks)]
+    counted = spark.createDataFrame(rows, "i long, text string").select(F.regexp_count("text", F.lit(decontaminate.SPLIT_WORD)).alias("n"), "text").collect()
+    assert all(r.n == len(r.text.split()) == 3 for r in counted)
+    words = "how many cups of the warm tea did they then drink together".split()
+    items = [(1, "\xa0".join(words))]
+    docs = [(1, "They drink to the weather of many warm days."), (2, "It asks: " + " ".join(words))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {2}

@@ -52,3 +52,18 @@ def test_stages_take_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES[1:]:
             df = common.durable(stage(spark, df, SF))
         assert df.count() in (0, 4)
+
+
+def test_quality_stage_keeps_columns_of_the_classifiers_names(spark):
+    docs = common.table(spark, SF, "documents").selectExpr("*", "42.0 AS score", "doc_id AS predicted", "'r' AS row")
+    got = corpus_pipeline.quality_filter(spark, docs, SF)
+    assert got.columns == docs.columns and 0 < got.count() < docs.count()
+    assert got.where("score = 42 and predicted = doc_id and row = 'r'").count() == got.count()
+
+
+def test_the_mix_stage_writes_its_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda spark: str(tmp_path))
+    taken = corpus_pipeline.mix_sources(spark, common.table(spark, SF, "documents"), SF).collect()
+    (written,) = tmp_path.glob("mixed-*")
+    assert sum(r.words for r in spark.read.parquet(str(written)).collect()) == sum(r.taken for r in taken)
