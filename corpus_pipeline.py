@@ -7,23 +7,27 @@ columns of ``documents``.
 2. near_dedup: one document of each group of near-duplicates stays, the one with the smallest id.
 3. substring_dedup: later occurrences of passages that repeat across documents are cut out of the texts.
 4. decontaminate: documents that hold a benchmark item, verbatim or with other slots, go.
-5. mix: sources are mixed to their target weights; a row per document with the words the mix takes.
+5. mix: sources are mixed to their target weights; the shards are written beside the stages' tables, as
+   ``mixed-`` and a number of its own in the shared folder; a row per document with the words the mix takes is returned.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfathom.llm import decontaminate as leaks
 from logfathom.llm import mixing, near_dedup, quality, substring
-from logfathom.llm.common import durable, table
+from logfathom.llm.common import durable, shared_dir, table
 from logfathom.llm.queries import quality_model
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score(docs, quality_model(spark, sf_dir, docs.select("doc_id", "text")))
-    return scored.where("predicted = 1").select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # the table's own score and predicted columns stay
+    scored = quality.score(rows, quality_model(spark, sf_dir, docs.select("doc_id", "text")))
+    return scored.where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)["taken"].select("doc_id", "source", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs)
+    mixing.write_shards(mixed["shards"], f"{shared_dir(spark)}/mixed-{uuid.uuid4().hex}")
+    return mixed["taken"].select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [
