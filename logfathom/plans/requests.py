@@ -22,7 +22,7 @@ from logfathom.operators.labels import INTERNAL_PREFIX, ranked_values
 from logfathom.operators.select import DEFAULT_LABEL, DEFAULT_LIMIT
 from logfathom.operators.series import dense_grid
 from logfathom.operators.windows import (
-    LABEL_HOURS, QUERY_HOURS, WIDEN_HOURS, auto_widen, pruned, repair_window, resolve_window, result_warning, rows_in_windows, with_step,
+    LABEL_HOURS, QUERY_HOURS, WIDEN_HOURS, auto_widen, dyadic_pieces, in_cells, in_levels, levels_of, pruned, repair_window, resolve_window, result_warning, rows_in_windows, with_step,
 )
 from logfathom.plans.reports import _asked, logs_json, logs_parts, stats_json, stats_parts
 from logfathom.session import written
@@ -186,15 +186,21 @@ def stats_reports(
 
 
 def label_names_reports(logs: DataFrame, requests: DataFrame, *, internal: bool = False) -> DataFrame:
-    """Label names inside each request's window, six hours by default: request_id, names, warnings."""
+    """Label names inside each request's window, six hours by default: request_id, names, warnings.
+
+    Rows are reduced to the names of each cell between two windows' ends, and windows meet runs of cells: no row meets a window.
+    """
     asked = written(resolved(requests, hours_back=LABEL_HOURS, max_hours=None, repair=False))
     names = F.map_keys(F.map_filter("labels", lambda k, v: v.isNotNull()))
     near = pruned(logs, asked, F.col("start_ts"), F.col("end_ts"))
-    inside = rows_in_windows(near.select("ts", F.sort_array(names).alias("names")), asked.select("request_id", "start_ts", "end_ts"))
-    found = inside.select("request_id", "names").distinct().select("request_id", F.explode("names").alias("name"))
+    cells, placed = in_cells(near.select("ts", F.sort_array(names).alias("names")), asked.select("start_ts", "end_ts").distinct())
+    held = cells.select("names", "__cell").distinct().select("__cell", F.explode("names").alias("name")).distinct()
     if not internal:
-        found = found.where(~F.col("name").startswith(INTERNAL_PREFIX))
-    listed = found.groupBy("request_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+        held = held.where(~F.col("name").startswith(INTERNAL_PREFIX))
+    met = dyadic_pieces(placed, "__first", "__end").join(in_levels(held, levels_of(placed)).distinct(), ["__level", "__id"])
+    inside = met.groupBy("start_ts", "end_ts").agg(F.collect_set("name").alias("names"))
+    found = asked.select("request_id", "start_ts", "end_ts").join(inside, ["start_ts", "end_ts"])
+    listed = found.groupBy("request_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"))
     one = asked.select("request_id", "warnings").join(listed, "request_id", "left")
     return one.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
 

@@ -1,6 +1,7 @@
 """Reports for tables of requests."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -106,6 +107,51 @@ def test_labels_by_request(spark, logs):
     assert got[4][4] == ["bad_time"] and got[5] == ([], 0, 0, False, ["label_required"])
 
 
+def test_label_reports_equal_brute_force(spark, make_logs):
+    """Windows that share ends, lie apart, are empty or end at a row; repeated and missing request ids; texts and limits."""
+    draw = random.Random(7)
+    rows = [("x", {"app": f"{draw.randrange(12)}A", **({"who": f"w{draw.randrange(40)}"} if i < 150 else {}), "none": None}) for i in range(300)]
+    logs = make_logs(rows, start=NOW - timedelta(hours=10), gap=timedelta(minutes=2))
+    ends = [NOW - timedelta(minutes=2 * draw.randrange(320), seconds=draw.choice((0, 0, 1))) for _ in range(40)]
+    text = lambda t: t.strftime("%Y-%m-%dT%H:%M:%SZ")
+    asked = [
+        (draw.choice((i, i, i % 5, None)), NOW, text(draw.choice(ends)), text(draw.choice(ends)), draw.choice(("app", "app", "who", "none", None)), draw.choice((None, "", "A", "1", "W2", "zz")), draw.choice((None, 0, 1, 3)))
+        for i in range(80)
+    ]
+    table = spark.createDataFrame(asked, f"{ASKED}, label string, contains_text string, limit int")
+    at = lambda s: datetime.strptime(s, "%Y-%m-%dT%H:%M:%SZ")
+    held = [(NOW - timedelta(hours=10) + timedelta(minutes=2) * i, labels) for i, (_, labels) in enumerate(rows)]
+    names, values = {}, {}
+    for key, _, start, end, label, part, limit in asked:
+        inside = [labels for t, labels in held if at(start) <= t < at(end)]
+        names.setdefault(key, set()).update(n for labels in inside for n, v in labels.items() if v is not None)
+        values.setdefault((key, part, limit), set()).update(labels[label] for labels in inside if labels.get(label) is not None)
+
+    def part_of(key, part, limit):
+        hits = sorted(v for v in values[key, part, limit] if (part or "").lower() in v.lower())
+        return len(hits), len(values[key, part, limit]), tuple(hits[: limit or None])
+
+    want_values = []
+    for key, *_ in asked:
+        found = [] if key is None else [p for k in values if k[0] == key and values[k] and (p := part_of(*k))]
+        want_values += found or [(0, 0, ())]
+    got = [(r["request_id"], tuple(r["names"])) for r in req.label_names_reports(logs, table).collect()]
+    assert sorted(got, key=str) == sorted(((k, tuple(sorted(names[k])) if k is not None else ()) for k, *_ in asked), key=str)
+    got = [(r["total_values"], r["total_label_values"], tuple(r["values"])) for r in req.label_values_reports(logs, table).collect()]
+    assert sorted(got) == sorted(want_values) and len(got) > 80
+
+
+def test_label_reports_pair_no_row_with_a_window(spark, make_logs, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("rows meet windows")
+
+    monkeypatch.setattr(req, "rows_in_windows", refuse)
+    logs = make_logs([("x", {"app": str(i)}) for i in range(50)], start=NOW - timedelta(minutes=5))
+    asked = ask(spark, *[("2h ago", None, None, "app", 2)] * 30, label="string", limit="int")
+    assert {tuple(r["names"]) for r in req.label_names_reports(logs, asked).collect()} == {("app",)}
+    assert {(tuple(r["values"]), r["total_values"]) for r in req.label_values_reports(logs, asked).collect()} == {(("0", "1"), 50)}
+
+
 def test_no_requests_and_no_rows(spark, logs):
     asked = ask(spark, (None, None, [("app", "=", "a")]))
     assert req.logs_reports(logs, asked.limit(0)).count() == 0 and req.stats_reports(logs, asked.limit(0)).count() == 0
