@@ -12,7 +12,7 @@ The matched rows, the windows and their pairs are written between steps (``sessi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfathom.functions.clock import MICROS, ceil_to, floor_div, from_micros, to_micros
@@ -205,26 +205,110 @@ def label_names_reports(logs: DataFrame, requests: DataFrame, *, internal: bool
     return one.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
 
 
+def _totals_in_spans(held: DataFrame, spans: DataFrame, levels: Column) -> DataFrame:
+    """Distinct values of (label, text) in each span of cells: ``held`` has them by cell, with ``__before``, the last cell
+    that had the same value.
+
+    A value is counted in the first cell of the span that has it, the one whose ``__before`` lies ahead of the span. A span
+    is cut into runs, and a run's cells are sums by ``__before`` that are merged with the spans' first cells.
+    """
+    own = ["label", "text", "__first", "__end"]
+    runs = ["label", "text", "__level", "__id"]
+    cut = dyadic_pieces(spans, "__first", "__end")
+    firsts = held.groupBy("label", "text", "__cell", "__before").agg(F.count("*").alias("__n"))
+    points = in_levels(firsts, levels).join(cut.select(*runs).distinct(), runs, "left_semi")
+    points = points.groupBy(*runs, F.col("__before").alias("__at")).agg(F.sum("__n").alias("__n"))
+    blank = [F.lit(None).cast("bigint").alias(c) for c in ("__first", "__end")]
+    marks = cut.select(*runs, F.col("__first").alias("__at"), F.lit(0).cast("bigint").alias("__n"), "__first", "__end")
+    both = points.select(*runs, "__at", "__n", *blank).unionByName(marks)
+    so_far = Window.partitionBy(*runs).orderBy("__at", F.col("__first").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("__n", F.sum("__n").over(so_far)).where("__first IS NOT NULL")
+    return counted.groupBy(*own).agg(F.sum("__n").alias("total"))
+
+
+def _listed_in_spans(held: DataFrame, spans: DataFrame, levels: Column, most: int | None, redact: bool) -> DataFrame:
+    """The first ``most`` values of (label, text) in each span of cells, in text order: the first of the runs' first ones."""
+    own, runs = ["label", "text", "__first", "__end"], ["label", "text", "__level", "__id"]
+
+    def first(df: DataFrame, keys: list[str]) -> DataFrame:
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("value")))
+        return ranked if most is None else ranked.where(F.col("rank") <= most)
+
+    cut = dyadic_pieces(spans, "__first", "__end")
+    asked = in_levels(held.select("label", "text", "value", "__cell"), levels).distinct().join(cut.select(*runs).distinct(), runs, "left_semi")
+    met = cut.join(first(asked, runs).drop("rank"), runs).select(*own, "value").distinct()
+    ranked = first(met, own)
+    if redact:
+        ranked = redact_columns(ranked, "value")
+    values = F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"])
+    return ranked.groupBy(*own).agg(values.alias("values"))
+
+
+def _values_in_windows(logs: DataFrame, spans: DataFrame, redact: bool) -> DataFrame:
+    """Spans (label, contains_text, start_ts, end_ts and others; without ``most`` all are listed) with total_values,
+    total_label_values and the first values; those that hold no value are left out.
+
+    Values are reduced to one a cell between two spans' ends, and spans meet runs of cells, so that equal spans share all
+    work and none meets a row or, unless it lists them, all values.
+    """
+    asked = spans.withColumn("text", F.lower(F.coalesce("contains_text", F.lit(""))))
+    near = pruned(logs, asked, F.col("start_ts"), F.col("end_ts"))
+    pairs = near.select("ts", F.explode("labels").alias("label", "value")).where("value IS NOT NULL").join(asked.select("label").distinct(), "label", "left_semi")
+    cells, placed = in_cells(pairs, asked.select("start_ts", "end_ts").distinct())
+    seen = written(cells.select("label", "value", "__cell").distinct())
+    asked = written(asked.join(placed, ["start_ts", "end_ts"]))
+    unlimited = F.lit(1 << 31)
+    most = asked.agg(F.max(F.coalesce("most", unlimited))).first()[0]
+    levels = levels_of(asked)
+
+    own = ["label", "text", "__first", "__end"]
+    wanted = asked.select(*own).distinct()
+    counted = asked.select("label", F.explode(F.array_distinct(F.array("text", F.lit("")))).alias("text"), "__first", "__end").distinct()
+    texts = counted.select("label", "text").distinct()
+    hits = seen.select("label", "value").distinct().join(texts, "label").where(F.contains(F.lower("value"), F.col("text")))
+    before = F.lag("__cell", 1, 0).over(Window.partitionBy("label", "value").orderBy("__cell"))
+    held = seen.withColumn("__before", before).join(hits, ["label", "value"])
+
+    totals = written(_totals_in_spans(held, counted, levels))
+    lists = _listed_in_spans(held, wanted, levels, most if most is not None and most < 1 << 31 else None, redact)
+    out = asked.join(totals.withColumnRenamed("total", "total_values"), own, "left")
+    out = out.join(totals.where("text = '' AND total > 0").select("label", "__first", "__end", F.col("total").alias("total_label_values")), ["label", "__first", "__end"])
+    out = out.join(lists, own, "left")
+    values = F.when(F.col("most").isNull(), F.col("values")).otherwise(F.slice("values", F.lit(1), F.coalesce("most", F.lit(1))))
+    return out.select(*spans.columns, "total_values", "total_label_values", values.alias("values"))
+
+
+def _values_of_pairs(logs: DataFrame, spans: DataFrame, own: list[str], redact: bool) -> DataFrame:
+    """The same for requests of several spans, whose values are united row by row."""
+    near = pruned(logs, spans, F.col("start_ts"), F.col("end_ts"))
+    pairs = near.select("ts", F.explode("labels").alias("label", "value")).where("value IS NOT NULL")
+    inside = rows_in_windows(pairs, spans, ["label"]).select(*own, "most", F.create_map(F.lit("v"), F.col("value")).alias("labels"))
+    ranked = ranked_values(inside, "v", [*own, "most"], F.coalesce("contains_text", F.lit("")), None)
+    if redact:
+        ranked = redact_columns(ranked, "value")
+    shown = F.col("hit") & F.coalesce(F.col("rank") <= F.col("most"), F.lit(True))
+    listed = F.transform(F.sort_array(F.collect_list(F.when(shown, F.struct("rank", "value")))), lambda e: e["value"])
+    return ranked.groupBy(*own).agg(F.max("total_values").alias("total_values"), F.max("total_label_values").alias("total_label_values"), listed.alias("values"))
+
+
 def label_values_reports(logs: DataFrame, requests: DataFrame, *, default_limit: int | None = None, redact: bool = True) -> DataFrame:
     """Values of each request's ``label`` inside its window, those with ``contains_text`` in them, cut to its ``limit``.
 
-    Gives request_id, total_values, total_label_values, truncated, values, warnings.
+    Gives request_id, total_values, total_label_values, truncated, values, warnings. Requests of one id, text and limit are
+    one answer over the values of all their windows.
     """
     asked = resolved(with_columns(requests, label="string", contains_text="string", limit="int"), hours_back=LABEL_HOURS, max_hours=None, repair=False)
     unnamed = F.coalesce(F.col("label"), F.lit("")) == ""
     asked = written(asked.withColumn("warnings", F.when(unnamed, F.array_append("warnings", F.lit("label_required"))).otherwise(F.col("warnings"))))
-    near = pruned(logs, asked, F.col("start_ts"), F.col("end_ts"))
-    pairs = near.select("ts", F.explode("labels").alias("label", "value")).where("value IS NOT NULL")
-    spans = asked.select("request_id", "label", "contains_text", "limit", "start_ts", "end_ts")
-    inside = rows_in_windows(pairs, spans, ["label"]).select("request_id", "contains_text", "limit", F.create_map(F.lit("v"), F.col("value")).alias("labels"))
-    own = ["request_id", "contains_text", "limit"]
-    ranked = ranked_values(inside, "v", own, F.coalesce("contains_text", F.lit("")), None)
-    if redact:
-        ranked = redact_columns(ranked, "value")
     limit = F.coalesce(F.when(F.col("limit") > 0, F.col("limit")), F.lit(default_limit).cast("int"))
-    shown = F.col("hit") & F.coalesce(F.col("rank") <= limit, F.lit(True))
-    listed = F.transform(F.sort_array(F.collect_list(F.when(shown, F.struct("rank", "value")))), lambda e: e["value"])
-    parts = ranked.groupBy(*own).agg(F.max("total_values").alias("total_values"), F.max("total_label_values").alias("total_label_values"), listed.alias("values"))
+    own = ["request_id", "contains_text", "limit"]
+    spans = asked.where("request_id IS NOT NULL AND label IS NOT NULL AND start_ts < end_ts").withColumn("most", limit)
+    spans = spans.select(*own, "most", "label", "start_ts", "end_ts").distinct()
+    spans = written(spans.withColumn("__spans", F.count("*").over(Window.partitionBy(*own))))
+    single, several = (spans.where(c).drop("__spans") for c in ("__spans = 1", "__spans > 1"))
+    parts = _values_in_windows(logs, single, redact).select(*own, "total_values", "total_label_values", "values")
+    if not several.isEmpty():
+        parts = parts.unionByName(_values_of_pairs(logs, several, own, redact))
     one = asked.select(*own, "warnings").join(parts.drop("contains_text", "limit"), "request_id", "left")
     one = one.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_values", "total_label_values")})
     one = one.withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
