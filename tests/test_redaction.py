@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logfathom.catalog import QUERIES
 from logfathom.functions import redaction as red
 
 CASES = [
@@ -78,3 +81,22 @@ def test_random_text_is_redacted_word_by_word(texts, values):
 def test_partitioning_does_not_matter(spark, parts):
     df = spark.createDataFrame([(c[0],) for c in CASES], "text string").repartition(parts)
     assert sorted(r["text"] for r in red.redact_columns(df, "text").collect()) == sorted(c[1] for c in CASES)
+
+
+def test_luhn_at_every_length(texts):
+    draw = random.Random(3)
+    numbers = ["".join(draw.choice("0123456789") for _ in range(n)) for n in range(22) for _ in range(40)] + ["9" * n for n in range(22)] + ["5" * n for n in range(22)]
+    numbers += [f"{n[:7]}- x{n[7:]}" for n in numbers[-60:]]
+
+    def passes(text):
+        digits = [int(c) for c in reversed(text) if c.isdigit()]
+        return 13 <= len(digits) <= 19 and sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+    assert texts(numbers, lambda c: red.luhn_valid("t")) == [passes(n) for n in numbers]
+
+
+def test_contact_lines_of_one_row_group_are_dealt_out(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["redact_orders"](spark, str(tmp_path))
+    per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 2000 and len(per_task) >= 8 and max(per_task) <= 2 * 2000 / len(per_task)
