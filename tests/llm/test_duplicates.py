@@ -1,9 +1,11 @@
 """Near-duplicates, repeated passages and benchmark leaks against brute force."""
 
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -286,3 +288,26 @@ def test_items_set_apart_by_other_blanks_have_as_many_words_as_their_windows(spa
     docs = [(1, "They drink to the weather of many warm days."), (2, "It asks: " + " ".join(words))]
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r.doc_id for r in got} == {2}
+
+
+def test_packing_keeps_few_copies_of_the_seeds(spark):
+    """A seed is 24 bytes; joining, sorting and packing all seeds of a batch takes 64 bytes a seed at most."""
+
+    class Docs:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInPandas(self, run, _):
+            return run
+
+    batch = pd.DataFrame({"doc_id": range(150), "text": [" ".join(f"w{i}x{j}" for j in range(3000)) for i in range(150)]})
+    run = substring._packs(Docs(), substring.K, substring.MIN_WORDS, 64)
+    tracemalloc.start()
+    try:
+        packed = sum(len(h) // 4 for out in run(iter([batch])) for h in out["h"])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert packed == 150 * 2996 and peak < 64 * packed
