@@ -12,8 +12,9 @@ top-up shards, so each source gets its target to the word: whole passes take eve
 first, then permuted blocks, the last one cut. The tail is the block after the last whole one; its slots lie in shards of
 negative number.
 
-``blocks`` packs the words themselves, one space between two; ``shards`` joins them to the slots and is the mixed corpus.
-What the mix takes of a document is counted over the same slots and the same pieces of documents.
+``blocks`` packs the words themselves, one space between two; ``shards`` is the mixed corpus. For it slots meet the pieces of
+documents while these are numbers only; each text then travels once to the slots of its document, and its pieces once to their
+shard, where they are put together. What the mix takes of a document is counted over the same slots and the same pieces of documents.
 
 Targets: ``share`` times all words, divided by weight, at most ``most`` times a source's size; the excess is shared
 again by weight until none is above. Weights repeat along the sources by code point, null last.
@@ -34,6 +35,7 @@ SHARD_SLOTS = 1024
 BUCKET_DOCS = 4096
 ROUNDS = 16
 WEIGHTS = (3, 1, 2)
+KEY = ("key0", "key1")  # 128 bits of a row; wholly equal rows share them
 
 
 def _unit(*parts: Column) -> Column:
@@ -52,6 +54,11 @@ def permuted(n: Column, size: Column, *seed: Column, rounds: int = ROUNDS) -> Co
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), n.cast("bigint"), round_of)
 
 
+def row_key() -> list[Column]:
+    parts = [F.isnull("doc_id"), F.col("doc_id"), F.isnull("source"), F.col("source"), F.col("text")]
+    return [F.xxhash64(F.lit(name), *parts).alias(name) for name in KEY]
+
+
 def plan_sources(sized: DataFrame, share: float, most: float, weights: tuple[float, ...], block: int) -> DataFrame:
     """One row per source: sid, size, blocks, target, and its quota of slots (passes, whole blocks, words of the last)."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -89,8 +96,8 @@ def lay_out(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    texts = [c for c in ("text",) if c in sized.columns]
-    return placed.join(sums, ["sid", "bucket"]).select("doc_id", "source", "size", *texts, "sid", (F.col("base") + F.col("within")).alias("at"))
+    own = [c for c in ("text", *KEY) if c in sized.columns]
+    return placed.join(sums, ["sid", "bucket"]).select("doc_id", "source", "size", *own, "sid", (F.col("base") + F.col("within")).alias("at"))
 
 
 def draw_slots(spark, sources: DataFrame, slots: int, n_sources: int, seed: int) -> DataFrame:
@@ -160,12 +167,37 @@ def pack_blocks(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("sid", "block").agg(F.flatten(F.transform(parts, lambda p: p["words"])).alias("packed"))
 
 
+def fill_slots(texts: DataFrame, placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    """The slots with their words, a shard's slots in one partition (a shard is ``SHARD_SLOTS`` blocks at most).
+
+    A text is read for all copies of its row at once, so it takes part once however often the row is given.
+    """
+    pieces = cut_pieces(placed.select(*KEY, "sid", "at", "size"), block).join(slots, ["sid", "block"]).where("low < words")
+    begin = (F.col("block") * block + F.col("low") - F.col("at") + 1).cast("int").alias("begin")
+    length = (F.least("high", "words") - F.col("low")).cast("int").alias("length")
+    part = F.struct("shard", "slot", "sid", "block", "words", "low", begin, length)
+    plan = pieces.groupBy(*KEY, "at").agg(F.collect_list(part).alias("parts"))
+
+    once = F.lag(F.lit(1)).over(Window.partitionBy(*KEY).orderBy(*KEY))
+    own = texts.where("size > 0").withColumn("again", once).where("again is null")
+    own = own.join(plan, [*KEY]).select("source", "parts", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all_words"))
+
+    def cut(p: Column) -> Column:
+        return F.array_join(F.slice("all_words", p["begin"], p["length"]), " ")
+
+    keys = ["shard", "slot", "sid", "block", "words"]
+    cuts = F.transform("parts", lambda p: F.struct(*[p[k].alias(k) for k in keys], p["low"].alias("low"), cut(p).alias("piece")))
+    dealt = own.select("source", F.inline(cuts)).repartition("shard")
+    slot = dealt.groupBy("shard", "slot", "source", "sid", "block", "words").agg(F.sort_array(F.collect_list(F.struct("low", "piece"))).alias("pieces"))
+    return slot.select("shard", "slot", "source", "sid", "block", "words", F.array_join(F.col("pieces.piece"), " ").alias("text"))
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 17) -> dict[str, DataFrame]:
     """``shards``: the mixed corpus, one row per slot with its text; ``slots``: the same without texts; ``blocks``: the packed
     words of every source; ``taken``: every document with the words the mix takes of it. Texts move only for those read."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    whole = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("mark"), "text")
+    whole = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("mark"), *row_key(), "text")
     sized = durable(whole.drop("text"))
     sources = durable(plan_sources(sized, share, most, weights, block))
     head = sources.agg(F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
@@ -175,12 +207,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     slots = durable(drawn.unionByName(tail_slots(sources, most)))
 
     blocks = pack_blocks(cut_pieces(lay_out(whole, sources, rows), block))
-    text = F.array_join(F.slice("packed", F.lit(1), F.col("words").cast("int")), " ")
-    shards = slots.join(blocks, ["sid", "block"]).join(sources.select("sid", "source"), "sid").select("shard", "slot", "source", "sid", "block", "words", text.alias("text"))
+    shards = fill_slots(whole, placed, slots, block)
 
     times = slots.groupBy("sid", "block").agg(F.collect_list("words").alias("cuts"))  # a block is drawn ``most`` times at most
     plan = sources.select("sid", "source_size", "target")
-    hit = cut_pieces(placed.join(plan, "sid"), block).join(times, ["sid", "block"], "left")
+    hit = cut_pieces(placed.drop(*KEY).join(plan, "sid"), block).join(times, ["sid", "block"], "left")
     overlap = lambda words: F.greatest(F.lit(0), F.least("high", words) - F.col("low"))
     got = F.coalesce(F.aggregate("cuts", F.lit(0).cast("bigint"), lambda acc, words: acc + overlap(words)), F.lit(0))
     keys = ["doc_id", "source", "size", "source_size", "target"]
@@ -192,5 +223,5 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
-    """The mixed corpus as Parquet, a shard's slots together and in order (a shard is ``SHARD_SLOTS`` blocks at most)."""
-    mixed.repartition("shard").sortWithinPartitions("shard", "slot").write.parquet(path)
+    """The mixed corpus as Parquet, a shard's slots together, as ``mix`` gives them, and in order."""
+    mixed.sortWithinPartitions("shard", "slot").write.parquet(path)

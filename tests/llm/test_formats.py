@@ -190,6 +190,26 @@ def test_shards_read_back_hold_the_words_counted_as_taken(spark, tmp_path, block
     assert sorted(packed) == sorted(w for r in rows for w in (r[2] or "").split())
 
 
+def test_a_shard_is_filled_where_it_is_written(spark, monkeypatch):
+    """All slots of a shard come in one partition, so texts don't move again; rows given three times count three times."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 4)
+    rows = [(i // 3, "ab"[i // 3 % 2], " ".join(f"{i // 3}_{k}" for k in range(1 + i // 3))) for i in range(60)]
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block=3)
+        found = mixed["shards"].withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    shards = {r.shard for r in found}
+    assert len(shards) == len({(r.shard, r.task) for r in found}) > 10
+    assert len({(r.shard, r.slot) for r in found}) == len(found) == mixed["slots"].count()
+    words, taken = Counter(w.split("_")[0] for r in found for w in r.text.split(" ")), Counter()
+    for r in mixed["taken"].collect():
+        taken[str(r.doc_id)] += r.taken
+    assert words == +taken
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(docs)["taken"].count() == 0
