@@ -124,6 +124,34 @@ def test_chain_equals_quadratic_dynamic_programme():
         assert own == pytest.approx(max(best)) and (np.diff(x[first]) > 0).all() and (np.diff(y[first]) > 0).all()
 
 
+def test_pairs_chained_together_equal_pairs_chained_alone(monkeypatch):
+    rng = np.random.default_rng(8)
+    counts, packed, want = [], [], []
+    for trial in range(300):
+        x = np.arange(rng.integers(1, 90)) + rng.integers(0, 500) if trial % 3 else rng.integers(0, 60, rng.integers(1, 12))
+        y = x + rng.integers(0, 30) if trial % 3 else rng.integers(0, 60, len(x))
+        if trial % 3 == 2:  # two runs, apart by less or more than a chain may be
+            x, y = np.append(x, x + len(x) + rng.integers(0, 60)), np.append(y, y + len(y) + rng.integers(0, 60))
+        own = np.unique(np.append(x, x[:1]) * 2**31 + np.append(y, y[:1]))
+        counts.append(len(x) + 1)
+        packed.append(rng.permutation(np.append(x, x[:1]) * 2**31 + np.append(y, y[:1])))
+        a, b = own // 2**31, own % 2**31
+        order = np.lexsort((a, a - b))
+        a, b = a[order], b[order]
+        begins = np.append(True, (np.diff(a) != 1) | (np.diff(b) != 1))
+        first = np.flatnonzero(begins)
+        keep = ((np.arange(len(a)) - first[np.cumsum(begins) - 1]) % substring.THIN == 0) | np.append(begins[1:], True)
+        a, b = a[keep], b[keep]
+        want += [(trial, a[one].tolist(), b[one].tolist()) for one in substring.chain(a, b)]
+    chain, alone = substring.chain, []
+    monkeypatch.setattr(substring, "chain", lambda *given: alone.append(1) or chain(*given))
+    pair, x, y, sizes = substring.chains_of(np.array(counts), np.concatenate(packed))
+    edges = np.cumsum(sizes)[:-1]
+    got = [(int(p), a.tolist(), b.tolist()) for p, a, b in zip(pair, np.split(x, edges), np.split(y, edges), strict=True)]
+    assert sorted(got) == sorted(want) and len(alone) < 200
+    assert [len(part) for part in substring.chains_of(np.empty(0, int), np.empty(0, int))] == [0, 0, 0, 0]
+
+
 def test_passages_are_found_and_cut(spark):
     passage, fuzzy = prose(77, 80), prose(78, 90)
     rows = [(1, prose(1, 100) + passage + prose(2, 50)), (2, passage + prose(3, 30)), (3, prose(5, 200)), (4, prose(6, 20) + fuzzy),
