@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfathom.llm.common import durable, mix64, window_hashes, word_hashes, words_of
@@ -151,7 +151,7 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, also) -> DataFrame:
 
 
 def _descend(members: DataFrame, classes: DataFrame, roots: np.ndarray | None) -> DataFrame:
-    """The classes' entries one level deeper; from the roots if they have no nodes yet."""
+    """The classes' entries one level deeper (node, rep and n only); from the roots if they have no nodes yet."""
 
     @F.pandas_udf("array<long>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -159,15 +159,15 @@ def _descend(members: DataFrame, classes: DataFrame, roots: np.ndarray | None) -
             out = []
             for at, own in zip(nodes, owns, strict=True):
                 above = roots if at is None else np.asarray(at, np.int64).view(np.uint64)
-                out.append(children(np.frombuffer(own, np.uint16), above).view(np.int64))
+                out.append(np.unique(children(np.frombuffer(own, np.uint16), above).view(np.int64)))
             yield pd.Series(out, dtype=object)
 
     if roots is None:
-        own = members.groupBy("rep").agg(F.collect_list("node").alias("nodes"))  # trees x 2^depth at most
-        own = own.join(classes.select("rep", "n", "tokens", "b0", "b1"), "rep")
+        own = members.groupBy("rep", "n").agg(F.collect_set("node").alias("nodes"))  # trees x 2^depth at most
+        own = own.join(classes.select("rep", "n", "tokens"), ["rep", "n"])
     else:
-        own = classes.select("rep", "n", "tokens", "b0", "b1", F.lit(None).cast("array<long>").alias("nodes"))
-    return own.select("rep", "n", "b0", "b1", F.explode(run("nodes", "tokens")).alias("node")).dropDuplicates(["rep", "n", "node"])
+        own = classes.select("rep", "n", "tokens", F.lit(None).cast("array<long>").alias("nodes"))
+    return own.select("rep", "n", F.explode(run("nodes", "tokens")).alias("node"))
 
 
 def _labels(classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -268,7 +268,10 @@ def _crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, percent: i
     hubs = durable(members.groupBy("node", bucket).agg(best).select("node", "h.rep", "h.n", "h.b0", "h.b1", "h.shared"))
     # a link has at least percent / (100 + percent) of both sizes in common, and no more than either shares with the crowd
     enough = (100 + percent) * F.least("x.shared", "y.shared") >= percent * (F.col("x.n") + F.col("y.n"))
-    tried = _pairs(members, hubs, percent, enough & (F.col("x.rep") != F.col("y.rep")))
+    # the nodes of a member hold much the same crowd, so one of them does; what that leaves apart crosses below
+    home = Window.partitionBy("rep", "n").orderBy("node")
+    members_at_home = members.withColumn("place", F.rank().over(home)).where("place = 1")
+    tried = _pairs(members_at_home, hubs, percent, enough & (F.col("x.rep") != F.col("y.rep")))
     links = durable(links.unionByName(confirmed(durable(tried), sets, percent)).distinct())
 
     members = durable(_labels(members, components(links).select(F.col("node").alias("node_id"), "component")))
@@ -285,17 +288,19 @@ def near_duplicates(
     sketched = durable(sketches(docs, width))
     classes = durable(sketched.where("key is not null").groupBy("key", "n", "tokens", "b0", "b1").agg(F.min("doc_id").alias("rep")))
     known = classes.where("rep is not null")
+    bits = known.select("rep", "n", "b0", "b1").distinct()
     level = durable(_sized(durable(_descend(known, known, _roots(trees)))))
     pairs = None
     for at in range(1, depth + 1):
         small, large = level.where(F.col("members") <= leaf), level.where(F.col("members") > leaf)
-        found = _pairs(small, small, percent, F.col("x.rep") < F.col("y.rep"))
+        compared = small.drop("members").join(bits, ["rep", "n"])
+        found = _pairs(compared, compared, percent, F.col("x.rep") < F.col("y.rep"))
         pairs = found if pairs is None else pairs.unionByName(found)
         if at == depth or large.isEmpty():
             break
         level = durable(_sized(durable(_descend(large, known, None))))
     pairs = durable(pairs.distinct())
-    crowd = durable(large.select("node", "rep", "n", "b0", "b1"))
+    crowd = durable(large.select("node", "rep", "n").distinct().join(bits, ["rep", "n"]))
     crowded = not crowd.isEmpty()
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(crowd.select("rep"))
     sets = durable(_sets(docs, wanted, width))

@@ -103,6 +103,23 @@ def test_a_pair_at_the_limit_is_a_link(spark):
     assert alone == {0: 0, 26: 26}
 
 
+def test_a_class_meets_the_hubs_of_one_node_only(spark, monkeypatch):
+    """Nodes hold much the same crowd, so comparing its members in all of them made rows per node."""
+    base = prose(41, 150)
+    rows = [(i, " ".join(edited(base, i, i % 4))) for i in range(60)]
+    pairs, met = near_dedup._pairs, []
+
+    def counted(left, right, *given):
+        if left is not right:
+            met.append((left.count(), left.select("rep").distinct().count()))
+        return pairs(left, right, *given)
+
+    monkeypatch.setattr(near_dedup, "_pairs", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=4, depth=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    assert met and all(n == classes > 20 for n, classes in met)
+
+
 def test_connected_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7), (101, 100)]
     got = {tuple(r) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
