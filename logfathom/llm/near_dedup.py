@@ -12,8 +12,8 @@ looks at one bit of every token: pairs that differ in more bits than a pair at t
 dropped, the others are confirmed on the full sets.
 
 What is still large at ``DEPTH`` is a crowd of similar sets. Members that share too few of their shingles with any other
-can't link and leave. The rest is compared with the node's most central members, and what then lies outside the
-node's largest component with everything that it isn't connected to. Only links inside one component are skipped, so
+can't link and leave. The rest is compared with the most central members of one of its nodes, and what then lies outside
+a node's largest component with everything in the node that it isn't connected to. Only links inside one component are skipped, so
 components are complete and no crowd is expanded into all pairs: the last comparison is dealt in blocks of bounded size,
 to which each set travels once, and counts the intersections of two blocks' sets as products of 0/1 matrices.
 
