@@ -203,6 +203,63 @@ def test_a_passage_whose_seeds_are_known_is_found(spark):
         assert got[101, 100] == 60 and 60 in (got.get((102, 100)), got.get((102, 101))) and {d for d, _ in got} == {101, 102}
 
 
+def test_an_edited_passage_of_common_seeds_is_found(spark):
+    """Every stretch that two documents share occurs in twelve earlier ones, each time with other words around it."""
+    passage = prose(61, 64)
+    other = [f"e{i}" if i % 8 == 7 else w for i, w in enumerate(passage)]
+    rows = [(100 * c + n, prose(100 * c + n, 25) + passage[8 * c : 8 * c + 7] + prose(9000 + 100 * c + n, 25)) for c in range(8) for n in range(12)]
+    rows += [(1000, prose(70, 30) + passage + prose(71, 30)), (1001, prose(72, 20) + other + prose(73, 40)), (1002, prose(74, 50) + other[:30])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = [tuple(r) for r in substring.repeated_passages(docs).collect()]
+    assert [row[:2] for row in got] == [(1001, 1000)] and got[0][2] == 20 and got[0][6] == 56
+
+
+def test_a_long_run_of_one_word_is_covered_by_a_shorter_one(spark):
+    docs = spark.createDataFrame([(1, "x y " + "of " * 50 + "z"), (2, "a " * 7 + "of " * 333 + "b " * 7)], "doc_id long, text string")
+    spans = [set(range(r.start_word, r.end_word)) for r in substring.repeated_passages(docs).collect()]
+    assert set().union(*spans) == set(range(7, 340))
+
+
+def test_pairs_of_common_seeds_equal_brute_force():
+    """Open occurrences meet the earlier ones that end their run there and have three words in common beyond it."""
+    r = random.Random(3)
+    line = prose(62, 12)
+    texts = [[r.choice("abcdefg") for _ in range(r.randrange(9))] + line[r.randrange(3) :] + [r.choice("abcdefg") for _ in range(r.randrange(20))] for _ in range(60)]
+    texts += [["a"] * 30 + ["b", "c", "d"], ["a"] * 9 + ["b", "c", "e"], line]
+    rows = []
+    for doc, words in enumerate(texts):
+        spans = [(0, len(words))] if doc % 5 == 4 else []
+        h, pos, places = substring.places_of(" ".join(words), np.arange(len(words)), spans)
+        assert len(h) == len(words) - 4 and (pos == np.arange(len(h))).all() and (places["open"] == (doc % 5 != 4)).all()
+        rows.append((np.full(len(h), doc), pos, places))
+    doc, pos, places = (np.concatenate(x) for x in zip(*rows, strict=True))
+
+    def grams(words):
+        return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+
+    want = set()
+    for i, j in combinations(range(len(doc)), 2):
+        a, b, p, q = texts[doc[j]], texts[doc[i]], pos[j], pos[i]
+        if places["open"][j] and doc[i] != doc[j] and a[p : p + 5] == b[q : q + 5]:
+            for x, y in ((a[max(0, p - 13) : p][::-1], b[max(0, q - 13) : q][::-1]), (a[p + 5 : p + 18], b[q + 5 : q + 18])):
+                if x[:1] != y[:1] and grams(x) & grams(y):
+                    want.add((j, i))
+    for most in (7, 10**6):
+        later, earlier = substring.matches_in_context(doc, places, most)
+        assert set(zip(later.tolist(), earlier.tolist(), strict=True)) == want and len(later) == len(want) > 200
+    assert [len(x) for x in substring.matches_in_context(doc[:0], places[:0])] == [0, 0]
+
+
+def test_open_seeds_of_a_document():
+    """A stretch of common seeds is open if one of its seeds lies in no passage, also one left out between equal seeds."""
+    words = prose(63, 40)
+    _, pos, places = substring.places_of(" ".join(words), np.array([2, 3, 4, 20, 21, 22, 99]), [(1, 8), (15, 27)])
+    assert pos.tolist() == [2, 3, 4, 20, 21, 22] and places["open"].tolist() == [True] * 3 + [False] * 3
+    _, pos, places = substring.places_of(" ".join(["a"] * 30 + ["b"]), np.array([0, 25]), [(0, 9), (20, 31)])
+    assert pos.tolist() == [0, 25] and places["open"].all() and places["next"][0, 0] == 0 and places["next"][0, 1] == places["next"][1, 0] != places["next"][1, 1]
+    assert [len(x) for x in substring.places_of(None, np.array([0]), [])] == [0, 0, 0]
+
+
 def test_edited_passages_are_found(spark):
     """60 words with one edit in every 8, 7 or 6, and 80 words with one in every 6: at least 83 per cent equal."""
     rows = []
