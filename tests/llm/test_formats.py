@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,47 @@ def test_conversations_read_back(spark):
     assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_long_conversations_come_in_stretches(spark):
+    """No row holds much more than ``most`` characters; tokens and digests are those of the whole."""
+    rng = random.Random(6)
+    rows = [(c, t, ["user", "assistant"][t % 2], rng.choice(TRICKY[:-1]) + f" word{t} é") for c in (None, 5, 2**60, 2**60 + 1) for t in range(rng.randrange(40, 90))]
+    df = spark.createDataFrame(rows, CONV).repartition(3)
+    whole = {r.conv_id: r for r in chat_format.format_conversations(df).collect()}
+    assert len(whole) == 4
+    parts = chat_format.format_conversations(df, most=200)
+    got = {}
+    for r in parts.collect():
+        got.setdefault(r.conv_id, []).append(r)
+    for c, own in got.items():
+        assert [r.part for r in own] == list(range(len(own))) and len(own) > 3 and max(len(r.formatted) for r in own) < 1000
+        at = np.cumsum([0] + [len(r.formatted) for r in own]).tolist()
+        assert "".join(r.formatted for r in own) == whole[c].formatted
+        for name in ("input_ids", "loss_mask"):
+            assert sum((list(r[name]) for r in own), []) == list(whole[c][name])
+        for name in ("token_start", "token_end"):
+            assert [x + shift for r, shift in zip(own, at[:-1], strict=True) for x in r[name]] == list(whole[c][name])
+    digests = [sorted(map(tuple, chat_format.read_back(x).collect()), key=str) for x in (parts, chat_format.format_conversations(df))]
+    assert digests[0] == digests[1] and len(digests[0]) == 4
+
+
+def test_a_batch_of_conversations_is_bounded():
+    """Many conversations, and one of many turns, are handed on a few at a time."""
+
+    class Rows:
+        def __getattr__(self, _):
+            return lambda *_: self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    turns = [(c, "assistant", f"{c} " + "lorem ipsum " * 400) for c in range(600)] + [(600, "user", "dolor sit amet " * 300)] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*turns, strict=True)], ["conv_id", "role", "text"])
+    made = list(chat_format.format_conversations(Rows())(iter([batch])))
+    sizes = [sum(map(len, out.column("formatted").to_pylist())) for out in made]
+    assert sum(out.num_rows for out in made) > 601 and max(sizes) < 2 * chat_format.BATCH and len(made) > 3
+    assert max(len(x) for out in made for x in out.column("formatted").to_pylist()) < 2 * chat_format.STRETCH
+
+
 def test_tokens_inside_spans_by_plain_search():
     rng = np.random.default_rng(2)
     for _ in range(50):
