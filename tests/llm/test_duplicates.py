@@ -255,7 +255,7 @@ def test_open_seeds_of_a_document():
     words = prose(63, 40)
     _, pos, places = substring.places_of(" ".join(words), np.array([2, 3, 4, 20, 21, 22, 99]), [(1, 8), (15, 27)])
     assert pos.tolist() == [2, 3, 4, 20, 21, 22] and places["open"].tolist() == [True] * 3 + [False] * 3
-    _, pos, places = substring.places_of(" ".join(["a"] * 30 + ["b"]), np.array([0, 25]), [(0, 9), (20, 31)])
+    _, pos, places = substring.places_of(" ".join(["a"] * 30 + ["b"]), np.array([0]), [(0, 9), (20, 31)])
     assert pos.tolist() == [0, 25] and places["open"].all() and places["next"][0, 0] == 0 and places["next"][0, 1] == places["next"][1, 0] != places["next"][1, 1]
     assert [len(x) for x in substring.places_of(None, np.array([0]), [])] == [0, 0, 0]
 
