@@ -45,6 +45,22 @@ def test_every_stage_keeps_its_promise(spark):
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in clean.collect()}
 
 
+def test_an_edited_copy_made_of_common_phrases_is_cut_out(spark):
+    """Its phrases of seven words stand in twelve earlier documents each, in none of them together."""
+    phrases = [[f"p{i}x{j}" for j in range(7)] for i in range(8)]
+
+    def own(i, n):
+        return [f"d{i}w{j}" for j in range(n)]
+
+    rows = [(100 * i + n, own(100 * i + n, 20) + phrase + own(-100 * i - n - 1, 20)) for i, phrase in enumerate(phrases) for n in range(12)]
+    rows += [(c, own(c, 25) + [w for i, phrase in enumerate(phrases) for w in [*phrase, f"e{c}x{i}"]] + own(-c, 30)) for c in (2000, 2001)]
+    docs = spark.createDataFrame([(i, " ".join(words), len(" ".join(words))) for i, words in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert all(got[i].text == " ".join(words) for i, words in rows if i != 2001)
+    left = " ".join([*own(2001, 25), "e2001x7", *own(-2001, 30)])
+    assert got[2001].text == left and got[2001].n_chars == len(left)
+
+
 def test_stages_take_odd_rows(spark):
     rows = [(1, None, "en", None, 0), (2, "", None, "s", 0), (None, "no id at all", "en", "s", 12), (3, "x", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
